@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from . import chat, html, packing, pii, warc
 
-from . import chat, packing, warc
-
-QUERIES = {"op2_warc_revisits": warc.query, "op4_packing": packing.query, "op6_chat": chat.query}
-ORACLES = {"op2_warc_revisits": warc.ORACLE, "op6_chat": chat.ORACLE}
+QUERIES = {
+    "op2_warc_revisits": warc.query,
+    "op4_packing": packing.query,
+    "op6_chat": chat.query,
+    "op7_pii": pii.query,
+    "op9_site_tree": html.query,
+}
+ORACLES = {
+    "op2_warc_revisits": warc.ORACLE,
+    "op6_chat": chat.ORACLE,
+}
