@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, packing, pii, warc
+from . import chat, html, langid, packing, pii, warc
 
 QUERIES = {
     "op2_warc_revisits": warc.query,
     "op4_packing": packing.query,
+    "op5_language": langid.query,
     "op6_chat": chat.query,
     "op7_pii": pii.query,
     "op9_site_tree": html.query,
