@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, html, langid, packing, pii, warc
+from . import chat, decontaminate, html, langid, packing, pii, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
     "op2_warc_revisits": warc.query,
     "op4_packing": packing.query,
     "op5_language": langid.query,
