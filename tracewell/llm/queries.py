@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, langid, packing, pii, warc
+from . import chat, decontaminate, html, imatch, langid, packing, pii, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language": langid.query,
     "op6_chat": chat.query,
     "op7_pii": pii.query,
+    "op8_imatch": imatch.query,
     "op9_site_tree": html.query,
 }
 ORACLES = {
