@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, imatch, langid, packing, pii, warc
+from . import chat, decontaminate, html, imatch, langid, packing, pii, rlz, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_warc_revisits": warc.query,
+    "op3_rlz": rlz.query,
     "op4_packing": packing.query,
     "op5_language": langid.query,
     "op6_chat": chat.query,
