@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, imatch, langid, packing, pii, rlz, warc
+from . import chat, decontaminate, html, imatch, langid, neardup, packing, pii, rlz, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.query,
     "op8_imatch": imatch.query,
     "op9_site_tree": html.query,
+    "op10_lsh_forest": neardup.query,
 }
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE,
