@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, html, imatch, langid, neardup, packing, pii, rlz, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_imatch": imatch.query,
     "op9_site_tree": html.query,
     "op10_lsh_forest": neardup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE,
