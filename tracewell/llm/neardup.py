@@ -8,10 +8,10 @@ threshold of 0.75 agrees in no tree with probability (1 - 0.75**3)**20, about 2e
 
 Candidates pass a sketch of SKETCH one-bit MinHash values, loose by 4.6 standard deviations. Round one
 confirms for each class its nearest neighbour in any tree's order and the nearest of the regions' hubs (the
-class nearest to a region's bitwise majority). Round two, given the components so far, confirms the passing
-pairs between different components: all in regions of up to 2 * WINDOW + 1 classes; in larger ones those
-within WINDOW places, and all pairs of a class outside the region's main component with any class of the
-region. Links are confirmed on full shingle sets from the texts.
+class nearest to a region's bitwise majority). Round two, given the components so far, goes on between
+different components: in regions of up to 2 * WINDOW + 1 classes every passing pair is confirmed; in larger
+ones all classes outside the region's main component are compared with all its classes, in blocks of MEMBERS,
+on full shingle sets, and only links leave the task. Links are confirmed on full shingle sets from the texts.
 
 Defined results. Null and empty texts: an empty set, linked with nothing. Fewer words than a shingle: all of
 them as one. Rows that repeat a doc_id: each has a set of its own. Null doc_id: component null, kept. Extra
@@ -39,7 +39,9 @@ SKETCH = 128
 #: Differing bits of two sketches up to which a pair passes: an estimate of at least 0.48.
 NEAR = 33
 WINDOW = 16
-#: Rows of a region that are compared together; more go in blocks, in order.
+#: Classes of a larger region that a task holds at once; the others stream by.
+MEMBERS = 1024
+#: Rows of a region that are surveyed together; more go in pieces, in order.
 BLOCK = 1 << 16
 _rng = np.random.default_rng(10)
 _A = _rng.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,7 +132,7 @@ def _apart(s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j])
 
 
-#: kind 0: a class in a region; 1: its nearest neighbour there; 2: the hub. `apart`: differing bits.
+#: kind 0: a class in a region, whose size is in `apart`; 1: its nearest neighbour there; 2: the hub, with the differing bits.
 SEEN = "kind byte, key long, deep long, s0 long, s1 long, class long, other long, apart int"
 
 
@@ -169,7 +171,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate([m, a, b])
         kind = np.repeat(np.array([0, 1, 2], np.int8), [len(m), len(a), len(b)])
         other = np.concatenate([c[m], to[a], c[hub[b]]])
-        apart = np.concatenate([np.zeros(len(m)), near[a], to_hub[b]]).astype(np.int32)
+        apart = np.concatenate([size[region[m]], near[a], to_hub[b]]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[at]) for x in (key, deep, s0, s1, c)), pa.array(other), pa.array(apart)], [x.split()[0] for x in SEEN.split(", ")])
 
 
@@ -177,7 +179,7 @@ PAIR = "a long, b long"
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passing pairs of different components; rows: key, deep, s0, s1, class, root."""
+    """Passing pairs of different components in small regions; rows: key, deep, s0, s1, class, root."""
     for key, _, s0, s1, c, root in _regions(batches):
         new = np.append(True, np.diff(key) != 0)
         begin = np.flatnonzero(new)
@@ -187,23 +189,54 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for s in range(1, min(int(size.max()), 2 * WINDOW + 1)):
             i = np.flatnonzero((region[:-s] == region[s:]) & (root[:-s] != root[s:]))
-            if s > WINDOW:
-                i = i[size[region[i]] <= 2 * WINDOW + 1]
             i = i[_apart(u0, u1, i, i + s) <= NEAR]
             found.append((c[i], c[i + s]))
-        for r in np.flatnonzero(size > 2 * WINDOW + 1):
-            x = slice(begin[r], begin[r] + size[r])
-            roots, n = np.unique(root[x], return_counts=True)
-            main = roots[n.argmax()]
-            for i in np.flatnonzero(root[x] != main) + begin[r]:
-                d = np.bitwise_count(u0[x] ^ u0[i]) + np.bitwise_count(u1[x] ^ u1[i])
-                j = np.flatnonzero((d <= NEAR) & (root[x] != root[i])) + begin[r]
-                found.append((np.full(len(j), c[i]), c[j]))
         p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         both = np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """Shingle sets of packed texts."""
+    out: list[np.ndarray] = []
+    texts = pa.RecordBatch.from_arrays([pa.array([zstandard.decompress(x.as_py()) for x in column], pa.binary())], ["text"])
+    for part in V.slices(texts, "text", 1 << 21):
+        out += shingle_sets(V.words(part.column(0), lower=True))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows with role 1 with those with role 0 before them, one for each other component; rows: key, block, role, class, root, data."""
+    now, held, ready = None, [], None
+    for b in batches:
+        key, block, role, c, root = (b.column(i).to_numpy() for i in range(5))
+        sets = _sets(b.column(5))
+        found: list[tuple[int, int]] = []
+        for i in range(b.num_rows):
+            if (key[i], block[i]) != now:
+                now, held, ready = (key[i], block[i]), [], None
+            if not role[i]:
+                held.append((c[i], root[i], sets[i]))
+                continue
+            if not held:
+                continue
+            if ready is None:
+                sizes = np.array([len(x) for _, _, x in held])
+                known, ids = np.unique(np.concatenate([x for _, _, x in held]), return_inverse=True)
+                ready = (np.array([x for x, _, _ in held]), np.array([x for _, x, _ in held]), sizes, np.cumsum(sizes) - sizes, known, ids)
+            classes, roots, sizes, begin, known, ids = ready
+            at = np.searchsorted(known, sets[i])
+            at = at[known[np.minimum(at, len(known) - 1)] == sets[i]]
+            mark = np.zeros(len(known), np.int32)
+            mark[at] = 1
+            same = np.add.reduceat(mark[ids], begin)
+            good = (100 * same >= PERCENT * (sizes + len(sets[i]) - same)) & (roots != root[i])
+            j = np.flatnonzero(good)
+            for k in j[np.unique(roots[j], return_index=True)[1]]:
+                found.append((int(c[i]), int(classes[k])))
+        yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(3)
     for b in batches:
@@ -211,16 +244,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        texts = pa.RecordBatch.from_arrays([pa.array([zstandard.decompress(x.as_py()) for x in column], pa.binary())], ["text"])
-        for part in V.slices(texts, "text", 1 << 21):
-            out += shingle_sets(V.words(part.column(0), lower=True))
-        return out
-
     for b in batches:
         good = []
-        for x, y in zip(sets(b.column(2)), sets(b.column(3)), strict=True):
+        for x, y in zip(_sets(b.column(2)), _sets(b.column(3)), strict=True):
             same = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * same >= PERCENT * (len(x) + len(y) - same))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
@@ -245,18 +271,31 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = stored(in_arrow(ordered, _survey, SEEN), "regions")
     best = seen.where("kind > 0").groupBy("class", "kind").agg(F.min(F.struct("apart", "other")).alias("best"))
     first = stored(_pairs(best.select("class", F.col("best.other").alias("other"))), "pairs")
-    wanted = first.select(F.col("a").alias("class")).unionByName(first.select(F.col("b").alias("class"))).distinct().join(classes.select("class", "row"), "class")
+    large = 2 * WINDOW + 1
+    wanted = first.select(F.col("a").alias("class")).unionByName(first.select(F.col("b").alias("class"))).unionByName(seen.where((F.col("kind") == 0) & (F.col("apart") > large)).select("class"))
+    wanted = wanted.distinct().join(classes.select("class", "row"), "class")
     packed = in_arrow(docs.select("row", "text"), _packed, "row long, data binary")
     texts = stored(packed.join(wanted, "row").groupBy("class").agg(F.first("data").alias("data")), "texts")
     done = stored(confirm(first, texts), "confirmed")
     good = done.where("linked").select("a", "b")
     roots = stored(components(good), "roots")
-    members = seen.where("kind = 0").select("key", "deep", "s0", "s1", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = seen.where("kind = 0").select("key", "deep", "s0", "s1", "class", "apart").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     members = stored(members, "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    again = members.join(mixed, "key", "left_semi").select("key", "deep", "s0", "s1", "class", "root").repartition("key").sortWithinPartitions("key", "deep", "class")
+    # small regions by pairs
+    few = members.where(F.col("apart") <= large)
+    mixed = few.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    again = few.join(mixed, "key", "left_semi").select("key", "deep", "s0", "s1", "class", "root").repartition("key").sortWithinPartitions("key", "deep", "class")
     second = in_arrow(again, _between, PAIR).distinct().join(done, ["a", "b"], "left_anti")
-    more = stored(confirm(second, texts), "confirmed").where("linked").select("a", "b")
+    # large ones by blocks
+    many = members.where(F.col("apart") > large)
+    shares = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all")).where("main.n < all").select("key", F.col("main.root").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("blocks"))
+    rows = many.select("key", "class", "root").join(mains, "key")
+    held = rows.select("key", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "class", "root")
+    asked = rows.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "class", "root")
+    with_texts = held.unionByName(asked).join(texts, "class").repartition("key", "block").sortWithinPartitions("key", "block", "role", "class")
+    across = in_arrow(with_texts.select("key", "block", "role", "class", "root", "data"), _compare, PAIR).distinct()
+    more = stored(confirm(second, texts).where("linked").select("a", "b").unionByName(across), "confirmed")
     return good.unionByName(more), classes
 
 
