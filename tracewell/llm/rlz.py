@@ -10,8 +10,9 @@ under windows that start in a document with a smaller doc_id.
 
 Blocks move as window hashes of 6 bytes, grouped by 8 more of the anchor. Before that, blocks that equal
 another of a smaller doc_id in the same slice of the input are settled, so a passage in a third of all
-documents is moved once a slice. What is left of a hot anchor is streamed: its task holds some Arrow batches
-and the distinct windows of that anchor, never its rows.
+documents is moved once a slice, and a block that a document repeats is moved once. Windows of hot anchors, of which a pass before counts all, are blocks of
+their own and dealt by their own hashes. A block's task streams: it holds some Arrow batches and the distinct
+windows of one anchor.
 
 Defined results. Null and empty texts: no words. Documents below LENGTH words: nothing removed. Null doc_id:
 neither source nor cut. Rows that share a doc_id aren't sources of one another. Extra columns are ignored by
@@ -34,9 +35,11 @@ from .common import gathered, in_arrow, table
 
 LENGTH = 50
 GRAM = 8
+#: An anchor of so many blocks is hot, up to MOST_HOT of them; so the list that is broadcast is bounded.
+HOT, MOST_HOT = 4096, 100_000
 #: Bytes of a window's hash, beside its anchor's eight.
 WIDTH = 6
-BLOCK = "anchor long, doc_id long, row long, first int, words int, windows binary"
+BLOCK = "anchor long, doc_id long, row long, places binary, words int, windows binary"
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -49,49 +52,100 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _blocks(length: int, gram: int):
+def _anchors(w: V.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of GRAM-word sequences, the starts of windows within one document, and the positions of their anchors."""
+    n = len(w.hash)
+    stop = np.repeat(w.first[1:], np.diff(w.first))
+    starts = np.flatnonzero(np.arange(n) + length <= stop)
+    grams, _ = w.windows(gram)
+    if not len(starts):
+        return grams, starts, starts
+    # the position in the lower half names the anchor and makes the leftmost the least
+    low = np.uint64((1 << 32) - 1)
+    packed = (V.mix(grams) & ~low) | np.arange(n, dtype=np.uint64)
+    least = _least(packed[: n - gram + 1], length - gram + 1)
+    return grams, starts, (least[starts] & low).astype(np.int64)
+
+
+def _tally(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in V.slices(whole, "text", 1 << 21):
+                grams, _, anchor = _anchors(V.words(b.column(0)), length, gram)
+                found, n = np.unique(grams[anchor[np.append(True, np.diff(anchor) != 0)]] if len(anchor) else grams[:0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, least: int = HOT, most: int = MOST_HOT) -> np.ndarray:
+    """The anchors of at least `least` blocks, the `most` most frequent of them; they only decide how windows are dealt."""
+    counts = in_arrow(docs.select("text"), _tally(length, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(most).select("anchor").toArrow()
+    return np.sort(found.column(0).combine_chunks().to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+
+
+def _in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x if len(among) else np.zeros(len(x), bool)
+
+
+def _blocks(length: int, gram: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in V.slices(whole, "text", 1 << 21):
                 w = V.words(b.column(2))
-                n = len(w.hash)
-                windows, ok = w.windows(length)
-                if not ok.any():
+                grams, starts, anchor = _anchors(w, length, gram)
+                if not len(starts):
                     continue
-                grams, _ = w.windows(gram)
-                # the position in the lower half names the anchor and makes the leftmost the least
-                low = np.uint64((1 << 32) - 1)
-                packed = (V.mix(grams) & ~low) | np.arange(n, dtype=np.uint64)
-                least = _least(packed[: n - gram + 1], length - gram + 1)
-                starts = np.flatnonzero(ok)
-                anchor = (least[starts] & low).astype(np.int64)
+                windows = w.windows(length)[0][starts]
                 doc = np.searchsorted(w.first, starts, "right") - 1
-                new = np.append(True, (np.diff(anchor) != 0) | (np.diff(doc) != 0))
-                begin = np.flatnonzero(new)
+                alone = _in(grams[anchor], hot.value)
+                begin = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(doc) != 0)) | alone)
                 sizes = np.diff(np.append(begin, len(starts)))
                 own = doc[begin]
-                ids = b.column(0).to_numpy()[own]
+                ids, rows, first = b.column(0).to_numpy()[own], b.column(1).to_numpy()[own], starts[begin] - w.first[own]
+                key = grams[anchor[begin]]
+                key = np.where(alone[begin], V.mix(key ^ V.mix(windows[begin])), key)
                 # blocks that equal one of a smaller doc_id here are settled: they go on as factors, without windows
                 up, _ = V.powers(0x9FB21C651E98DF25, int(sizes.max()))
                 place = np.arange(len(starts)) - np.repeat(begin, sizes)
-                same = V.mix(grams[anchor[begin]] ^ V.mix(np.add.reduceat(windows[starts] * up[place], begin) + sizes.astype(np.uint64)))
+                same = V.mix(key ^ V.mix(np.add.reduceat(windows * up[place], begin) + sizes.astype(np.uint64)))
                 order = np.lexsort((ids, same))
                 head = np.append(True, np.diff(same[order]) != 0)
                 source = np.empty(len(ids), np.int64)
                 source[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
                 settled = source < ids
-                rows = b.column(1).to_numpy()[own]
-                data = np.ascontiguousarray(windows[starts][~np.repeat(settled, sizes)]).view(np.uint8).reshape(-1, 8)[:, :WIDTH].ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.where(settled, rows, grams[anchor[begin]].view(np.int64))), pa.array(np.where(settled, source, ids)), pa.array(rows),
-                        pa.array(starts[begin] - w.first[own], pa.int32()), pa.array(np.where(settled, sizes + length - 1, 0), pa.int32()),
-                        V.binary(data, np.append(0, np.cumsum(np.where(settled, 0, sizes))) * WIDTH),
-                    ], ["anchor", "doc_id", "row", "first", "words", "windows"])
+                # a block that a document repeats is sent once, with all its places
+                left = np.flatnonzero(~settled)
+                left = left[np.lexsort((first[left], same[left], own[left]))]
+                if len(left):
+                    head = np.flatnonzero(np.append(True, (np.diff(same[left].view(np.int64)) != 0) | (np.diff(own[left]) != 0)))
+                    one = left[head]
+                    at = np.repeat(begin[one], sizes[one]) + np.arange(sizes[one].sum()) - np.repeat(np.cumsum(sizes[one]) - sizes[one], sizes[one])
+                    data = np.ascontiguousarray(windows[at]).view(np.uint8).reshape(-1, 8)[:, :WIDTH].ravel()
+                    places = V.binary(first[left].astype(np.int32).view(np.uint8), np.append(head, len(left)) * 4)
+                    yield _batch(key[one].view(np.int64), ids[one], rows[one], places, np.zeros(len(one)), V.binary(data, np.append(0, np.cumsum(sizes[one])) * WIDTH))
+                rows, first, sizes, source = rows[settled], first[settled], sizes[settled], source[settled]
+                if len(rows):
+                    run_at = np.flatnonzero(np.append(True, (np.diff(own[settled]) != 0) | (np.diff(source) != 0) | (first[1:] != first[:-1] + sizes[:-1])))
+                    places = V.binary(first[run_at].astype(np.int32).view(np.uint8), np.arange(len(run_at) + 1) * 4)
+                    yield _batch(rows[run_at], source[run_at], rows[run_at], places, np.add.reduceat(sizes, run_at) + length - 1, pa.array([b""] * len(run_at), pa.binary()))
 
     return run
 
 
+def _batch(anchor, doc_id, row, places, words, windows) -> pa.RecordBatch:
+    columns = [pa.array(anchor), pa.array(doc_id), pa.array(row), places, pa.array(words.astype(np.int32)), windows]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "row", "places", "words", "windows"])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's offsets from 0, and its bytes."""
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
 FACTOR = "row long, start int, words int, source long"
 
 
@@ -102,16 +156,17 @@ def _factors(length: int):
         for b in gathered(batches):
             settled = pc.greater(b.column(4), 0)
             done = b.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), done.column(4), done.column(1)], ["row", "start", "words", "source"])
+            yield pa.RecordBatch.from_arrays([done.column(2), pa.array(_bytes(done.column(3))[1].view(np.int32)), done.column(4), done.column(1)], ["row", "start", "words", "source"])
             b = b.filter(pc.invert(settled))
             if not b.num_rows:
                 continue
-            anchor, doc, row, first = (b.column(i).to_numpy() for i in range(4))
-            _, at, data = b.column(5).buffers()
-            at = np.frombuffer(at, np.int32)[b.column(5).offset : b.column(5).offset + b.num_rows + 1].astype(np.int64)
+            anchor, doc, row = (b.column(i).to_numpy() for i in range(3))
+            places_at, places = _bytes(b.column(3))
+            places_at, places = places_at // 4, np.ascontiguousarray(places).view(np.int32)
+            at, data = _bytes(b.column(5))
             sizes = np.diff(at) // WIDTH
             one = np.zeros((int(sizes.sum()), 8), np.uint8)
-            one[:, :WIDTH] = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, WIDTH)
+            one[:, :WIDTH] = data.reshape(-1, WIDTH)
             group = np.cumsum(np.append(True, np.diff(anchor) != 0))  # from 1; rows of a group are by doc_id
             if last is not None and last == anchor[0]:
                 group_old = np.ones(len(seen), np.int64)
@@ -139,19 +194,26 @@ def _factors(length: int):
             hit = np.flatnonzero(least < doc[of])
             if not len(hit):
                 continue
-            position = (np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[use] + first[of]
+            position = (np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[use]
             h_row, h_at, h_source = of[hit], position[hit], least[hit]
             new = np.append(True, (np.diff(h_row) != 0) | (np.diff(h_at) != 1) | (np.diff(h_source) != 0))
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, len(hit)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[h_row[begin]]), pa.array(h_at[begin], pa.int32()), pa.array(count + length - 1, pa.int32()), pa.array(h_source[begin])], ["row", "start", "words", "source"])
+            # each factor at all places of its block
+            r = h_row[begin]
+            times = places_at[r + 1] - places_at[r]
+            again = np.repeat(np.arange(len(r)), times)
+            place = places[np.repeat(places_at[r], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[r][again]), pa.array((h_at[begin][again] + place).astype(np.int32)), pa.array((count[again] + length - 1).astype(np.int32)), pa.array(h_source[begin][again])], ["row", "start", "words", "source"])
 
     return run
 
 
 def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row, start and number of words, and source doc_id of the factors; docs: doc_id, row, text."""
-    blocks = in_arrow(docs.where("doc_id is not null").select("doc_id", "row", "text"), _blocks(length, gram), BLOCK)
+    docs = docs.where("doc_id is not null")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, length, gram))
+    blocks = in_arrow(docs.select("doc_id", "row", "text"), _blocks(length, gram, hot), BLOCK)
     ordered = blocks.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     return in_arrow(ordered, _factors(length), FACTOR)
 
