@@ -1,0 +1,479 @@
+"""The operators against brute force, round trips, SQL and held-out accuracy."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tracewell.llm import chat, components, decontaminate, html, imatch, langid, neardup, packing, pii, queries, rlz, vectext, warc
+
+SMALL = "/root/testdata/sf0.001"
+here = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return _WORD.findall((text or "").encode())
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "pages", "benchmark", "conversations")}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab \t\n\x0b\x1c\xa0é", max_size=12)), max_size=6), st.integers(1, 4))
+def test_words_and_windows(texts, k):
+    w = vectext.words(pa.array(texts, pa.string()))
+    got = [[bytes(w.data[w.start[i] : w.end[i]]) for i in range(w.first[d], w.first[d + 1])] for d in range(len(texts))]
+    assert got == [words(t) for t in texts]
+    h, inside = w.windows(k)
+    seen = {}
+    flat = [(d, i) for d, x in enumerate(got) for i in range(len(x))]
+    for at, (d, i) in enumerate(flat):
+        assert inside[at] == (i + k <= len(got[d]))
+        if inside[at]:
+            assert seen.setdefault(h[at], tuple(got[d][i : i + k])) == tuple(got[d][i : i + k])
+    assert len(seen) == len(set(seen.values()))
+
+
+def test_hashes_over_spans():
+    """Words are hashed alike wherever a span ends."""
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    whole, old = vectext.words(pa.array([text])).hash, vectext.SPAN
+    try:
+        vectext.SPAN = 50
+        assert (vectext.words(pa.array([text])).hash == whole).all()
+    finally:
+        vectext.SPAN = old
+
+
+@here
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SMALL):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{SMALL}/{t}'")
+    df = queries.QUERIES[name](spark, SMALL)
+    r = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in r.description]
+    order = [names.index(c) for c in sorted(df.columns)]
+    assert sorted(str([x[c] for c in sorted(df.columns)]) for x in df.collect()) == sorted(str([x[i] for i in order]) for x in r.fetchall())
+
+
+# 1: decontamination
+
+ITEM = "Maria bought 12 apples and 7 pears for 30 dollars , then Maria sold 4 apples to Peter near London"
+
+
+def test_templates(spark):
+    noise = "and so it went on for a while with nothing of note in sight at all"
+    same = ITEM.replace("Maria", "Olga").replace("12", "15").replace("Peter", "Hans").replace("London", "Paris")
+    mixed = "Olga bought 15 apples and 8 pears for 31 dollars , then Jane sold 4 apples to Hans near Paris"
+    docs = [(1, f"{noise} {ITEM} {noise}"), (2, f"{noise} {same} {noise}"), (3, noise), (4, ITEM.lower()), (5, " ".join(ITEM.split()[:9])), (6, f"{noise} {mixed}"), (7, " ".join(reversed(ITEM.split())))]
+    b = spark.createDataFrame([(10, ITEM), (11, "tiny item")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert set(got) == {1, 2, 4, 6} and got[1]["verbatim"] and not got[2]["verbatim"] and got[2]["conflicts"] == 0 and got[6]["conflicts"] == 1
+    few = ITEM.replace("12", "3").replace("sold 4", "sold 9")
+    odd = few.replace("Maria sold", "Karl sold").replace("4", "5")
+    assert decontaminate.contaminated(spark.createDataFrame([(1, odd)], "doc_id long, text string"), b).count() == 1
+    decontaminate_old = decontaminate.CONFLICTS
+    assert decontaminate_old == 0.2
+
+
+@here
+def test_verbatim_passages(spark, small):
+    items = [tuple(r) for r in small["benchmark"].collect()]
+    want = {(d, i) for d, t in small["documents"].select("doc_id", "text").collect() for i, x in items if x in (t or "")}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op1_decontamination"](spark, SMALL).collect()}
+    assert got == want and want
+
+
+def test_large_benchmarks_need_no_bitmap(spark):
+    b = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    items = decontaminate.item_windows(b)
+    assert decontaminate._bitmap(items, 0)[0] is None
+    bitmap, bits, ks = decontaminate._bitmap(items)
+    h = np.array([r["hash"] for r in items.collect()], np.int64).view(np.uint64)
+    assert ks == [8] and decontaminate._has(bitmap, h & np.uint64((1 << bits) - 1)).all()
+
+
+# 2: WARC
+
+
+def test_archives_round_trip(spark):
+    tricky = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\nabc</p>\r\n\r\n" * 5
+    rows = [(3, "http://a/", tricky), (1, "http://b/", tricky), (2, "http://c/", "short"), (4, "http://d/", "short"), (9, "http://e/", tricky)]
+    path = warc.new_path(spark, "w")
+    warc.write_archive(warc.deduplicate(warc.to_records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))), path)
+    records = {r["page_id"]: r for r in warc.read_archive(spark, path).collect()}
+    assert bytes(records[1]["payload"]) == tricky.encode() and records[3]["payload"] is None and records[3]["url"] == "http://a/"
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.resolve_revisits(warc.read_archive(spark, path)).collect()}
+    n = len(tricky.encode())
+    assert got == {1: ("response", None, n), 3: ("revisit", 1, n), 9: ("revisit", 1, n), 2: ("response", None, 5), 4: ("response", None, 5)}
+
+
+# 3: substring deduplication
+
+
+def cut_by_force(docs, n=50):
+    first = {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            first.setdefault(tuple(w[i : i + n]), d)
+    out = []
+    for d, t in docs:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if first[tuple(w[i : i + n])] < d:
+                gone[i : i + n] = [True] * n
+        out.append((d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_rlz_by_force(spark, monkeypatch, hot):
+    r = random.Random(7)
+    pool = [[f"w{r.randrange(5000)}" for _ in range(r.randrange(50, 140))] for _ in range(8)]
+    line = ["same", "line"] * 60
+    docs = []
+    for d in range(120):
+        w = []
+        for _ in range(r.randrange(4)):
+            w += [f"u{r.randrange(10**6)}" for _ in range(r.randrange(60))]
+            p = r.choice(pool)
+            a = r.randrange(len(p) // 2)
+            w += p[a : a + r.randrange(1, len(p))] if r.random() < 0.7 else line[: r.randrange(120)]
+        docs.append((d, " ".join(w)))
+    docs[5] = (5, docs[90][1])
+    monkeypatch.setattr(rlz.hot_anchors, "__defaults__", (50, 8, hot, 100))
+    for n in (1, 7):
+        got = sorted(map(tuple, rlz.cut(spark.createDataFrame(docs, "doc_id long, text string").repartition(n)).collect()))
+        assert got == cut_by_force(docs)
+
+
+@here
+def test_rlz_on_documents(spark, small):
+    docs = [tuple(r) for r in small["documents"].select("doc_id", "text").collect()]
+    assert sorted(map(tuple, rlz.cut(small["documents"]).collect())) == cut_by_force(docs)
+
+
+def test_factors_name_the_earliest_source(spark):
+    p = [f"p{i}" for i in range(120)]
+    docs = [(1, " ".join(p[:60])), (2, " ".join(p)), (3, " ".join(["x", *p, "y"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.col("doc_id"))
+    got = sorted(tuple(r) for r in rlz.factors(df).where("row = 3").collect())
+    covered = collections.defaultdict(set)
+    for _, start, n, source in got:
+        covered[source] |= set(range(start, start + n))
+    assert covered[1] == set(range(1, 61)) and covered[1] | covered[2] == set(range(1, 121))
+
+
+# 4: packing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=80))
+def test_ids_are_those_of_tokenizers(text):
+    e = encoder()
+    assert e(text) == e.by_tokenizers(text)
+
+
+_ENCODER = []
+
+
+def encoder():
+    if not _ENCODER:
+        _ENCODER.append(packing.Encoder())
+    return _ENCODER[0]
+
+
+def test_special_tokens_are_text():
+    e = encoder()
+    for text in ("<|endoftext|>", "a <|endoftext|> b", " " * 300, "\n" * 200 + "x", "x" * 4000):
+        assert e(text) == e.by_tokenizers(text) and 50256 not in e(text)
+
+
+@here
+def test_sequences(spark, small):
+    e = encoder()
+    texts = {d: [*e(t or ""), 0] for d, t in small["documents"].select("doc_id", "text").collect()}
+    rows = packing.pack(small["documents"]).collect()
+    docs, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        docs[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+        ids = np.array(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(ids) == r["length"] > 0 and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+    for d, ids in texts.items():
+        at = 0
+        for r in sorted(docs[d], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+        assert at == len(ids)
+    total = 0
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        total += at
+    assert total / (1024 * len(sequences)) > 0.98
+
+
+def test_leftovers_are_merged_without_overlap(spark):
+    r = random.Random(8)
+    rows = [(i, 0, n, 0, n, i, 0) for i, n in enumerate(r.randrange(1, 1017) for _ in range(700))]
+    merged = packing.merge_leftovers(spark.createDataFrame(rows, packing.PIECE), len(rows), most=64).collect()
+    assert sorted(x["doc_id"] for x in merged) == list(range(700))
+    by = collections.defaultdict(list)
+    for x in merged:
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert sum(x["length"] for x in merged) / (1024 * len(by)) > 0.9
+
+
+# 5: language
+
+
+@here
+def test_held_out_accuracy(spark, small):
+    got = langid.identify(small["documents"]).join(small["documents"].select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.97
+
+
+def test_labels_and_ids_are_no_input(spark, small):
+    model = langid.train(langid.learnable(small["documents"]))
+    other = small["documents"].select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("xx").alias("lang"))
+    a = sorted((r["doc_id"], r["lang_pred"]) for r in langid.apply(small["documents"], model, ["doc_id"]).collect())
+    b = sorted((r["doc_id"] - 1000, r["lang_pred"]) for r in langid.apply(other, model, ["doc_id"]).collect())
+    assert a == b
+
+
+def test_elastic_net_and_temperature():
+    r = np.random.default_rng(1)
+    rows = [(np.array([y, 10 + int(r.integers(50))]), np.array([1.0, 0.3]), y) for y in r.integers(0, 3, 300).tolist()]
+    w = langid.fit(rows, 3)
+    assert (w[:3].argmax(1) == [0, 1, 2]).all() and (langid.fit(rows, 3, l1=1.0) != 0).sum() < (w != 0).sum()
+    logits = r.normal(size=(500, 3))
+    y = np.array([r.choice(3, p=langid.softmax(z / 2)) for z in logits])
+    assert 1.2 < langid.calibrate(logits, y) < 3.5 and langid.calibrate(logits[:0], y[:0]) == 1.0
+
+
+# 6: chat
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("<|\\end>sart\n", max_size=20))
+def test_escapes(text):
+    e = chat.escape(text)
+    assert "<|" not in e and chat.unescape(e) == text
+
+
+# 7: personal data
+
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def spans(text):
+    return [(k, m.start(), m.end()) for k, (p, ok) in PLAIN.items() for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+def test_pii_by_force(spark):
+    r = random.Random(9)
+    bits = ["a@b.co", "x.y@z", "@", "%", "4111 1111 1111 1111", "4111111111111112", "1.2.3.4", "999.1.1.1", "0001.02.3.255", "+1 (555) 010-9999", "+", " ", ".", "-", "7", "é", "𝄞", "a@b.c.d%q@r.s.t", "1.2.3.4.5.6.7.8", "￿"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(1500)] + ["a" * 3000, "a@" * 2000, "1." * 3000, "+1 " * 2000, ".a" * 4000 + "@b"]
+    got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans(t))
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), (t, listed, got[i]["spans"])
+        assert got[i]["spans"].startswith(listed) and got[i]["n_phone"] == sum(k == "phone" for k, *_ in spans(t))
+
+
+def test_added_kinds_scores_and_redaction(spark):
+    text = "My IBAN is DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01. Social security 123-45-6789; part 123-45-6788. Card 4111111111111111 or order 4111111111111111, mail me: a.b@c.org"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "x@1.2.3.4 +4111 1111 1111 1111")], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in pii.with_spans(df).collect()}
+    kinds = [(s["kind"], text[s["start"] : s["end"]]) for s in r[1]["pii_spans"]]
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in kinds and sum(k == "iban" for k, _ in kinds) == 1
+    assert [x for k, x in kinds if k == "ssn"] == ["123-45-6789", "123-45-6788"][: sum(k == "ssn" for k, _ in kinds)]
+    cards = [s["score"] for s in r[1]["pii_spans"] if s["kind"] == "card"]
+    assert cards[0] > cards[1]
+    clean = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert "[IBAN]" in clean[1] and "[EMAIL]" in clean[1] and "4111" not in clean[1] and clean[2] is None and clean[3] == "[EMAIL] +[CARD]"
+
+
+# 8: I-Match
+
+
+def test_fingerprints(spark):
+    r = random.Random(10)
+    pool = [f"term{i}" for i in range(3000)]
+    docs = [(i, " ".join(r.choice(pool) for _ in range(200))) for i in range(60)]
+    near = docs[0][1].split()
+    near[5:9] = ["new", "words", "here", "now"]
+    docs += [(60, " ".join(near)), (61, docs[0][1]), (62, "odd"), (63, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in imatch.compare(df.repartition(4)).collect()}
+    for i, (d, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t)
+    assert got[0]["fingerprint"] == got[61]["fingerprint"] != got[60]["fingerprint"]
+    assert got[60]["near_next"] > 0.6 and np.mean([got[i]["near_edited"] for i in range(60)]) > 0.15 > np.mean([got[i]["near_next"] for i in range(58)])
+
+
+def test_document_frequencies(spark, small):
+    want = collections.Counter(h for (t,) in small["documents"].select("text").collect() for h in set(vectext.words(pa.array([t]), lower=True).hash.view(np.int64).tolist()))
+    assert {r["term"]: r["n"] for r in imatch.document_frequencies(small["documents"]).collect()} == dict(want)
+
+
+# 9: pages
+
+
+def test_noise_goes_and_text_stays():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<header>Site</header><nav><ul><li>Home</ul></nav><div class="cookie-notice">We use cookies</div><aside>Side</aside>
+<article><h1>Head &amp; tail</h1><p>One<br>two <b>bold<p>Three&nbsp;four &lt;tag&gt; 5 &#8364;<form>Mail? <input></form><div class="ad">Buy</div><ul><li>a<li>b</ul>
+<section id="comments"><p>First!</p></section><p hidden>no</p><!-- gone --></article><footer>(c)</footer></body></html>"""
+    assert html.main_text(html.parse(page), {}) == "Head & tail\n\nOne two bold\n\nThree four <tag> 5 €\n\na\n\nb"
+
+
+def test_site_trees_remove_repeated_branches(spark):
+    pages = [(i, f"http://h.example/{i}", f"<html><body><div class='alpha'>Always the same</div><div class='beta'>Text number {i} with words</div></body></html>") for i in range(20)]
+    pages += [(99, "http://other.example/", "<html><body><div class='alpha'>Always the same</div></body></html>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Text number 7 with words" and got[99] == "Always the same"
+
+
+def test_hosts_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(html, "MOST_BROADCAST", -1)
+    test_site_trees_remove_repeated_branches(spark)
+
+
+@here
+def test_articles_of_pages(spark, small):
+    from html import unescape
+
+    for r in html.extract(small["pages"]).join(small["pages"].select("page_id", "html"), "page_id").collect():
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub("<[^>]+>", "", x.replace("<br>", "\n"))).split()) for x in re.split("</?(?:p|h1)>", inner)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b)
+
+
+# 10: near duplicates
+
+
+def groups_by_force(docs):
+    def shingles(t):
+        w = words(t.lower() if t and t.isascii() else t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = {d: shingles(t) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_near_duplicates_by_force(spark):
+    r = random.Random(11)
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{r.randrange(4000)}" for _ in range(r.randrange(6, 150))]
+        for _ in range(r.choice([1, 2, 5, 90])):
+            w = list(base)
+            for _ in range(r.randrange(0, max(1, len(base) // 30) + 1)):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    r.shuffle(docs)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)] + [(900, ""), (901, "One two"), (902, "ONE TWO"), (903, "one two")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == groups_by_force(docs)
+
+
+@here
+def test_near_duplicates_of_documents(spark, small):
+    docs = [tuple(x) for x in small["documents"].select("doc_id", "text").collect()]
+    lower = [(d, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for d, t in docs]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(small["documents"]).collect()}
+    assert got == groups_by_force(lower)
+
+
+def test_components(spark):
+    r = random.Random(12)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for x in {v for e in edges if e[0] != e[1] for v in e}}
+    assert {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+# the pipeline
+
+
+@here
+def test_pipeline_against_its_parts(spark, small):
+    docs = small["documents"]
+    items = [t for (t,) in small["benchmark"].select("text").collect()]
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lower = [(d, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for d, t in rows.items() if any(c.isalpha() for c in t or "")]
+    kept = {d for d, (_, c) in groups_by_force(lower).items() if c == d}
+    kept = {d for d in kept if not any(x in rows[d] for x in items)}
+    e = encoder()
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == {d: len(e(clean[d])) + 1 for d in kept}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "PII", "packing"]

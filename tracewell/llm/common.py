@@ -72,3 +72,11 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return df.mapInArrow(f, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import in_arrow, stored, table
+from .common import fresh, in_arrow, stored, table
 
 WINDOW = 8
 #: Of a window's words so many in WINDOW must be neither placeholders nor missing.
@@ -186,7 +186,7 @@ FOUND = "doc_id long, row long, item_id long, matched_words long, item_words lon
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document row and item that contaminates it."""
     items = stored(item_windows(benchmark), "items")
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     pairs = candidates(keyed, items).join(items, "hash").select("doc_id", "row", "item_id", "item_words", "p", "q", "k", "doc_values", "item_values", "kinds").distinct()
     ordered = pairs.repartition("row", "item_id").sortWithinPartitions("row", "doc_id", "item_id", "item_words")
 
@@ -226,8 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, same columns, without contaminated rows."""
     columns = docs.columns
-    found = stored(matches(docs, benchmark).select(F.col("row").alias("__row")).distinct(), "contaminated")
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(found, "__row", "left_anti").select(*columns)
+    row = fresh(docs, "__row")
+    found = stored(matches(docs, benchmark).select(F.col("row").alias(row)).distinct(), "contaminated")
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(found, row, "left_anti").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, table
+from .common import fresh, in_arrow, table
 
 NGRAM = 3
 BUCKETS = 1 << 16
@@ -183,7 +183,7 @@ def apply(docs: DataFrame, model: Model, columns: list[str], into: tuple[str, st
             found = [held.value.predict(t.as_py()) for t in b.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema.names)
 
-    return in_arrow(docs.select(*columns, F.col("text").alias("__text")), run, schema)
+    return in_arrow(docs.select(*columns, F.col("text").alias(fresh(docs, "__text"))), run, schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -199,8 +199,9 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs, same columns, without those whose language is unknown or less sure than `least`."""
     columns = docs.columns
-    rated = apply(docs, train(learnable(docs)), columns, ("__lang", "__score"))
-    return rated.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*columns)
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    rated = apply(docs, train(learnable(docs)), columns, (lang, score))
+    return rated.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import gathered, in_arrow, stored, table
+from .common import fresh, gathered, in_arrow, stored, table
 from .components import components
 
 SHINGLE = 5
@@ -320,9 +320,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs, same columns, with one row of each group; of rows that repeat the kept one's doc_id and text, one stays."""
     columns = docs.columns
-    kept = grouped(docs).where("doc_id is null or doc_id = component_id").select(F.col("row").alias("__row")).distinct()
-    found = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(stored(kept, "kept"), "__row", "left_semi")
-    return found.where("doc_id is not null").dropDuplicates(["__row"]).unionByName(found.where("doc_id is null")).select(*columns)
+    row = fresh(docs, "__row")
+    kept = grouped(docs).where("doc_id is null or doc_id = component_id").select(F.col("row").alias(row)).distinct()
+    found = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(stored(kept, "kept"), row, "left_semi")
+    return found.where("doc_id is not null").dropDuplicates([row]).unionByName(found.where("doc_id is null")).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 MARK, OTHER = "\uffff", "\ufffe"
 CONTEXT = 40
@@ -115,15 +115,16 @@ def _spans(kind: str, parts: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
     """docs with one more column: all spans by kind as in KINDS, then start."""
     marked = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER)
+    digit, names = fresh(docs, "__digit"), {kind: fresh(docs, f"__{kind}") for kind in KINDS}
     parts = {}
     for kind in KINDS:
         may = F.instr(marked, NEEDS[kind]) > 0 if kind in NEEDS else F.lit(True)
         if kind != "email":
-            may = may & F.col("__digit")
-        parts[f"__{kind}"] = F.split(F.when(may, F.regexp_replace(marked, PATTERNS[kind], f"{MARK}$0{MARK}")).otherwise(""), MARK)
-    out = docs.withColumn("__digit", F.coalesce(F.col(text), F.lit("")).rlike("[0-9]")).withColumns(parts)
-    spans = F.concat(*(_spans(kind, F.col(f"__{kind}")) for kind in KINDS))
-    return out.withColumn(into, spans).drop("__digit", *parts)
+            may = may & F.col(digit)
+        parts[names[kind]] = F.split(F.when(may, F.regexp_replace(marked, PATTERNS[kind], f"{MARK}$0{MARK}")).otherwise(""), MARK)
+    out = docs.withColumn(digit, F.coalesce(F.col(text), F.lit("")).rlike("[0-9]")).withColumns(parts)
+    spans = F.concat(*(_spans(kind, F.col(names[kind])) for kind in KINDS))
+    return out.withColumn(into, spans).drop(digit, *parts)
 
 
 def listed(spans: Column) -> Column:
@@ -147,7 +148,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, same columns, with personal data replaced; null texts stay null."""
-    return with_spans(docs, text, "__pii").withColumn(text, redacted(F.col(text), F.col("__pii"))).drop("__pii")
+    into = fresh(docs, "__pii")
+    return with_spans(docs, text, into).withColumn(text, redacted(F.col(text), F.col(into))).drop(into)
 
 
 def find(docs: DataFrame) -> DataFrame:
