@@ -320,6 +320,20 @@ def test_pii_by_force(spark):
         assert got[i]["spans"].startswith(listed) and got[i]["n_phone"] == sum(k == "phone" for k, *_ in spans(t))
 
 
+def test_pii_sql_on_odd_texts(spark):
+    r = random.Random(13)
+    bits = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 01", "123-45-6789", "666-45-6789", "social security ", "ssn ", "order ", " iban ", "bank ", " ", "_", "x", "é", "4111 1111 1111 1111", "card ", "1.2.3.4", "ip ", ",", "serial "]
+    docs = [(i, "".join(r.choice(bits) for _ in range(r.randrange(1, 9)))) for i in range(800)] + [(900, None)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    c = con.execute(pii.ORACLE)
+    names = [d[0] for d in c.description]
+    want = sorted(tuple(row[names.index(n)] for n in ("doc_id", "spans", "scores", "base_sha256")) for row in c.fetchall())
+    got = sorted((x["doc_id"], x["spans"], x["scores"], x["base_sha256"]) for x in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == want and sum("iban" in x[1] for x in got) > 20 and sum("ssn" in x[1] for x in got) > 2
+
+
 def test_added_kinds_scores_and_redaction(spark):
     text = "My IBAN is DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01. Social security 123-45-6789; part 123-45-6788. Card 4111111111111111 or order 4111111111111111, mail me: a.b@c.org"
     df = spark.createDataFrame([(1, text), (2, None), (3, "x@1.2.3.4 +4111 1111 1111 1111")], "doc_id long, text string")

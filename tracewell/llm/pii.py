@@ -35,14 +35,16 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # \b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b, for words in ASCII
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    # \b[0-9]{3}-[0-9]{2}-[0-9]{4}\b
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 #: Without this a text has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 SCORES = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 RAISE = {
-    "email": "e-?mail|contact|write|mail", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|credit|master|payment|karte|carte|tarjeta",
+    "email": "e-?mail|contact|write|mail", "ip": r"(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server|login", "card": "card|visa|credit|master|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax|anruf|handy", "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social|security",
 }
 LOWER = {"email": "example|noreply", "ip": "version|release|section", "card": "order|invoice|serial|isbn|tracking", "phone": "order|invoice|serial|isbn", "iban": "order|serial|part no", "ssn": "order|serial|part no"}
@@ -160,3 +162,35 @@ def find(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    kinds = ", ".join(f"('{k}', {i}, '{plain[k]}', '{RAISE[k]}', '{LOWER[k]}', {SCORES[k]})" for i, k in enumerate(KINDS))
+    count = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+    return f"""
+WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(65535), chr(65534)) AS t FROM documents),
+k(kind, o, pattern, up, down, base) AS (VALUES {kinds}),
+p AS (SELECT doc_id, kind, o, up, down, base, string_split(regexp_replace(t, pattern, chr(65535) || '\\0' || chr(65535), 'g'), chr(65535)) AS parts FROM t, k),
+u AS (SELECT * EXCLUDE parts, unnest(parts) AS m, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM p),
+s AS (SELECT *, CAST(sum(length(m)) OVER w - length(m) AS BIGINT) AS a, lower(right(lag(m) OVER w, 40) || ' ' || left(lead(m) OVER w, 40)) AS near FROM u WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+c AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS code,
+  round(least(1, greatest(0, base + CASE WHEN regexp_matches(near, up) THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(near, down) THEN 0.3 ELSE 0 END)), 2) AS score FROM s WHERE i % 2 = 0),
+f AS (SELECT doc_id, kind, o, a, kind || ':' || a || ':' || (a + length(m)) AS span, score FROM c WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN regexp_full_match(m, '{part}(?:\\.{part}){{3}}')
+  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(digits[length(digits) - j + 1] AS INT) WHEN CAST(digits[length(digits) - j + 1] AS INT) > 4 THEN CAST(digits[length(digits) - j + 1] AS INT) * 2 - 9 ELSE CAST(digits[length(digits) - j + 1] AS INT) * 2 END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+  WHEN 'iban' THEN score >= {LEAST} AND list_reduce(list_transform(string_split(code[5:] || code[:4], ''), lambda x: CAST(CASE WHEN ascii(x) < 58 THEN ascii(x) - 48 ELSE ascii(x) - 55 END AS BIGINT)), lambda r, x: (r * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97, CAST(0 AS BIGINT)) = 1
+  WHEN 'ssn' THEN score >= {LEAST} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') END),
+g AS (SELECT doc_id, {count}, coalesce(string_agg(span, ',' ORDER BY o, a) FILTER (o < {len(BASE)}), '') AS base_spans, coalesce(string_agg(span, ',' ORDER BY o, a), '') AS spans, coalesce(string_agg(printf('%.2f', score), ',' ORDER BY o, a), '') AS scores FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+ORACLE = _oracle()

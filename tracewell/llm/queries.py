@@ -21,5 +21,8 @@ QUERIES = {
 }
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE,
+    "op3_rlz": rlz.ORACLE,
     "op6_chat": chat.ORACLE,
+    "op7_pii": pii.ORACLE,
+    "op10_lsh_forest": neardup.ORACLE,
 }
