@@ -307,3 +307,50 @@ def test_expectations(spark):
     assert {(r["case"], r["key"]): r["reason"] for r in x.collect()} == {("c", "k"): "differs k", ("c", "m"): "missing m", ("d", "k"): None}
     h = spark.createDataFrame([("c", True), ("d", True), ("e", False)], "case string, hash_ok boolean")
     assert {r["case"]: r["status"] for r in detect.case_results(x, h).collect()} == {"c": "FAIL", "d": "PASS", "e": "FAIL"}
+
+
+def test_assignments_against_brute_force():
+    r = random.Random(6)
+    for _ in range(40):
+        options = {k: [(float(r.randrange(9)), f) for f in r.sample(range(5), r.randrange(1, 4))] for k in range(3)}
+        best = min(sum(1e7 if x is None else x[0] for x in pick) for pick in itertools.product(*([*o, None] for o in options.values())) if len({x[1] for x in pick if x}) == sum(x is not None for x in pick))
+        got = paths.assign(options)
+        assert sum(1e7 if got[k] is None else dict((f, c) for c, f in options[k])[got[k]] for k in options) == best
+
+
+def test_local_chains(spark):
+    starts = spark.createDataFrame([(1, 0), (1, 1)], "problem long, start long")
+    edges = spark.createDataFrame([(1, 0, 2, 1.0), (1, 0, 3, 2.0), (1, 1, 2, 1.0), (1, 2, 4, 1.0), (1, 3, 4, 5.0)], "problem long, src long, dst long, score double")
+    got = {r["start"]: (r["fragments"], r["ambiguous"]) for r in paths.local_chains(starts, edges).collect()}
+    assert got == {0: ([0, 3], 1), 1: ([1, 2, 4], 0)}
+
+
+def test_registry_triage_and_corpus(spark, tmp_path):
+    import hashlib
+    import json
+
+    from tracewell.operators import formats
+    from tracewell.plans import corpus, triage
+    from tracewell.sources import sinks
+
+    stamp = (26 << 26) | (8 << 22) | (9 << 17)
+    data = b"noise" + b"".join(frames.build(0xFD, i % 2, i, stamp + i, 0, b"\0\0\0\1\x67" + bytes([i]) * 9) for i in range(16))
+    (tmp_path / "d.bin").write_bytes(data)
+    r = formats.default()
+    assert r.names() == ["annexb", "dhav", "hikvision", "mpegps"] and r.get("DHAV").supports("demux") and not r.get("annexb").supports("demux")
+    assert r.descriptors(spark).count() == 4
+    with pytest.raises(ValueError):
+        r.register(r.get("dhav"))
+    row = triage.triage(spark, str(tmp_path / "d.bin")).first()
+    assert row["plugin"] == "dhav" and row["confidence"] == 0.98 and {s["id"]: s["count"] for s in row["signatures"]}["dhav"] == 16 and "scan as dhav" in row["recommendations"]
+    sinks.write_report(triage.triage(spark, str(tmp_path / "d.bin")), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text())["scanned"] == len(data)
+    with pytest.raises(FileExistsError):
+        sinks.write_report(spark.range(1), str(tmp_path / "r.json"), replace=False)
+    chunks = evidence.read(spark, [str(tmp_path / "d.bin")])
+    sizes = sinks.write_streams(frames.demux(frames.carve(chunks)), str(tmp_path / "out"))
+    assert sizes == {"channel-0.h264": 8 * 14, "channel-1.h264": 8 * 14} and (tmp_path / "out" / "channel-1.h264").stat().st_size == 112
+    good = {"case_id": "a", "source": "d.bin", "source_sha256": hashlib.sha256(data).hexdigest(), "expectations": [{"kind": "frame_count", "expected": 16}, {"kind": "size", "expected": 1}, {"kind": "magic", "expected": 1}]}
+    bad = good | {"case_id": "b", "source_sha256": "0" * 64}
+    got = {(x["case"], x["key"]): x["status"] for x in corpus.run(spark, {"schema_version": 1, "cases": [good, bad]}, str(tmp_path)).collect()}
+    assert got == {("a", "source_sha256"): "PASS", ("a", "frame_count"): "PASS", ("a", "size"): "FAIL", ("a", "magic"): "ERROR", ("b", "source_sha256"): "FAIL"}

@@ -171,3 +171,70 @@ def solve_flows(nodes: DataFrame, edges: DataFrame, reward: float, most_margins:
 
     edges = edges.select(F.col("problem").alias("__p"), F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("score").alias("score"))
     return nodes.groupBy("problem").cogroup(edges.groupBy("__p")).applyInPandas(run, FLOW)
+
+
+def assign(options: dict[int, list[tuple[float, int]]], none: float = 1e7) -> dict[int, int | None]:
+    """One continuation or none for each open path, none used twice, at the least total; going without costs `none`.
+
+    Branch and bound: paths with the fewest options first, and what is left at its cheapest as the bound.
+    """
+    order = sorted(options, key=lambda k: (len(options[k]), k))
+    least = [0.0] * (len(order) + 1)
+    for i in range(len(order) - 1, -1, -1):
+        least[i] = least[i + 1] + min([s for s, _ in options[order[i]]] + [none])
+    best: tuple[float, dict] = (float("inf"), {})
+
+    def search(i: int, used: frozenset, cost: float, picked: dict) -> None:
+        nonlocal best
+        if cost + least[i] >= best[0]:
+            return
+        if i == len(order):
+            best = (cost, dict(picked))
+            return
+        for s, f in sorted(options[order[i]]):
+            if f not in used:
+                search(i + 1, used | {f}, cost + s, {**picked, order[i]: f})
+        search(i + 1, used, cost + none, {**picked, order[i]: None})
+
+    search(0, frozenset(), 0.0, {})
+    return best[1]
+
+
+LOCAL = "problem long, start long, fragments array<long>, cost double, ambiguous int"
+
+
+def local_chains(starts: DataFrame, edges: DataFrame, top: int = 6, steps: int = 10_000) -> DataFrame:
+    """Chains by a joint choice at each step, the simpler counterpart of beams and disjoint selection; ambiguous counts steps with more than one option."""
+
+    def run(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, list[tuple[float, int]]] = defaultdict(list)
+        for a, b, c in e[["src", "dst", "score"]].itertuples(index=False):
+            out[int(a)].append((float(c), int(b)))
+        chains = {int(x): ([int(x)], 0.0, 0) for x in s["start"].unique()}
+        used, open_ = set(chains), set(chains)
+        for _ in range(steps):
+            options = {k: sorted((c, t) for c, t in out.get(chains[k][0][-1], ()) if t not in used)[:top] for k in open_}
+            open_ = {k for k in open_ if options[k]}
+            if not open_:
+                break
+            for k, t in assign({k: options[k] for k in open_}).items():
+                path, cost, unsure = chains[k]
+                if t is None:
+                    open_.discard(k)
+                    continue
+                chains[k] = ([*path, t], cost + dict((b, c) for c, b in options[k])[t], unsure + (len(options[k]) > 1))
+                used.add(t)
+        return pd.DataFrame([(key[0], k, p, c, u) for k, (p, c, u) in sorted(chains.items())], columns=["problem", "start", "fragments", "cost", "ambiguous"])
+
+    edges = edges.select(F.col("problem").alias("__p"), F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("score").alias("score"))
+    return starts.groupBy("problem").cogroup(edges.groupBy("__p")).applyInPandas(run, LOCAL)
+
+
+def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """problem, item and fault: nodes or physical indexes given twice, edges to themselves or to unknown nodes. Nodes: problem, node, index."""
+    twice = lambda c, fault: nodes.groupBy("problem", F.col(c).cast("string").alias("item")).count().where("count > 1").select("problem", "item", F.lit(fault).alias("fault"))
+    item = F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string")).alias("item")
+    loops = edges.where("src = dst").select("problem", item, F.lit("edge to itself").alias("fault"))
+    known = nodes.select("problem", F.col("node"))
+    lost = [edges.join(known.withColumnRenamed("node", end), ["problem", end], "left_anti").select("problem", item, F.lit("unknown node").alias("fault")) for end in ("src", "dst")]
+    return twice("node", "node twice").unionByName(twice("index", "index twice")).unionByName(loops).unionByName(lost[0]).unionByName(lost[1]).distinct()

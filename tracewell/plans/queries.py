@@ -397,3 +397,42 @@ def disjoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     return paths.solve_flows(nodes, edges, 20.0)
+
+
+@query()
+def local_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return paths.local_chains(nodes.where("is_start").select("problem", F.col("node").alias("start")), edges)
+
+
+@query("""WITH n AS (SELECT p_partkey // 12 AS problem, p_partkey % 11 AS node, p_size % 9 AS index FROM part), e AS (SELECT p_partkey // 12 AS problem, p_partkey % 13 AS src, p_size % 13 AS dst FROM part)
+SELECT problem, CAST(node AS VARCHAR) AS item, 'node twice' AS fault FROM n GROUP BY ALL HAVING count(*) > 1 UNION SELECT problem, CAST(index AS VARCHAR), 'index twice' FROM n GROUP BY ALL HAVING count(*) > 1
+UNION SELECT problem, src || '-' || dst, 'edge to itself' FROM e WHERE src = dst UNION SELECT problem, src || '-' || dst, 'unknown node' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.problem = e.problem AND n.node = e.src) OR NOT EXISTS (SELECT 1 FROM n WHERE n.problem = e.problem AND n.node = e.dst)""")
+def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = t(spark, sf_dir, "part").withColumn("problem", F.floor(F.col("p_partkey") / 12))
+    nodes = p.select("problem", (F.col("p_partkey") % 11).alias("node"), (F.col("p_size") % 9).alias("index"))
+    return paths.graph_violations(nodes, p.select("problem", (F.col("p_partkey") % 13).alias("src"), (F.col("p_size") % 13).alias("dst")))
+
+
+@query("""SELECT CAST(s_suppkey * 4096 + 512 AS BIGINT) AS "offset", CAST(CAST(s_nationkey + 1 AS BIGINT) * 1073741824 AS DECIMAL(20, 0)) AS capacity, CAST(1073741824 AS DECIMAL(20, 0)) AS block_size,
+round(CASE WHEN s_nationkey >= 1 THEN 1.0 ELSE 0.92 END, 6) + 0.0 AS plausibility FROM supplier ORDER BY s_suppkey LIMIT 8""".replace("1.0 ELSE 0.92 END, 6) + 0.0", "CAST(0.98 AS DOUBLE) ELSE CAST(0.90 AS DOUBLE) END, 6)"))
+def master_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master sector in each supplier's 4 KiB; the first eight are looked at."""
+    fields = {"capacity": (F.col("s_nationkey") + 1).cast("bigint") * (1 << 30), "logs_offset": F.lit(4096), "logs_size": F.lit(1 << 20), "video_offset": F.lit(1 << 29), "block_size": F.lit(1 << 30), "blocks": F.col("s_suppkey") + 1, "tree1_offset": F.lit(8192), "tree1_size": F.lit(4096), "tree2_offset": F.lit(16384), "tree2_size": F.lit(4096)}
+    le8 = lambda c: F.concat(*(F.lpad(F.hex(F.shiftright(c.cast("bigint"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)))
+    from ..operators import master as M
+
+    h, at = [F.lit("00" * M.SIGNATURE_AT + M.SIGNATURE.hex())], M.SIGNATURE_AT + len(M.SIGNATURE)
+    for name, where in sorted(M.FIELDS.items(), key=lambda x: x[1]):
+        h += [F.lit("00" * (where - at)), le8(fields[name])]
+        at = where + 8
+    sector = F.unhex(F.concat(F.lit("00" * 512), *h, F.lit("00" * (4096 - 512 - at))))
+    chunks = t(spark, sf_dir, "supplier").select(F.lit("s").alias("source"), (F.col("s_suppkey") * 4096).alias("base"), F.lit(4096).alias("size"), sector.alias("data"))
+    return M.candidates(chunks).select("offset", "capacity", "block_size", "plausibility")
+
+
+@query("SELECT 'events' AS source, 'dhav' AS plugin, CAST(0.98 AS DOUBLE) AS confidence, 'annexb' AS runner_up, true AS requires_review")
+def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import formats
+
+    return formats.default().report(_encode_frames(spark, sf_dir)).select("source", "plugin", "confidence", "runner_up", "requires_review")
