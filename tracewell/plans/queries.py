@@ -236,8 +236,8 @@ PACK = {"schema_version": 1, "profiles": [
 
 
 @query("""WITH p AS (SELECT p_partkey AS device, lower(p_brand) AS v, lower(p_name) AS m, lower(p_type) AS f FROM part)
-SELECT device, 'any-brand1' AS profile_id, 1.0 AS score FROM p WHERE v LIKE 'brand#1_' UNION ALL SELECT device, 'fallback', 1.0 FROM p
-UNION ALL SELECT device, 'red-economy', 1.0 FROM p WHERE v LIKE 'brand#%' AND (m LIKE 'red %' OR m LIKE '% ring') AND f LIKE 'eco%'""".replace("1.0 AS score", "CAST(1.0 AS DOUBLE) AS score"))
+SELECT device, 'any-brand1' AS profile_id, CAST(1.0 AS DOUBLE) AS score FROM p WHERE v LIKE 'brand#1_' UNION ALL SELECT device, 'fallback', 1.0 FROM p
+UNION ALL SELECT device, 'red-economy', 1.0 FROM p WHERE v LIKE 'brand#%' AND (m LIKE 'red %' OR m LIKE '% ring') AND f LIKE 'eco%'""")
 def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("device"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("model"), F.col("p_type").alias("firmware"))
     return profiles.match(d, profiles.load(PACK))
@@ -327,7 +327,7 @@ def frame_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("channel").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("payload")).cast("bigint").alias("bytes"))
 
 
-@query("""SELECT event_id AS key, CAST(3 AS BIGINT) AS nals, CASE event_id % 3 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' ELSE 'h264' END AS codec, CASE event_id % 3 WHEN 0 THEN 0.98 WHEN 1 THEN 0.94 ELSE 0.55 END AS confidence, CASE event_id % 3 WHEN 1 THEN '.hevc' WHEN 0 THEN '.h264' ELSE '.es' END AS suffix FROM events""".replace("THEN 0.98", "THEN CAST(0.98 AS DOUBLE)"))
+@query("""SELECT event_id AS key, CAST(3 AS BIGINT) AS nals, CASE event_id % 3 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' ELSE 'h264' END AS codec, CASE event_id % 3 WHEN 0 THEN CAST(0.98 AS DOUBLE) WHEN 1 THEN 0.94 ELSE 0.55 END AS confidence, CASE event_id % 3 WHEN 1 THEN '.hevc' WHEN 0 THEN '.h264' ELSE '.es' END AS suffix FROM events""")
 def annexb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = {0: "000000016742AA00000168CE00000165B8", 1: "0000000140010C000001420101000001440100", 2: "000001619A0000000161CC0000010688"}
     data = F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit(streams[0]))).when(F.col("event_id") % 3 == 1, F.unhex(F.lit(streams[1]))).otherwise(F.unhex(F.lit(streams[2])))
@@ -415,7 +415,7 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(s_suppkey * 4096 + 512 AS BIGINT) AS "offset", CAST(CAST(s_nationkey + 1 AS BIGINT) * 1073741824 AS DECIMAL(20, 0)) AS capacity, CAST(1073741824 AS DECIMAL(20, 0)) AS block_size,
-round(CASE WHEN s_nationkey >= 1 THEN 1.0 ELSE 0.92 END, 6) + 0.0 AS plausibility FROM supplier ORDER BY s_suppkey LIMIT 8""".replace("1.0 ELSE 0.92 END, 6) + 0.0", "CAST(0.98 AS DOUBLE) ELSE CAST(0.90 AS DOUBLE) END, 6)"))
+CAST(CASE WHEN s_nationkey >= 1 THEN 0.95 ELSE 0.87 END AS DOUBLE) AS plausibility FROM supplier ORDER BY s_suppkey LIMIT 8""")
 def master_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A master sector in each supplier's 4 KiB; the first eight are looked at."""
     fields = {"capacity": (F.col("s_nationkey") + 1).cast("bigint") * (1 << 30), "logs_offset": F.lit(4096), "logs_size": F.lit(1 << 20), "video_offset": F.lit(1 << 29), "block_size": F.lit(1 << 30), "blocks": F.col("s_suppkey") + 1, "tree1_offset": F.lit(8192), "tree1_size": F.lit(4096), "tree2_offset": F.lit(16384), "tree2_size": F.lit(4096)}
