@@ -110,14 +110,18 @@ def flow(nodes: dict[int, int], edges: list[tuple[int, int, float]], starts: lis
         graph.append([b, a, 0, -cost])
 
     taken = set(starts)
+    onward = defaultdict(list)
+    for a, b, score in sorted(edges):
+        if reward - score > 0 and nodes[b] > nodes[a] and b not in taken and (a, b) != forbidden:
+            onward[a].append((b, score))
+    # arcs in physical order, so that a round of relaxations settles nearly all
     for v in sorted(nodes, key=lambda v: (nodes[v], v)):
+        if v in taken:
+            arc("source", ("in", v), 0.0)
         arc(("in", v), ("out", v), 0.0)
         arc(("out", v), "sink", 0.0)
-    for v in sorted(taken):
-        arc("source", ("in", v), 0.0)
-    for a, b, score in sorted(edges):
-        if reward - score > 0 and nodes[b] > nodes[a] and b not in taken and (a, b) != forbidden:
-            arc(("out", a), ("in", b), score - reward)
+        for b, score in onward[v]:
+            arc(("out", v), ("in", b), score - reward)
     total = 0.0
     for _ in range(len(taken)):
         dist, via = {"source": 0.0}, {}
