@@ -383,6 +383,12 @@ def test_noise_goes_and_text_stays():
     assert html.main_text(html.parse(page), {}) == "Head & tail\n\nOne two bold\n\nThree four <tag> 5 €\n\na\n\nb"
 
 
+def test_what_holds_an_article_stays():
+    page = "<body><form class='nav-page'>menu<div id='sidebar-layout'>side<article class='post comments-open'><p>Text<article class='comment'>Nice!</article></article></div></form></body>"
+    assert html.main_text(html.parse(page), {}) == "Text"
+    assert html.main_text(html.parse("<main><p>a<article class='ad'>b</article></main><article class='ad'>c</article>"), {}) == "a"
+
+
 def test_site_trees_remove_repeated_branches(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><body><div class='alpha'>Always the same</div><div class='beta'>Text number {i} with words</div></body></html>") for i in range(20)]
     pages += [(99, "http://other.example/", "<html><body><div class='alpha'>Always the same</div></body></html>")]
