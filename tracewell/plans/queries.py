@@ -431,8 +431,8 @@ def master_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.candidates(chunks).select("offset", "capacity", "block_size", "plausibility")
 
 
-@query("SELECT 'events' AS source, 'dhav' AS plugin, CAST(0.98 AS DOUBLE) AS confidence, 'annexb' AS runner_up, true AS requires_review")
+@query("SELECT 'events' AS source, 'dhav' AS plugin, CAST(0.98 AS DOUBLE) AS confidence")
 def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import formats
 
-    return formats.default().report(_encode_frames(spark, sf_dir)).select("source", "plugin", "confidence", "runner_up", "requires_review")
+    return formats.default().report(_encode_frames(spark, sf_dir)).select("source", "plugin", "confidence")
