@@ -44,7 +44,11 @@ def test_intervals_against_bytes(spark):
     blocks = [(s, r.randrange(60), r.randrange(1, 12), r.choice("?*/-+")) for s in range(5) for _ in range(r.randrange(1, 9))]
     df = spark.createDataFrame(blocks, "source int, pos long, size long, status string")
     expected = spark.createDataFrame([(s, 5, 50) for s in range(5)] + [(9, 0, 4)], "source int, expected_start long, expected_size long")
-    got = {x["source"]: x for x in intervals.coverage(df, expected).collect()}
+    for block in (1, 7, 1 << 20):
+        check_coverage({x["source"]: x for x in intervals.coverage(df, expected, block).collect()}, blocks)
+
+
+def check_coverage(got, blocks):
     for s in range(5):
         mine = [(p, p + n, t) for x, p, n, t in blocks if x == s]
         byte = lambda f: len({i for a, b, t in mine if f(t) for i in range(a, b) if 5 <= i < 55})
@@ -260,8 +264,9 @@ def test_hash_chain(spark):
         rows.append(("a", i, last, h, h if i != 4 else "tampered"))
         last = h
     rows += [("b", 1, integrity.GENESIS, "x", "x"), ("b", 3, "x", "y", "y")]
-    got = {r["chain"]: tuple(r)[1:] for r in integrity.verify_chain(spark.createDataFrame(rows, "chain string, seq int, prev_hash string, entry_hash string, recomputed string")).collect()}
-    assert got == {"a": (6, 1, 4), "b": (2, 1, 3)}
+    for block in (1, 2, 1000):
+        got = {r["chain"]: tuple(r)[1:] for r in integrity.verify_chain(spark.createDataFrame(rows, "chain string, seq int, prev_hash string, entry_hash string, recomputed string"), block).collect()}
+        assert got == {"a": (6, 1, 4), "b": (2, 1, 3)}
     text = spark.createDataFrame([('{"b": 1, "a": [1, "é"]}',), (None,)], "j string").select(integrity.canonical_json(F.col("j"))).collect()
     assert [r[0] for r in text] == ['{"a":[1,"é"],"b":1}', None]
 

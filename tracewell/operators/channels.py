@@ -1,7 +1,6 @@
 """Sequence analytics of frames by channel, and recording boundaries.
 
-A channel may hold most frames, so nothing is windowed over a whole channel: a channel is cut into blocks of
-BLOCK offsets, what a block hands on is aggregated, and only those few rows are windowed by channel.
+A channel may hold most frames, so nothing is windowed over a whole channel; see `ordered`.
 """
 
 from __future__ import annotations
@@ -10,31 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import label
+from . import ordered
 
-BLOCK = 1 << 20
 
-
-def with_anomalies(frames: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_anomalies(frames: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
     """frames (channel, offset, ts, frame_number, ...) with flags backwards, gap and reset.
 
     backwards: ts lies before the last non-null ts earlier in the channel. reset: the number is below the one
     before; gap: above it by more than 1. Null numbers and times are passed over.
     """
-    f = frames.withColumn("__block", F.floor(F.col("offset") / block))
+    f = ordered.blocked(frames, "offset", block)
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("offset", c)))[c]
-    ends = f.groupBy("channel", "__block").agg(last("ts").alias("__ts"), last("frame_number").alias("__n"))
-    before = Window.partitionBy("channel").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    handed = ends.select("channel", "__block", F.last("__ts", True).over(before).alias("__ts"), F.last("__n", True).over(before).alias("__n"))
+    joined = ordered.handed_on(f, ["channel"], {"__ts": last("ts"), "__n": last("frame_number")}, "last")
     inside = Window.partitionBy("channel", "__block").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    joined = f.join(handed.withColumnRenamed("channel", "__c").withColumnRenamed("__block", "__b"), F.col("channel").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")))
     ts = F.coalesce(F.last("ts", True).over(inside), F.col("__ts"))
     number = F.coalesce(F.last("frame_number", True).over(inside), F.col("__n"))
     out = joined.withColumns({"__ts0": ts, "__n0": number})
     flag = lambda x: F.coalesce(x, F.lit(False))
-    return out.withColumns({"backwards": flag(F.col("ts") < F.col("__ts0")), "reset": flag(F.col("frame_number") < F.col("__n0")), "gap": flag(F.col("frame_number") > F.col("__n0") + 1)}).drop("__block", "__c", "__b", "__ts", "__n", "__ts0", "__n0")
+    return out.withColumns({"backwards": flag(F.col("ts") < F.col("__ts0")), "reset": flag(F.col("frame_number") < F.col("__n0")), "gap": flag(F.col("frame_number") > F.col("__n0") + 1)}).drop("__block", "__ts", "__n", "__ts0", "__n0")
 
 
-def channel_stats(frames: DataFrame, block: int = BLOCK) -> DataFrame:
+def channel_stats(frames: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
     """A row per channel: counts, sums, first and last time in physical order, anomalies, status REVIEW or UNKNOWN."""
     f = with_anomalies(frames, block)
     at = lambda agg: agg(F.when(F.col("ts").isNotNull(), F.struct("offset", "ts")))["ts"]

@@ -105,6 +105,6 @@ def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | No
 
 
 def demux(frames: DataFrame) -> DataFrame:
-    """Elementary pieces by channel in physical order: key frames and others of a known codec with a payload. Sorted within partitions."""
+    """Elementary pieces by channel in physical order: key frames and others of a known codec with a payload. Ranges split a channel that has most frames, and partitions are in order."""
     video = frames.where(F.col("codec").isNotNull() & (F.octet_length("payload") > 0))
-    return video.select("source", "channel", "offset", "codec", "payload").repartition("source", "channel").sortWithinPartitions("source", "channel", "offset")
+    return video.select("source", "channel", "offset", "codec", "payload").repartitionByRange("source", "channel", "offset").sortWithinPartitions("source", "channel", "offset")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 GENESIS = "0" * 64
 
 
@@ -42,16 +44,15 @@ def entry_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def verify_chain(log: DataFrame) -> DataFrame:
+def verify_chain(log: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
     """Per chain: entries, bad entries and the first bad one. log: chain, seq, prev_hash, entry_hash, recomputed.
 
     An entry is bad if its number isn't the last one's plus 1 (the first: 1), its prev_hash isn't the last entry_hash
     (the first: zeros), or its hash isn't the recomputed one.
     """
-    order = Window.partitionBy("chain").orderBy("seq")
-    before = lambda c, default: F.lag(c, 1, default).over(order)
-    bad = ~((F.col("seq") == before("seq", 0) + 1) & (F.col("prev_hash") == before("entry_hash", GENESIS)) & (F.col("entry_hash") == F.col("recomputed")))
-    x = log.withColumn("__bad", bad)
+    x = ordered.previous(log, ["chain"], "seq", ["seq", "entry_hash"], block)
+    follows = (F.col("seq") == F.coalesce("prev_seq", F.lit(0)) + 1) & (F.col("prev_hash") == F.coalesce("prev_entry_hash", F.lit(GENESIS))) & (F.col("entry_hash") == F.col("recomputed"))
+    x = x.withColumn("__bad", ~F.coalesce(follows, F.lit(False)))
     return x.groupBy("chain").agg(F.count(F.lit(1)).alias("entries"), F.count_if("__bad").alias("bad"), F.min(F.when(F.col("__bad"), F.col("seq"))).alias("first_bad"))
 
 

@@ -156,7 +156,7 @@ _BLOCKS = "b AS (SELECT o_custkey % 64 AS source, o_orderkey * 10 AS pos, o_cust
 @query(f"""WITH {_BLOCKS}, e AS (SELECT *, pos + size AS "end" FROM b), r AS (SELECT *, max("end") OVER (PARTITION BY source ORDER BY pos, "end", status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
 SELECT source, CAST(coalesce(sum(least(reach, "end") - pos) FILTER (reach > pos), 0) AS BIGINT) AS overlap_bytes, CAST(coalesce(sum(pos - reach) FILTER (pos > reach), 0) AS BIGINT) AS gap_bytes FROM r GROUP BY source""")
 def overlap_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.overlaps_and_gaps(_blocks(spark, sf_dir).withColumn("end", F.col("pos") + F.col("size")))
+    return intervals.overlaps_and_gaps(_blocks(spark, sf_dir).withColumn("end", F.col("pos") + F.col("size")), block=5000)
 
 
 @query(f"""WITH {_BLOCKS}, x AS (SELECT source, 1000 AS a, 50000 AS z FROM b GROUP BY source),
@@ -172,7 +172,7 @@ CAST((SELECT coalesce(sum(size) FILTER (status = '-'), 0) FROM b WHERE b.source
 def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _blocks(spark, sf_dir)
     expected = b.select("source").distinct().withColumns({"expected_start": F.lit(1000).cast("bigint"), "expected_size": F.lit(49000).cast("bigint")})
-    return intervals.coverage(b, expected).select("source", "covered", "finished", "finished_bytes", "bad_bytes")
+    return intervals.coverage(b, expected, block=5000).select("source", "covered", "finished", "finished_bytes", "bad_bytes")
 
 
 _DETECTIONS = "d AS (SELECT l_orderkey AS source, 'plugin' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS plugin, max(l_discount * 10) AS confidence FROM lineitem GROUP BY ALL)"
@@ -252,15 +252,14 @@ def raid0_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT s_suppkey AS member, sum(s_suppkey % 9 + 1) OVER (ORDER BY s_suppkey) - (s_suppkey % 9 + 1) AS a, sum(s_suppkey % 9 + 1) OVER (ORDER BY s_suppkey) AS z FROM supplier)
 SELECT p_partkey, member, CAST(p_partkey % 50 - a AS BIGINT) AS member_offset FROM part JOIN m ON p_partkey % 50 >= a AND p_partkey % 50 < z""")
 def concat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members end to end (their table is small and checked so): each offset's member by a bisection of the ends."""
-    s = t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 9 + 1).alias("n")).orderBy("s_suppkey").limit(100_000)
-    m = s.agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "n"))).alias("m"))
-    ends = F.aggregate("m", F.expr("cast(array(0) as array<bigint>)"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
-    m = m.select("m", ends.alias("ends"))
-    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("o")).crossJoin(F.broadcast(m))
-    # the ends rise, so the member is the number of ends at or below the offset
-    i = F.size(F.filter("ends", lambda e: e <= F.col("o")))
-    return p.where(F.col("o") < F.element_at("ends", -1)).select("p_partkey", F.get("m", i - 1)["s_suppkey"].alias("member"), (F.col("o") - F.get("ends", i - 1)).alias("member_offset"))
+    """Members end to end: a running sum over the members' table, and an equi-join on bins that each member covers."""
+    width = 8
+    n = (F.col("s_suppkey") % 9 + 1).cast("bigint")
+    z = F.sum(n).over(Window.orderBy("s_suppkey"))
+    m = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), (z - n).alias("a"), z.alias("z"))
+    m = m.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("z") - 1) / width))))
+    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("o")).withColumn("bin", F.floor(F.col("o") / width))
+    return p.join(m, "bin").where("o >= a and o < z").select("p_partkey", "member", (F.col("o") - F.col("a")).alias("member_offset"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 5 AS packets, o_custkey % 7 * 100 AS size, o_orderkey % 3 = 0 AS r, CASE WHEN o_orderkey % 11 <> 0 THEN 100.0 END AS expected, 98.5 + (o_custkey % 40) / 10.0 AS actual FROM orders),
