@@ -291,6 +291,19 @@ def test_escapes(text):
     assert "<|" not in e and chat.unescape(e) == text
 
 
+def test_other_templates(spark):
+    t = chat.Template("<|im {role}<|\n", "<|/im\n", frozenset({"user", "assistant"}))
+    rows = [(1, 0, "user", "a<|/im\n<\\|b"), (1, 1, "assistant", "<|im x<|"), (1, 2, "us<|er", None)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_turns(c, t), t).first()
+    want = "".join(f"{r}\n{x or ''}\n" for _, _, r, x in rows)
+    assert got["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest() and not got["valid"]
+    assert got["loss_sha256"] == hashlib.sha256((rows[0][3] + rows[1][3]).encode()).hexdigest()
+    for bad in (("x{role}<|", "<|"), ("<|{role}", "<|"), ("<|a<|", "<|"), ("<|{role}<|", "end")):
+        with pytest.raises(ValueError):
+            chat.Template(*bad)
+
+
 # 7: personal data
 
 PLAIN = {

@@ -39,11 +39,19 @@ class Template:
     transitions: dict[str, dict[str, str]] = field(default_factory=lambda: {"": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant", "tool": "tool"}, "tool": {"assistant": "assistant", "tool": "tool"}, "assistant": {"user": "user", "tool": "tool"}})
     final: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self) -> None:
+        if not all(x.startswith("<|") for x in (*self.before.split("{role}"), self.after)) or self.before.count("{role}") != 1:
+            raise ValueError('before is a control string, {role} and a control string, and each begins with "<|"')
+
+    def turn(self) -> re.Pattern:
+        """One formatted turn: the escaped role and text are its groups. No escaped string has "<|", so the first match is the only one."""
+        head, tail = (re.escape(x) for x in self.before.split("{role}"))
+        return re.compile(f"{head}(.*?){tail}(.*?){re.escape(self.after)}", re.S)
+
 
 DEFAULT = Template()
 _OPEN = re.compile(r"<(\\*)\|")
 _SHUT = re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|start\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -93,6 +101,7 @@ def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
         row, turns, loss, last = None, None, None, ""
+        turn = template.turn()
         done: list[dict] = []
 
         def close() -> None:
@@ -105,7 +114,7 @@ def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
                     close()
                     row, turns, loss = {"conv_id": conv, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0, "valid": True}, hashlib.sha256(), hashlib.sha256()
                 formatted = "".join(p["text"] for p in parts)
-                m = _TURN.fullmatch(formatted)
+                m = turn.fullmatch(formatted)
                 if not m:
                     raise ValueError(f"turn {no} of conversation {conv} can't be read back")
                 last, text = unescape(m[1]), unescape(m[2])
