@@ -474,6 +474,25 @@ def test_near_duplicates_of_documents(spark, small):
     assert got == groups_by_force(lower)
 
 
+def test_regions_in_pieces():
+    keys = np.repeat(np.arange(5), [3, 90, 1, 200, 2])
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)))], ["key", "n"])
+    old = neardup.gathered
+    try:
+        neardup.gathered = lambda batches, n: batches
+        for step in (1, 7, 60, 1000):
+            seen: dict = collections.defaultdict(list)
+            for key, n in neardup._regions((rows.slice(i, step) for i in range(0, len(keys), step)), 50):
+                for k in set(key.tolist()):
+                    seen[k].append(n[key == k].tolist())
+            for k in range(5):
+                want = np.flatnonzero(keys == k).tolist()
+                assert sorted({x for part in seen[k] for x in part}) == want
+                assert len(want) <= 33 and len(seen[k]) == 1 or all(len(p) > 33 for p in seen[k])
+    finally:
+        neardup.gathered = old
+
+
 def test_components(spark):
     r = random.Random(12)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)]

@@ -112,18 +112,19 @@ def forest(classes: DataFrame) -> DataFrame:
     return in_arrow(classes.select("class", "signature"), run, TREE_ROW)
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole regions, sorted by key; regions over BLOCK rows come in blocks."""
+def _regions(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[list[np.ndarray]]:
+    """Columns of whole regions, sorted by key. Regions over `block` rows come in pieces that overlap by more than a small region has, so none of them looks small."""
     held: list[np.ndarray] | None = None
     for b in gathered(batches, 16384):
         now = [c.to_numpy() for c in b.columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last region may go on
-        if len(held[0]) - cut > BLOCK:
-            cut = len(held[0])
-        if cut:
+        if len(held[0]) - cut > block:
+            yield held
+            held = [c[-(2 * WINDOW + 2) :] for c in held]
+        elif cut:
             yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held] if cut < len(held[0]) else None
+            held = [c[cut:] for c in held]
     if held is not None:
         yield held
 
