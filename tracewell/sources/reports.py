@@ -47,3 +47,41 @@ def check_manifest(manifest: dict, root: str) -> list[dict]:
         if not re.fullmatch("[0-9a-f]{64}", c.get("source_sha256", "")):
             raise ValueError("a case needs the SHA-256 of its source")
     return manifest["cases"]
+
+
+def audit_log(spark: SparkSession, path: str, chain: str = "audit") -> DataFrame:
+    """A hash-chained JSONL log as chain, seq, prev_hash, entry_hash and recomputed, for `integrity.verify_chain`.
+
+    An entry's hash is SHA-256 of its canonical JSON without entry_hash. Lines that aren't JSON objects are entries
+    without a number, and so are bad.
+    """
+    import hashlib
+    import json
+
+    import pandas as pd
+
+    def recompute(lines: pd.Series) -> pd.DataFrame:
+        out = []
+        for line in lines:
+            try:
+                e = json.loads(line)
+                stated = e.pop("entry_hash", None)
+                text = json.dumps(e, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                out.append((int(e["seq"]), e.get("prev_hash"), stated, hashlib.sha256(text.encode()).hexdigest()))
+            except (ValueError, KeyError, TypeError, AttributeError):
+                out.append((None, None, None, ""))
+        return pd.DataFrame(out, columns=["seq", "prev_hash", "entry_hash", "recomputed"]).astype({"seq": "Int64"})
+
+    f = F.pandas_udf(recompute, "seq long, prev_hash string, entry_hash string, recomputed string")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.lit(chain).alias("chain"), f("value").alias("e")).select("chain", F.coalesce("e.seq", F.lit(0)).alias("seq"), "e.prev_hash", "e.entry_hash", "e.recomputed")
+
+
+def jobs(table: DataFrame, status: str | None = None, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest jobs with a status and kind, if given."""
+    if not 1 <= limit <= 10_000:
+        raise ValueError("1 to 10000 jobs")
+    for column, value in (("status", status), ("kind", kind)):
+        if value is not None:
+            table = table.where(F.col(column) == value)
+    return table.orderBy(F.desc("created"), F.desc("job_id")).limit(limit)
