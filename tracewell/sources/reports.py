@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +58,6 @@ def audit_log(spark: SparkSession, path: str, chain: str = "audit") -> DataFrame
     An entry's hash is SHA-256 of its canonical JSON without entry_hash. Lines that aren't JSON objects are entries
     without a number, and so are bad.
     """
-    import hashlib
-    import json
-
-    import pandas as pd
-
     def recompute(lines: pd.Series) -> pd.DataFrame:
         out = []
         for line in lines:
