@@ -265,7 +265,7 @@ def _pairs(x: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed pairs of classes that span the components, and class with its least row and doc_id. docs: row, text."""
+    """node and root of the classes that have links, and all classes with their least row and doc_id. docs: row, text."""
     classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     ordered = forest(classes).repartition("key").sortWithinPartitions("key", "deep", "class")
@@ -298,16 +298,23 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_texts = held.unionByName(asked).join(texts, "class").repartition("key", "block").sortWithinPartitions("key", "block", "role", "class")
     across = in_arrow(with_texts.select("key", "block", "role", "class", "root", "data"), _compare, PAIR).distinct()
     more = stored(confirm(second, texts).where("linked").select("a", "b").unionByName(across), "confirmed")
-    return good.unionByName(more), classes
+    if more.isEmpty():
+        return roots, classes
+    # only the roots that round two joins go through the components again
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    joins = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    tops = components(joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))
+    nodes = roots.unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))
+    return stored(nodes.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots"), classes
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row, class, n_shingles and component_id of each row of docs."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     sets = stored(document_sets(keyed), "sets")
-    edges, classes = links(keyed.select("row", "text"), sets)
-    roots = components(edges).withColumnRenamed("node", "class")
-    placed = classes.select("class", "doc_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    roots, classes = links(keyed.select("row", "text"), sets)
+    placed = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = stored(placed, "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = placed.select("class", "root").join(least, "root").select("class", "component_id")
