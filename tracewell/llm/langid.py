@@ -47,7 +47,7 @@ def _folded() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray | None:
-    """Occurrences by bucket; None if there is no letter. Long texts go in chunks that overlap by n - 1."""
+    """Occurrences by bucket; None if there is no letter. Long texts go in chunks that overlap by NGRAM characters, whose n-grams count twice."""
     total, letters = np.zeros(BUCKETS, np.int64), False
     for at in range(0, len(text), CHUNK):
         part = text[max(0, at - NGRAM) : at + CHUNK]
