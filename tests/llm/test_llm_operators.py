@@ -402,6 +402,18 @@ def test_what_holds_an_article_stays():
     assert html.main_text(html.parse("<main><p>a<article class='ad'>b</article></main><article class='ad'>c</article>"), {}) == "a"
 
 
+def test_site_trees_judge_blocks_of_articles(spark):
+    """Repeated blocks inside articles go, their inline words and articles that are all alike stay."""
+    page = "<html><body><article><h1>Title {0}</h1><p>Text <b>very</b> <i>{0}</i></p><div class='zeta'><p>Written by the desk</p><a href='#'>More</a></div></article></body></html>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(20)]
+    pages += [(100 + i, "http://same.example/", "<main><p>Always the same</p></main>") for i in range(20)]
+    pages += [(200 + i, "http://few.example/", page.format(i)) for i in range(html.MIN_PAGES - 1)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nText very {i}" for i in range(20))
+    assert all(got[100 + i] == "Always the same" for i in range(20))
+    assert all(got[200 + i] == f"Title {i}\n\nText very {i}\n\nWritten by the desk\n\nMore" for i in range(html.MIN_PAGES - 1))
+
+
 def test_site_trees_remove_repeated_branches(spark):
     pages = [(i, f"http://h.example/{i}", f"<html><body><div class='alpha'>Always the same</div><div class='beta'>Text number {i} with words</div></body></html>") for i in range(20)]
     pages += [(99, "http://other.example/", "<html><body><div class='alpha'>Always the same</div></body></html>")]

@@ -4,8 +4,9 @@ The pages of a host are merged into one tree whose nodes are paths of tags and c
 the content importance 1 - mean(log_m k), over its texts, k of its m pages having the text; other nodes have
 the entropy of their sequences of children (presentation). A branch's importance combines its own with its
 children's mean, GAMMA to one. Branches below LEAST in trees of MIN_PAGES pages or more are removed, but for
-article and main elements and what holds them or lies in them. Elements that are never main text by their
-tag, role, class or id go as well, whatever the host.
+article and main elements and what holds them. In an article the blocks are judged, each with the text of its
+inline elements, which don't go by themselves; if nothing would be left, the article stays whole. Elements that
+are never main text by their tag, role, class or id go as well, whatever the host.
 
 Defined results. Null html: no text. Null or odd url: the host is empty. Pages without an article or main
 element: all of body that remains. Rows that repeat a page_id: each for itself. Extra columns are ignored.
@@ -143,6 +144,38 @@ def nodes(root: Node) -> Iterator[Node]:
         stack += [c for c in x.children if isinstance(c, Node) and not c.drop]
 
 
+def _judged(x: Node) -> bool:
+    """Inline elements of an article are part of their block's text."""
+    return not x.main or x.tag in BLOCK
+
+
+def _own_text(x: Node) -> str:
+    """The text of a node without its children's; in an article, with that of its inline elements."""
+    parts: list[str] = []
+    stack = x.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            parts.append(c)
+        elif not c.drop and not _judged(c):
+            stack += c.children[::-1]
+    return _clean(parts)
+
+
+def _blocks(x: Node) -> list[Node]:
+    """The nearest judged nodes below, through inline elements of an article."""
+    out: list[Node] = []
+    stack = x.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, Node) and not c.drop:
+            if _judged(c):
+                out.append(c)
+            else:
+                stack += c.children[::-1]
+    return out
+
+
 _NODE = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("what", pa.int64())])
 #: Kinds of rows: one a page and path; a text's hash; the hash of the sequence of children.
 PAGE, TEXT, STYLE = 0, 1, 2
@@ -155,12 +188,12 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             out.clear()
             for x in nodes(parse(html.as_py() or "")):
-                if x.main or x.parent is None:
+                if x.parent is None or not _judged(x):
                     continue
                 out.add((host, x.path, PAGE, 0))
-                if text := _clean([c for c in x.children if isinstance(c, str)]):
+                if text := _own_text(x):
                     out.add((host, x.path, TEXT, xxhash.xxh3_64_intdigest(text) - (1 << 63)))
-                style = " ".join(str(c.path) for c in x.children if isinstance(c, Node))
+                style = " ".join(str(c.path) for c in (_blocks(x) if x.main else x.children) if isinstance(c, Node))
                 out.add((host, x.path, STYLE, xxhash.xxh3_64_intdigest(style) - (1 << 63)))
             rows += out
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, _NODE, strict=True)], schema=_NODE)
@@ -179,8 +212,8 @@ def site_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return sums.where(F.col("m") >= max(2, min_pages)).select("host", "path", F.when(F.col("log_text").isNotNull(), content).otherwise(style).alias("own"), F.col("log_text").isNotNull().alias("leaf"))
 
 
-def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAMMA, least: float = LEAST) -> str:
-    """The page's blocks without what goes. own: path -> own importance, and whether it is of texts."""
+def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAMMA, least: float = LEAST, in_main: bool = True) -> str:
+    """The page's blocks without what goes. own: path -> own importance, and whether it is of texts. in_main: articles' blocks are judged."""
     order = list(nodes(root))
     kept_main: set[int] = set()
     for x in order:
@@ -192,10 +225,10 @@ def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAM
     worth: dict[int, float] = {}
     for x in reversed(order):
         mine = own.get(x.path)
-        if mine is None or x.main or id(x) in kept_main:
+        if mine is None or not _judged(x) or id(x) in kept_main or (x.main and not in_main):
             worth[id(x)] = 1.0
             continue
-        below = [worth[id(c)] for c in x.children if isinstance(c, Node) and not c.drop]
+        below = [worth[id(c)] for c in _blocks(x)]
         worth[id(x)] = mine[0] if mine[1] and not below else (1 - gamma) * mine[0] + gamma * (sum(below) + (mine[0] if mine[1] else 0)) / max(1, len(below) + mine[1]) if below else mine[0]
     has_main = any(x.tag in MAIN for x in order)
     blocks: list[str] = []
@@ -221,6 +254,8 @@ def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAM
                 stack.append(None)
             stack += [c for c in reversed(x.children) if isinstance(c, Node) or x.main or not has_main]
     flush()
+    if not blocks and has_main and in_main:
+        return main_text(root, own, gamma, least, False)
     return "\n\n".join(blocks)
 
 
