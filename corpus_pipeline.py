@@ -14,7 +14,7 @@ from tracewell.session import ready
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: with a letter, and surer than chance."""
+    """Documents whose language can be told: with a letter, and a calibrated score from langid's threshold on."""
     ready(spark)
     return langid.keep_known(docs)
 

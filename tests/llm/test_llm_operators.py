@@ -526,6 +526,16 @@ def test_components(spark):
 # the pipeline
 
 
+def test_language_stage_drops_what_cannot_be_told(spark):
+    draw = random.Random(4)
+    stems = {"en": "the and of thing house water with over there which".split(), "de": "der und das ist nicht wasser haus über schön mit".split(), "es": "el los agua casa con sobre niño que donde muy".split(), "fr": "le les eau maison avec où très être dans qui".split()}
+    docs = [(i, " ".join(draw.choices(stems[lang], k=60)), lang) for i, lang in enumerate(list(stems) * 60)]
+    docs += [(1000 + i, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)), None) for i in range(20)]
+    docs += [(2000 + i, draw.randbytes(200).hex(), None) for i in range(20)] + [(3000, "".join(draw.choices("αβγδεζηθικλμνξο ", k=300)), None), (4000, "123 456", "en"), (5000, " ".join(draw.choices(stems["en"], k=40) + draw.choices(stems["fr"], k=40)), None)]
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), SMALL).collect()}
+    assert got == {*range(240), 5000}
+
+
 @here
 def test_pipeline_against_its_parts(spark, small):
     docs = small["documents"]
