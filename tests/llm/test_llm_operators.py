@@ -92,6 +92,18 @@ def test_templates(spark):
     assert decontaminate_old == 0.2
 
 
+def test_templates_with_values_of_other_lengths(spark):
+    noise = "and so it went on for a while with nothing of note in sight at all"
+    short = "How many apples did Maria give to Peter in 12 days"
+    longer = ITEM.replace("Maria", "Ana Maria").replace("London", "New York").replace("12", "1 200").replace("30", "twenty five hundred")
+    texts = [longer, ITEM.replace("12", "twelve"), ITEM.replace("30 dollars ,", "30 new dollars ,"), ITEM.replace("30 dollars ,", "30 ,"), ITEM.replace("Maria", "Maria Luisa"),
+             short.replace("Maria", "Ana Maria").replace("12", "twenty one"), short.replace("12", "twelve"), "How many days did Maria Luisa go to Peter in 12", noise]
+    docs = spark.createDataFrame([(i, f"{noise} {x} {noise}") for i, x in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(10, ITEM), (11, short)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.contaminated(docs, b).collect()}
+    assert got == {**{(i, 10): False for i in range(5)}, (5, 11): False, (6, 11): False}
+
+
 @here
 def test_verbatim_passages(spark, small):
     items = [tuple(r) for r in small["benchmark"].collect()]
