@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import carry, channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, scan, storage, timebase
+from tracewell.plans import queries
 from tracewell.sources import evidence, reports
 
 
@@ -32,6 +33,19 @@ def test_channel_anomalies_do_not_depend_on_blocks(spark):
         assert got == want
 
 
+def test_every_order_has_continuations(spark, tmp_path):
+    r = random.Random(3)
+    orders = [(k, r.randrange(1, 60), r.choice("FOP")) for k in range(1, 1200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = set()
+    for current, c, _ in orders:
+        found = [(f - current, f, s) for f, d, s in orders if d % 40 == c % 40 and f % 9 and 0 < f - current <= 400]
+        near = [x for x in found if x[0] <= 32]
+        ranked = sorted((gap - 0.25 * (s == "F"), f) for gap, f, s in near or found)[:6]
+        want |= {(current, f, "near" if near else "far", score, i + 1) for i, (score, f) in enumerate(ranked)}
+    assert {tuple(x) for x in queries.continuation_candidates_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_boundaries(spark):
     day = dt.datetime(2026, 8, 9)
     rows = [(0, day.replace(hour=9)), (1, day.replace(hour=9, second=5)), (3, day.replace(hour=10)), (4, dt.datetime(2026, 8, 10, 9))]

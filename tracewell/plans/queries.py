@@ -201,8 +201,18 @@ n AS (SELECT * FROM c WHERE gap <= 32), a AS (SELECT *, 'near' AS band FROM n UN
 r AS (SELECT current, fragment, band, gap - CASE WHEN terminal THEN 0.25 ELSE 0.0 END AS score FROM a)
 SELECT current, fragment, band, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY current ORDER BY score, fragment) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY current ORDER BY score, fragment) <= 6""")
 def continuation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = t(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 40)
-    states = o.where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("current"), "k")
+    return _continuations(t(spark, sf_dir, "orders"), "o_custkey % 50 = 0")
+
+
+@query()
+def continuation_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every order."""
+    return _continuations(t(spark, sf_dir, "orders"), "true")
+
+
+def _continuations(orders: DataFrame, is_open: str) -> DataFrame:
+    o = orders.withColumn("k", F.col("o_custkey") % 40)
+    states = o.where(is_open).select(F.col("o_orderkey").alias("current"), "k")
     free = o.select(F.col("o_orderkey").alias("fragment"), "k", (F.col("o_orderstatus") == "F").alias("terminal"))
     used = o.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("fragment"))
     return fragments.candidates(states, free, used, 32, 400, 6, ["k"]).select("current", "fragment", "band", "score", "rank")
