@@ -33,6 +33,17 @@ def test_channel_anomalies_do_not_depend_on_blocks(spark):
         assert got == want
 
 
+def test_documents_of_any_length_and_alphabet(spark, tmp_path):
+    texts = ["", "a", "x" * 16, "é", "long ü€ text " * 3000, "plain " * 400, "ß" * 63, "日本" * 40, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: (r["cbc"], r["ctr"]) for r in queries.aes_roundtrip_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (x, x) for i, x in enumerate(texts)}
+    edges = dict(queries.edge_digest_all(spark, str(tmp_path)).collect())
+    b = {i: x.encode() for i, x in enumerate(texts) if x is not None}
+    want = {i: hashlib.sha256(b"tracewell-edge-1:%d:" % len(x) + x[:64] + x[max(len(x) - 64, 0) :]).hexdigest() for i, x in b.items()}
+    assert edges == {**want, 8: None}
+
+
 def test_every_order_has_continuations(spark, tmp_path):
     r = random.Random(3)
     orders = [(k, r.randrange(1, 60), r.choice("FOP")) for k in range(1, 1200)]

@@ -68,19 +68,22 @@ def decrypt_cbc(data: Column, key: Column, iv: Column, padded: bool = True) -> C
 def ctr_blocks(rows: DataFrame, key: Column) -> DataFrame:
     """AES-CTR of rows (id, data, counter as 16 bytes): key stream by ECB of the counters, then XOR of each half block."""
     n = F.ceil(F.octet_length("data") / 16)
-    each = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    block = lambda i: F.struct(i.alias("i"), F.substring(F.col("data"), (i * 16 + 1).cast("int"), F.lit(16)).alias("part"))
+    # a row for each block without the whole data; one without a block for empty data
+    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), block))
+    each = rows.select("id", "counter", F.col("data").isNull().alias("none"), F.explode_outer(cut).alias("b")).select("id", "counter", "none", "b.i", "b.part")
     # 64-bit counters: the lower half counts, as decimals so as not to overflow
     low = F.conv(F.hex(F.substring("counter", 9, 8)), 16, 10).cast("decimal(20,0)") + F.col("i")
     full = F.expr("cast('18446744073709551616' as decimal(20,0))")
     wrapped = F.when(low >= full, low - full).otherwise(low).cast("decimal(20,0)")
     counter = F.concat(F.substring("counter", 1, 8), F.unhex(F.lpad(F.conv(wrapped.cast("string"), 10, 16), 16, "0")))
     stream = F.substring(F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS")), 1, 16)
-    part = F.substring(F.col("data"), (F.col("i") * 16 + 1).cast("int"), F.lit(16))
+    part = F.col("part")
     word = lambda b, at: F.conv(F.rpad(F.hex(F.substring(b, at, 4)), 8, "0"), 16, 10).cast("bigint")
     xor = F.concat(*(F.lpad(F.hex(word(part, 4 * j + 1).bitwiseXOR(word(stream, 4 * j + 1))), 8, "0") for j in range(4)))
     block = F.substring(xor, F.lit(1), 2 * F.octet_length(part))
-    parts = each.select("id", "i", block.alias("h"))
-    return parts.groupBy("id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")).alias("data"))
+    parts = each.select("id", "i", "none", block.alias("h"))
+    return parts.groupBy("id").agg(F.when(~F.bool_or("none"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""))).alias("data"))
 
 
 def key_fingerprint(key: Column) -> Column:

@@ -127,6 +127,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the documents in ASCII, where SQL's characters are bytes."""
     d = t(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    return _edges(d)
+
+
+@query()
+def edge_digest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents."""
+    return _edges(t(spark, sf_dir, "documents"))
+
+
+def _edges(d: DataFrame) -> DataFrame:
     return d.select("doc_id", integrity.edge_digest(F.encode("text", "UTF-8"), 64).alias("edge"))
 
 
@@ -364,8 +374,18 @@ def mbr_and_filesystem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id, text AS cbc, text AS ctr FROM documents WHERE length(text) BETWEEN 1 AND 400")
 def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CBC against Spark's own cipher; CTR applied twice."""
+    return _roundtrip(t(spark, sf_dir, "documents").where("length(text) between 1 and 400"))
+
+
+@query()
+def aes_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents."""
+    return _roundtrip(t(spark, sf_dir, "documents"))
+
+
+def _roundtrip(documents: DataFrame) -> DataFrame:
     key, iv, counter = (F.unhex(F.lit(x)) for x in ("2B7E151628AED2A6ABF7158809CF4F3C", "000102030405060708090A0B0C0D0E0F", "F0F1F2F3F4F5F6F7F8F9FAFBFCFDFEFF"))
-    d = t(spark, sf_dir, "documents").where("length(text) between 1 and 400").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    d = documents.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
     sealed = F.aes_encrypt("data", key, F.lit("CBC"), F.lit("PKCS"), iv)
     cbc = d.select("id", F.decode(integrity.decrypt_cbc(F.substring(sealed, 17, 1 << 30), key, iv), "UTF-8").alias("cbc"))
     once = integrity.ctr_blocks(d.withColumn("counter", counter), key)
