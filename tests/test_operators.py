@@ -57,6 +57,22 @@ def test_every_order_has_continuations(spark, tmp_path):
     assert {tuple(x) for x in queries.continuation_candidates_all(spark, str(tmp_path)).collect()} == want
 
 
+def test_path_query_keeps_the_whole_beam(spark, tmp_path):
+    spark.createDataFrame([(i, i * 7 % 50 + 1) for i in range(24)], "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    nodes, edges = queries._graph(spark, str(tmp_path))
+    rows = edges.collect()
+    want = set()
+    for problem in (0, 12):
+        out = {}
+        for e in rows:
+            if e["problem"] == problem:
+                out.setdefault(e["src"], []).append((e["score"], e["dst"]))
+        for start in (problem, problem + 1):
+            want |= {(problem, start, tuple(p)) for p, _, _ in paths.beam(start, out, width=24, most=64)}
+    found = queries.path_beam(spark, str(tmp_path)).collect()
+    assert {(r["problem"], r["start"], tuple(r["fragments"])) for r in found} == want and len(want) > 4 * 8
+
+
 def test_boundaries(spark):
     day = dt.datetime(2026, 8, 9)
     rows = [(0, day.replace(hour=9)), (1, day.replace(hour=9, second=5)), (3, day.replace(hour=10)), (4, dt.datetime(2026, 8, 10, 9))]

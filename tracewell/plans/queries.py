@@ -412,7 +412,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def path_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return paths.hypotheses(nodes.where("is_start").select("problem", F.col("node").alias("start")), edges, width=8, most=8)
+    return paths.hypotheses(nodes.where("is_start").select("problem", F.col("node").alias("start")), edges)
 
 
 @query()
