@@ -1,6 +1,7 @@
 """Operators on small inputs with known or brute-force results."""
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 import struct
