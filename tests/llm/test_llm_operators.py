@@ -419,11 +419,54 @@ def test_site_trees_judge_blocks_of_articles(spark):
     page = "<html><body><article><h1>Title {0}</h1><p>Text <b>very</b> <i>{0}</i></p><div class='zeta'><p>Written by the desk</p><a href='#'>More</a></div></article></body></html>"
     pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(20)]
     pages += [(100 + i, "http://same.example/", "<main><p>Always the same</p></main>") for i in range(20)]
-    pages += [(200 + i, "http://few.example/", page.format(i)) for i in range(html.MIN_PAGES - 1)]
+    pages += [(200 + i, "http://few.example/", page.format(i)) for i in range(5)] + [(210 + i, "http://two.example/", page.format(i)) for i in range(2)]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\n\nText very {i}" for i in range(20))
     assert all(got[100 + i] == "Always the same" for i in range(20))
-    assert all(got[200 + i] == f"Title {i}\n\nText very {i}\n\nWritten by the desk\n\nMore" for i in range(html.MIN_PAGES - 1))
+    assert all(got[200 + i] == f"Title {i}\n\nText very {i}" for i in range(5))
+    assert all(got[210 + i] == f"Title {i}\n\nText very {i}\n\nWritten by the desk\n\nMore" for i in range(2))
+
+
+def anonymous_pages(n=300):
+    """Pages without article elements, with class names that say nothing, and their main texts."""
+    r = random.Random(9)
+    some = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    menus, adverts = [[some(1) for _ in range(6)] for _ in range(8)], [some(7) for _ in range(20)]
+    pages, texts = [], {}
+    for i in range(n):
+        title, body = some(5), [some(r.randrange(3, 30)) for _ in range(r.randrange(1, 6))]
+        parts = [f"<div class='zq1'><ul>{''.join(f'<li><a>{x}</a>' for x in r.choice(menus))}</ul></div>", f"<div class='zq2'>{r.choice(adverts)}</div>"]
+        parts.append(f"<div class='zq3'><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in body)}<div class='zq4'>Share with <b>friends</b></div></div>")
+        pages.append((i, "http://h.example/", f"<html><body>{''.join(parts)}<div class='zq5'>All rights <i>reserved</i></div></body></html>"))
+        texts[i] = "\n\n".join([title, *body])
+    return pages, texts
+
+
+def test_without_the_tree_menus_and_adverts_stay(spark):
+    """Ablation: names and tags say nothing here, so only the tree tells noise from text; all of the text stays."""
+    pages, texts = anonymous_pages()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == texts
+    assert all(html.main_text(html.parse(h), {}) != texts[i] for i, _, h in pages)
+
+
+def test_importances_by_force(spark):
+    """Content by the pages of each text, presentation by the sequences of children, by hand from the markup."""
+    pages, _ = anonymous_pages(60)
+    trees = {r["path"]: (r["content"], r["style"]) for r in html.site_trees(spark.createDataFrame([("h", h) for _, _, h in pages], "host string, html string")).collect()}
+    root = html.parse(pages[0][2])
+    path = {x.tag: x.path for x in html.nodes(root) if x.tag in ("h1", "p", "li", "ul")}
+    for tag in ("h1", "p", "li"):
+        k = collections.Counter(t for _, _, h in pages for t in set(re.findall(rf"<{tag}>(?:<a>)?([^<]*)<", h)))
+        assert trees[path[tag]][0] == pytest.approx(1 - np.log(list(k.values())).mean() / np.log(60 + html.SMOOTH))
+    assert trees[path["ul"]] == (None, pytest.approx(1 - np.log(60) / np.log(60 + html.SMOOTH)))
+
+
+def test_pages_by_host_and_salt(spark, monkeypatch):
+    """Beyond the broadcast the results are the same."""
+    monkeypatch.setattr(html, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(html, "PAGES_PER_SALT", 16)
+    test_without_the_tree_menus_and_adverts_stay(spark)
 
 
 def test_site_trees_remove_repeated_branches(spark):

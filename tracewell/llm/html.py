@@ -1,12 +1,17 @@
 """Main text of web pages by a site style tree (operator 9).
 
-The pages of a host are merged into one tree whose nodes are paths of tags and classes. A node with text has
-the content importance 1 - mean(log_m k), over its texts, k of its m pages having the text; other nodes have
-the entropy of their sequences of children (presentation). A branch's importance combines its own with its
-children's mean, GAMMA to one. Branches below LEAST in trees of MIN_PAGES pages or more are removed, but for
-article and main elements and what holds them. In an article the blocks are judged, each with the text of its
-inline elements, which don't go by themselves; if nothing would be left, the article stays whole. Elements that
-are never main text by their tag, role, class or id go as well, whatever the host.
+The pages of a host, articles included, are merged into one tree whose nodes are paths of tags and classes;
+inline elements belong to their block. A node with text of its own has the content importance
+1 - mean(log k) / log(m + SMOOTH) over its texts, k of its m pages having the text; its presentation importance
+is the entropy of its sequences of children over log(m + SMOOTH). SMOOTH makes few pages weak evidence instead of
+none: by LEAST, what three pages share goes, what two share stays, and on a million pages a text may recur eight
+times. A branch's importance combines its presentation with its content's and its children's mean, GAMMA to one.
+A branch is noise, and removed, if it and all branches below have less than LEAST; so is a node's own text by its
+content alone. Article and main elements, and what holds them, stay. If nothing would be left of a page, the
+tree doesn't count for it.
+
+Adverts, footers and notices with other words on each page have the entropy of an article, so tags, roles and
+the words of classes and ids are a prior: what they name as no main text has importance 0.
 
 Defined results. Null html: no text. Null or odd url: the host is empty. Pages without an article or main
 element: all of body that remains. Rows that repeat a page_id: each for itself. Extra columns are ignored.
@@ -27,16 +32,17 @@ from pyspark.sql import functions as F
 from .common import in_arrow, stored, table
 
 GAMMA = 0.9
-LEAST = 0.15
-MIN_PAGES = 8
-#: Tree nodes of all hosts up to which they are broadcast; more are joined by host and salt.
+LEAST = 0.85
+SMOOTH = 100
+#: Tree nodes of all hosts up to which they are broadcast; more go to the pages by host and salt.
 MOST_BROADCAST = 100_000
-SALTS = 16
+#: Pages of a host that share a salt.
+PAGES_PER_SALT = 1024
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Never main text.
+#: Never main text, whatever the tree says.
 DROP_TAGS = frozenset("head nav footer aside form script style noscript template title button select input textarea label iframe object embed svg canvas menu dialog audio video datalist".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar comment comments respond disqus replies reply related recommended share sharing social widget widgets toolbar pagination pager login signup search form".split())
@@ -65,12 +71,12 @@ def _step(parent: int, label: str) -> int:
 
 @lru_cache(20_000)
 def _style(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
-    """The label in the tree, with digits as one, and whether the element goes."""
+    """The label in the tree, with runs of three digits or more as one, and whether the element goes."""
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     names = found.get("class", "") + " " + found.get("id", "")
     pieces = {x.lower() for x in _PIECES.split(names)}
     drop = tag in DROP_TAGS or (tag == "header" and not in_main) or found.get("role", "").lower() in DROP_ROLES or bool(pieces & DROP_NAMES) or (not in_main and bool(pieces & DROP_OUTSIDE)) or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    return f"{tag}.{re.sub(r'[0-9]+', '0', found.get('class', ''))}", drop and tag not in ("html", "body")
+    return f"{tag}.{re.sub(r'[0-9]{3,}', '0', found.get('class', ''))}", drop and tag not in ("html", "body")
 
 
 def _keep_mains(mains: list[Node]) -> None:
@@ -145,35 +151,25 @@ def nodes(root: Node) -> Iterator[Node]:
 
 
 def _judged(x: Node) -> bool:
-    """Inline elements of an article are part of their block's text."""
-    return not x.main or x.tag in BLOCK
+    """Inline elements are part of their block."""
+    return x.tag in BLOCK
 
 
-def _own_text(x: Node) -> str:
-    """The text of a node without its children's; in an article, with that of its inline elements."""
+def _below(x: Node) -> tuple[str, list[Node]]:
+    """A block's own text, with that of its inline elements, and the nearest blocks below, through inline elements."""
     parts: list[str] = []
+    out: list[Node] = []
     stack = x.children[::-1]
     while stack:
         c = stack.pop()
         if isinstance(c, str):
             parts.append(c)
-        elif not c.drop and not _judged(c):
-            stack += c.children[::-1]
-    return _clean(parts)
-
-
-def _blocks(x: Node) -> list[Node]:
-    """The nearest judged nodes below, through inline elements of an article."""
-    out: list[Node] = []
-    stack = x.children[::-1]
-    while stack:
-        c = stack.pop()
-        if isinstance(c, Node) and not c.drop:
+        elif not c.drop:
             if _judged(c):
                 out.append(c)
             else:
                 stack += c.children[::-1]
-    return out
+    return _clean(parts), out
 
 
 _NODE = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("what", pa.int64())])
@@ -191,16 +187,17 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if x.parent is None or not _judged(x):
                     continue
                 out.add((host, x.path, PAGE, 0))
-                if text := _own_text(x):
+                text, below = _below(x)
+                if text:
                     out.add((host, x.path, TEXT, xxhash.xxh3_64_intdigest(text) - (1 << 63)))
-                style = " ".join(str(c.path) for c in (_blocks(x) if x.main else x.children) if isinstance(c, Node))
+                style = " ".join(str(c.path) for c in below)
                 out.add((host, x.path, STYLE, xxhash.xxh3_64_intdigest(style) - (1 << 63)))
             rows += out
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, _NODE, strict=True)], schema=_NODE)
 
 
-def site_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path and own importance of the nodes that min_pages pages have. All sums are partial before they are shuffled."""
+def site_trees(pages: DataFrame, smooth: float = SMOOTH) -> DataFrame:
+    """host, path, content (null without text) and style of the nodes that several pages have. All sums are partial before they are shuffled."""
     seen = in_arrow(pages.select("host", "html"), _observe, "host string, path long, kind byte, what long").groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("k"))
     one = lambda kind, x: F.when(F.col("kind") == kind, x)
     k = F.col("k").cast("double")
@@ -208,28 +205,46 @@ def site_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         F.max(one(PAGE, F.col("k"))).alias("m"), F.avg(one(TEXT, F.log(k))).alias("log_text"),
         F.sum(one(STYLE, k * F.log(k))).alias("k_log_k"))
     m = F.col("m").cast("double")
-    content, style = 1 - F.col("log_text") / F.log(m), (F.log(m) - F.col("k_log_k") / m) / F.log(m)
-    return sums.where(F.col("m") >= max(2, min_pages)).select("host", "path", F.when(F.col("log_text").isNotNull(), content).otherwise(style).alias("own"), F.col("log_text").isNotNull().alias("leaf"))
+    whole = F.log(m + smooth)
+    content, style = 1 - F.col("log_text") / whole, 1 - F.col("k_log_k") / m / whole
+    return sums.where("m > 1").select("host", "path", content.alias("content"), style.alias("style"))
 
 
-def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAMMA, least: float = LEAST, in_main: bool = True) -> str:
-    """The page's blocks without what goes. own: path -> own importance, and whether it is of texts. in_main: articles' blocks are judged."""
-    order = list(nodes(root))
-    kept_main: set[int] = set()
+def _noise(order: list[Node], tree: dict[int, tuple[float | None, float]], gamma: float, least: float) -> tuple[set[int], set[int]]:
+    """Ids of the blocks that are noise, and of those whose own text is. order: parents before their children."""
+    kept: set[int] = set()
     for x in order:
         if x.tag in MAIN:
             y = x
-            while y is not None and id(y) not in kept_main:
-                kept_main.add(id(y))
+            while y is not None and id(y) not in kept:
+                kept.add(id(y))
                 y = y.parent
-    worth: dict[int, float] = {}
+    worth: dict[int, float | None] = {}
+    noise: set[int] = set()
+    mute: set[int] = set()
     for x in reversed(order):
-        mine = own.get(x.path)
-        if mine is None or not _judged(x) or id(x) in kept_main or (x.main and not in_main):
-            worth[id(x)] = 1.0
+        if not _judged(x):
             continue
-        below = [worth[id(c)] for c in _blocks(x)]
-        worth[id(x)] = mine[0] if mine[1] and not below else (1 - gamma) * mine[0] + gamma * (sum(below) + (mine[0] if mine[1] else 0)) / max(1, len(below) + mine[1]) if below else mine[0]
+        text, below = _below(x)
+        content, style = tree.get(x.path, (1.0, 1.0))
+        parts = [w for c in below if (w := worth[id(c)]) is not None]
+        if text:
+            parts.append(1.0 if content is None else content)
+        # a branch without text has no say
+        worth[id(x)] = w = None if not parts else parts[0] if not below else (1 - gamma) * style + gamma * sum(parts) / len(parts)
+        if id(x) in kept:
+            continue
+        if text and content is not None and content < least:
+            mute.add(id(x))
+        if w is not None and w < least and all(id(c) in noise or worth[id(c)] is None for c in below):
+            noise.add(id(x))
+    return noise, mute
+
+
+def main_text(root: Node, tree: dict[int, tuple[float | None, float]], gamma: float = GAMMA, least: float = LEAST) -> str:
+    """The page's blocks without what goes. tree: path -> content and presentation importance."""
+    order = list(nodes(root))
+    noise, mute = _noise(order, tree, gamma, least) if tree else (set(), set())
     has_main = any(x.tag in MAIN for x in order)
     blocks: list[str] = []
     line: list[str] = []
@@ -239,49 +254,76 @@ def main_text(root: Node, own: dict[int, tuple[float, bool]], gamma: float = GAM
             blocks.append(text)
         line.clear()
 
-    stack: list = [root]
+    stack: list[tuple] = [(root, False)]
     while stack:
-        x = stack.pop()
+        x, silent = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            line.append(x)
+            if not silent:
+                line.append(x)
         elif x.tag == "br":
             line.append("\n")
-        elif not x.drop and worth[id(x)] >= least:
-            if x.tag in BLOCK:
+        elif not x.drop and id(x) not in noise:
+            if _judged(x):
                 flush()
-                stack.append(None)
-            stack += [c for c in reversed(x.children) if isinstance(c, Node) or x.main or not has_main]
+                stack.append((None, False))
+                silent = id(x) in mute
+            stack += [(c, silent) for c in reversed(x.children) if isinstance(c, Node) or x.main or not has_main]
     flush()
-    if not blocks and has_main and in_main:
-        return main_text(root, own, gamma, least, False)
+    if not blocks and tree:
+        return main_text(root, {}, gamma, least)
     return "\n\n".join(blocks)
 
 
+_IN = "kind byte, page_id long, url string, html string, host string, path long, content double, style double"
+
+
+def _texts(b: pa.RecordBatch, tree) -> pa.RecordBatch:
+    """tree: from a host to its nodes."""
+    texts = [main_text(parse(html.as_py() or ""), tree(host)) for html, host in zip(b.column("html"), b.column("host").to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by host; a host's nodes come before its pages."""
+    now, own = None, {}
+    for b in batches:
+        is_page = pa.array([k == 1 for k in b.column("kind").to_pylist()], pa.bool_())
+        at = 0
+        for i, (page, host) in enumerate(zip(is_page.to_pylist(), b.column("host").to_pylist(), strict=True)):
+            if host != now:
+                if at < i:
+                    yield _texts(b.slice(at, i - at).filter(is_page.slice(at, i - at)), lambda _, own=own: own)
+                now, own, at = host, {}, i
+            if not page:
+                own[b.column("path")[i].as_py()] = (b.column("content")[i].as_py(), b.column("style")[i].as_py())
+        yield _texts(b.slice(at).filter(is_page.slice(at)), lambda _, own=own: own)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     trees = stored(site_trees(rows), "trees")
-    per_host = trees.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("own").alias("owns"), F.collect_list("leaf").alias("leaves"))
+    result = "page_id long, url string, text string, n_chars long"
     if trees.count() <= MOST_BROADCAST:
-        joined = rows.join(F.broadcast(per_host), "host", "left")
-    else:
-        salted = per_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, last, own = [], None, {}
-            for html, host, paths, owns, leaves in zip(b.column(2), b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6), strict=True):
-                if host != last or last is None:
-                    last = host
-                    own = dict(zip(paths.as_py(), zip(owns.as_py(), leaves.as_py(), strict=True), strict=True)) if paths.is_valid else {}
-                texts.append(main_text(parse(html.as_py() or ""), own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return in_arrow(joined.select("page_id", "url", "html", "host", "paths", "owns", "leaves"), run, "page_id long, url string, text string, n_chars long")
+        found: dict[str, dict] = {}
+        for h, path, content, style in zip(*(c.to_pylist() for c in trees.select("host", "path", "content", "style").toArrow().columns), strict=True):
+            found.setdefault(h, {})[path] = (content, style)
+        held = pages.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _texts(b, lambda h: held.value.get(h, {}))
+
+        return in_arrow(rows, run, result)
+    sizes = stored(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_SALT).cast("int").alias("salts")), "salts")
+    nodes = trees.join(sizes, "host").select(F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "path", "content", "style", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = rows.join(sizes, "host").select(F.lit(1).cast("byte").alias("kind"), "page_id", "url", "html", "host", F.lit(None).cast("long").alias("path"), F.lit(None).cast("double").alias("content"), F.lit(None).cast("double").alias("style"), F.pmod(F.xxhash64("page_id", "url", "html"), F.col("salts")).cast("int").alias("salt"))
+    both = nodes.unionByName(dealt).repartition("host", "salt").sortWithinPartitions("host", "salt", "kind")
+    # two salts of a host in one task read its nodes twice
+    return in_arrow(both.select(*(c.split()[0] for c in _IN.split(", "))), _by_host, result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
