@@ -389,7 +389,36 @@ def test_fingerprints(spark):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t)
     assert got[0]["fingerprint"] == got[61]["fingerprint"] != got[60]["fingerprint"]
-    assert got[60]["near_next"] > 0.6 and np.mean([got[i]["near_edited"] for i in range(60)]) > 0.15 > np.mean([got[i]["near_next"] for i in range(58)])
+    assert got[60]["near_next"] > 0.6 and np.mean([got[i]["near_edited"] for i in range(60)]) > 0.15 > 2 * np.mean([got[i]["near_next"] for i in range(58)])
+
+
+@pytest.mark.parametrize("share", [0, 0.5, 1])
+def test_parts_by_force(share):
+    """Two texts have an equal part exactly if the same of their terms are in the lexicon and the part's fixed subset."""
+    r = random.Random(8)
+    pool = [f"T{i}é" for i in range(300)]
+    hashes = {w: int(vectext.words(pa.array([w]), lower=True).hash[0]) for w in pool}
+    known = set(r.sample(pool, int(share * 300)))
+    texts = [" ".join(r.choice(pool) for _ in range(r.choice([0, 1, 5, 40, 200]))) for _ in range(60)]
+    for i in range(0, 40, 2):
+        texts[i + 1] = " ".join(["T1é", *texts[i].split()[2:][::-1]])
+    got = imatch.fingerprints(texts, np.sort(np.array([hashes[w] for w in known], np.uint64)))
+    mixed = lambda x: int(vectext.mix(np.array([x], np.uint64))[0])
+    seeds = [mixed((s + 1) * 0x9E3779B97F4A7C15 % 2**64) for s in range(imatch.SEEDS)]
+    subsets = [set(pool), *({w for w in pool if mixed(hashes[w] ^ seed) < int(rate * 2**64)} for seed in seeds for rate in imatch.RATES)]
+    for part, subset in enumerate(subsets):
+        terms = [set(t.split()) & known or set(t.split()) for t in texts]
+        want = [frozenset(t & subset) for t in terms]
+        for i in range(len(texts)):
+            if texts[i] or part:
+                assert (got[i, part] == 0) == (not want[i])
+            for j in range(i):
+                assert (got[i, part] == got[j, part]) == (want[i] == want[j] and bool(texts[i]) == bool(texts[j]) or part > 0 and not want[i] and not want[j])
+    n = len(imatch.RATES)
+    for i, x in enumerate(imatch.likeness(got[:-1], got[1:])):
+        pairs = [[(u, v) for u, v in zip(got[i, s : s + n], got[i + 1, s : s + n], strict=True) if u or v] for s in range(1, imatch.PARTS, n)]
+        votes = [u == v for u, v in (p[-1] for p in pairs if p)]
+        assert x == (1 if got[i, 0] == got[i + 1, 0] else pytest.approx(np.mean(votes) if votes else 0))
 
 
 def test_document_frequencies(spark, small):

@@ -3,14 +3,19 @@
 A pass over all documents counts in how many each term occurs. The lexicon has the terms within the band of
 inverse document frequency LOW_IDF to HIGH_IDF: a document of d distinct terms adds at most d * exp(HIGH_IDF) / N
 terms to it, so it is bounded by the mean number of distinct terms times exp(HIGH_IDF), at any corpus size,
-and is broadcast. A document's terms in the lexicon, distinct and sorted by their hashes, are hashed whole
-and in SUBSETS randomised lexicon subsets. Each of these is nested: of the subsets that keep a share 2**-l of
-the lexicon, the sparsest counts in which the document still has a term. The likeness of two fingerprints is
-the share of equal parts.
-
-Defined results. Null text: empty. Documents without a term in the lexicon are hashed over all their terms,
-those without a word over their whole text. Rows that repeat a doc_id go by text. Null doc_id: before all
-others. The next document of the last one is the first, of an only one itself. Extra columns are ignored.
+and is broadcast. The distinct terms of a document that are in the lexicon, sorted, are hashed: all of them, and
+those in each of SEEDS * len(RATES) randomised lexicon subsets. The subsets are fixed before any document is seen:
+subset (seed, i) holds a share RATES[i] of all terms, those whose seeded hash is below it. Dense subsets differ on
+nearly every edit, sparse ones outlast it if they miss the edited terms.
+
+A part is the hash of one intersection; it is 0 if the intersection is empty, and such a part says nothing. Two
+texts are alike by a part if it is equal and not empty. Their likeness is 1 if the first parts are equal, else the
+share of seeds whose sparsest subset that isn't empty in both texts has equal parts.
+
+Defined results. Null text: empty. Documents without a term in the lexicon are hashed as if all their terms were
+in it; those without a word have only the first part, a hash of their whole text. Rows that repeat a doc_id go by
+text. Null doc_id: before all others (doc_id -2**63 is taken for null). The next document of the last one is the
+first, of an only one itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +35,15 @@ from .common import in_arrow, table
 
 #: Terms in more than one document in exp(LOW_IDF), or less than one in exp(HIGH_IDF), aren't in the lexicon.
 LOW_IDF, HIGH_IDF = float(np.log(10)), float(np.log(1000))
-SUBSETS = 32
+#: Shares of the lexicon in the subsets of a seed.
+RATES = tuple(2 / 3 / 4**i for i in range(6))
+SEEDS = 10
+PARTS = 1 + SEEDS * len(RATES)
 #: Distinct terms that a task counts before it passes them on.
 FLUSH = 1 << 20
-_SEEDS = V.mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = V.mix(np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: A seeded hash below a bound is in the subset; falling.
+_BOUNDS = np.array([int(r * 2**64) for r in RATES], np.uint64)
 
 
 def _distinct(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,40 +93,55 @@ def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF) -> np
     return np.sort(found.column(0).combine_chunks().to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
-def _levels(x: np.ndarray) -> np.ndarray:
-    """How many leading bits of x are 0, as far as a double tells."""
-    return 64 - np.frexp(x.astype(np.float64))[1]
-
-
 def fingerprints(texts: list[str], terms: np.ndarray) -> np.ndarray:
-    """A row of 1 + SUBSETS hashes of 32 bits for each text."""
+    """A row of PARTS hashes of 32 bits for each text; 0 for an empty intersection."""
     all_terms, first = _distinct(V.words(pa.array(texts, pa.large_string()), lower=True))
     kept = np.zeros(len(all_terms), bool)
     if len(terms) and len(all_terms):
         kept = terms[np.minimum(np.searchsorted(terms, all_terms), len(terms) - 1)] == all_terms
-    counts = np.add.reduceat(np.append(kept, False).astype(np.int64), first[:-1]) * (np.diff(first) > 0) if len(texts) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    use = kept | (counts[doc] == 0)
+    use = kept | (np.bincount(doc[kept], minlength=len(texts))[doc] == 0)
     t, doc = all_terms[use], doc[use]
-    out = np.zeros((len(texts), 1 + SUBSETS), np.uint32)
+    n = len(RATES)
+    out = np.zeros((len(texts), PARTS), np.uint32)
+
+    def hashed(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        h = np.maximum((V.mix(sums + sizes.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+        return np.where(sizes > 0, h, np.uint32(0))
+
+    def added(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        total = np.zeros(size, np.uint64)
+        np.add.at(total, at, x)
+        return total
+
+    # the order of distinct terms doesn't matter to a sum of mixed hashes
     sizes = np.bincount(doc, minlength=len(texts))
-    has = np.flatnonzero(sizes)
-    if len(has):
-        at = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
-        whole = np.add.reduceat(V.mix(t), at)
-        out[has, 0] = (V.mix(whole + sizes[has].astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-        for s, seed in enumerate(_SEEDS):
-            x = V.mix(t ^ seed)
-            level = _levels(x)
-            top = np.maximum.reduceat(level, at)
-            member = level >= np.repeat(top, sizes[has])
-            summed = np.add.reduceat(np.where(member, V.mix(x), np.uint64(0)), at)
-            out[has, 1 + s] = (V.mix(summed + top.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    out[:, 0] = hashed(added(doc, V.mix(t), len(texts)), sizes)
+    for s, seed in enumerate(_SEEDS):
+        x = V.mix(t ^ seed)
+        # how many of the seed's subsets, from the densest on, hold the term
+        held = n - np.searchsorted(_BOUNDS[::-1], x, "right")
+        some = held > 0
+        at = doc[some] * n + held[some] - 1
+        sums = added(at, V.mix(x[some] + seed), len(texts) * n).reshape(-1, n)
+        counts = np.bincount(at, minlength=len(texts) * n).reshape(-1, n)
+        # what the sparser subsets hold the denser ones hold too
+        sums, counts = np.cumsum(sums[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1], np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+        out[:, 1 + s * n : 1 + (s + 1) * n] = hashed(sums, counts)
     for i in np.flatnonzero(sizes == 0):
-        out[i] = np.frombuffer(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[:4], np.uint32)[0]
+        out[i, 0] = np.frombuffer(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[:4], np.uint32)[0] | np.uint32(1)
     return out
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of fingerprints row by row."""
+    x, y = (v[:, 1:].reshape(len(v), SEEDS, len(RATES)) for v in (a, b))
+    some = (x != 0) | (y != 0)
+    last = np.where(some.any(2), len(RATES) - 1 - some[:, :, ::-1].argmax(2), 0)[:, :, None]
+    same = (np.take_along_axis((x == y) & some, last, 2)[:, :, 0]).sum(1) / np.maximum(some.any(2).sum(1), 1)
+    return np.where(a[:, 0] == b[:, 0], 1.0, same)
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -177,7 +202,7 @@ def compare(docs: DataFrame) -> DataFrame:
         columns = [
             pa.array([None if k == -(2**63) else k for k, _ in rows], pa.int64()), pa.array([len(t) for _, t in rows], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()), pa.array(show(own[:-1])), pa.array(show(other)),
-            pa.array((own[:-1] == other).mean(1)), pa.array((own[:-1] == own[1:]).mean(1)),
+            pa.array(likeness(own[:-1], other)), pa.array(likeness(own[:-1], own[1:])),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
