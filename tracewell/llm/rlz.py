@@ -3,16 +3,18 @@
 The reference is every document: its blocks are the runs of consecutive windows of LENGTH words that share
 an anchor, the least of the hashed GRAM-word sequences in the window (ties: the leftmost). Equal windows
 have equal anchors, so blocks are indexed by anchor and a window need be looked up in its own block only.
-Within an anchor, blocks go by doc_id and each window is looked up among those of smaller doc_ids. A factor
-is a longest stretch of windows with the same, earliest source; the next one starts where it ends, and as
-every window is looked up, also those over factor boundaries, the words under the factors are exactly those
-under windows that start in a document with a smaller doc_id.
-
-Blocks move as window hashes of 6 bytes, grouped by 8 more of the anchor. Before that, blocks that equal
-another of a smaller doc_id in the same slice of the input are settled, so a passage in a third of all
-documents is moved once a slice, and a block that a document repeats is moved once. Windows of hot anchors, of which a pass before counts all, are blocks of
-their own and dealt by their own hashes. A block's task streams: it holds some Arrow batches and the distinct
-windows of one anchor.
+Within an anchor, blocks go by doc_id and each is parsed greedily against all blocks of smaller doc_ids: from its
+first window that any of them has, the factor is the longest stretch that one of them has (ties: the smallest
+doc_id), and the parse goes on at the next window that any has. A factor holds LENGTH words or more, so each is
+long enough; the windows over its end are looked up like all others, and so the words under the factors are
+exactly those under windows that start in a document with a smaller doc_id. A longer repeat comes as a factor a
+block, which overlap.
+
+Blocks move as window hashes of 8 bytes, grouped by 8 more of the anchor: words count as equal by these 128 bits.
+Before that, blocks that equal another of a smaller doc_id in the same slice of the input are settled, so a passage
+in a third of all documents is moved once a slice, and a block that a document repeats is moved once. Windows of
+hot anchors, of which a pass before counts all, are blocks of their own and dealt by their own hashes. A block's
+task streams: it holds some Arrow batches and the distinct blocks of one anchor, below HOT.
 
 Defined results. Null and empty texts: no words. Documents below LENGTH words: nothing removed. Null doc_id:
 neither source nor cut. Rows that share a doc_id aren't sources of one another. Extra columns are ignored by
@@ -37,8 +39,8 @@ LENGTH = 50
 GRAM = 8
 #: An anchor of so many blocks is hot, up to MOST_HOT of them; so the list that is broadcast is bounded.
 HOT, MOST_HOT = 4096, 100_000
-#: Bytes of a window's hash, beside its anchor's eight.
-WIDTH = 6
+#: Pairs of a seed and a reference block that are extended at once.
+PAIRS = 1 << 18
 BLOCK = "anchor long, doc_id long, row long, places binary, words int, windows binary"
 
 
@@ -122,9 +124,9 @@ def _blocks(length: int, gram: int, hot):
                     head = np.flatnonzero(np.append(True, (np.diff(same[left].view(np.int64)) != 0) | (np.diff(own[left]) != 0)))
                     one = left[head]
                     at = np.repeat(begin[one], sizes[one]) + np.arange(sizes[one].sum()) - np.repeat(np.cumsum(sizes[one]) - sizes[one], sizes[one])
-                    data = np.ascontiguousarray(windows[at]).view(np.uint8).reshape(-1, 8)[:, :WIDTH].ravel()
+                    data = np.ascontiguousarray(windows[at]).view(np.uint8)
                     places = V.binary(first[left].astype(np.int32).view(np.uint8), np.append(head, len(left)) * 4)
-                    yield _batch(key[one].view(np.int64), ids[one], rows[one], places, np.zeros(len(one)), V.binary(data, np.append(0, np.cumsum(sizes[one])) * WIDTH))
+                    yield _batch(key[one].view(np.int64), ids[one], rows[one], places, np.zeros(len(one)), V.binary(data, np.append(0, np.cumsum(sizes[one])) * 8))
                 rows, first, sizes, source = rows[settled], first[settled], sizes[settled], source[settled]
                 if len(rows):
                     run_at = np.flatnonzero(np.append(True, (np.diff(own[settled]) != 0) | (np.diff(source) != 0) | (first[1:] != first[:-1] + sizes[:-1])))
@@ -149,10 +151,77 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 FACTOR = "row long, start int, words int, source long"
 
 
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range each value is of, and the values of range(b, b + c) one after another."""
+    of = np.repeat(np.arange(len(begin)), count)
+    return of, begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+
+
+def _extensions(a: np.ndarray, a_stop: np.ndarray, b: np.ndarray, b_stop: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many windows from positions a on equal those from b on, below both stops."""
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    k = 0
+    while len(live):
+        live = live[(a[live] + k < a_stop[live]) & (b[live] + k < b_stop[live])]
+        live = live[windows[a[live] + k] == windows[b[live] + k]]
+        k += 1
+        out[live] = k
+    return out
+
+
+def parse(group: np.ndarray, doc: np.ndarray, sizes: np.ndarray, windows: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of the blocks from `old` on, and the blocks that are the first of their content.
+
+    Blocks are sorted by group and doc; sizes: their windows, which lie in `windows` one after another. Returns
+    block, position and number of windows of each factor, the doc of its source, and whether a block is a first.
+    """
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(windows)) - begin[of]
+    up, _ = V.powers(0x9FB21C651E98DF25, int(sizes.max()))
+    whole = V.mix(V.mix(np.add.reduceat(windows * up[place], begin) + sizes.astype(np.uint64)) ^ V.mix(group.astype(np.uint64)))
+    first = np.zeros(len(sizes), bool)
+    first[np.unique(whole, return_index=True)[1]] = True
+    # windows by content; in each, those of first blocks in the order of docs
+    key = V.mix(windows ^ V.mix(group[of].astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    start_of = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    name = np.empty(len(key), np.int64)
+    name[order] = np.repeat(np.arange(len(start_of)), np.diff(np.append(start_of, len(order))))
+    least = doc[of[order[start_of]]]
+    refs = order[first[of[order]]]
+    ref_begin = np.searchsorted(name[refs], np.arange(len(start_of) + 1))
+    hit = np.flatnonzero((least[name] < doc[of]) & (of >= old))
+    found: list[tuple[np.ndarray, ...]] = []
+    # the first hit of each block, then the first after its factor, and so on
+    at = hit[np.append(True, np.diff(of[hit]) != 0)] if len(hit) else hit
+    while len(at):
+        length, source = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count = ref_begin[name[at] + 1] - ref_begin[name[at]]
+        cut = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()) + PAIRS, PAIRS), "left") + 1
+        for i, j in zip(np.append(0, cut[:-1]), np.minimum(cut, len(at)), strict=True):
+            seed, where = _ranges(ref_begin[name[at[i:j]]], count[i:j])
+            seed, ref = seed + i, refs[where]
+            earlier = doc[of[ref]] < doc[of[at[seed]]]
+            seed, ref = seed[earlier], ref[earlier]
+            n = _extensions(at[seed], (begin + sizes)[of[at[seed]]], ref, (begin + sizes)[of[ref]], windows)
+            best = np.lexsort((doc[of[ref]], -n, seed))
+            best = best[np.append(True, np.diff(seed[best]) != 0)] if len(best) else best
+            length[seed[best]], source[seed[best]] = n[best], doc[of[ref[best]]]
+        found.append((of[at], place[at], length, source))
+        after = np.searchsorted(hit, at + length)
+        more = after < len(hit)
+        after, last = hit[after[more]], of[at][more]
+        at = after[of[after] == last]
+    block, position, length, source = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    return block, position, length, source, first
+
+
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the last anchor: its distinct windows and the smallest doc_id of each
-        last, seen, source = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # of the last anchor: its distinct blocks, their docs and windows
+        last, docs, counts, hashes = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for b in gathered(batches):
             settled = pc.greater(b.column(4), 0)
             done = b.filter(settled)
@@ -164,47 +233,28 @@ def _factors(length: int):
             places_at, places = _bytes(b.column(3))
             places_at, places = places_at // 4, np.ascontiguousarray(places).view(np.int32)
             at, data = _bytes(b.column(5))
-            sizes = np.diff(at) // WIDTH
-            one = np.zeros((int(sizes.sum()), 8), np.uint8)
-            one[:, :WIDTH] = data.reshape(-1, WIDTH)
+            sizes, windows = np.diff(at) // 8, np.ascontiguousarray(data).view(np.uint64)
             group = np.cumsum(np.append(True, np.diff(anchor) != 0))  # from 1; rows of a group are by doc_id
-            if last is not None and last == anchor[0]:
-                group_old = np.ones(len(seen), np.int64)
-            else:
-                seen, source, group_old = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if last != anchor[0]:
+                docs, counts, hashes = docs[:0], counts[:0], hashes[:0]
             # groups of one row have nothing to find, unless they go on from or into another batch
             several = np.bincount(group)[group] > 1
-            several |= (group == 1) & (len(seen) > 0) | (group == group[-1])
-            use = np.repeat(several, sizes)
-            hashes = one.view(np.uint64).ravel()[use]
-            of = np.repeat(np.arange(b.num_rows), sizes)[use]
-            key = V.mix(np.concatenate([seen, hashes]) ^ V.mix(np.concatenate([group_old, group[of]]).astype(np.uint64)))
-            docs = np.concatenate([source, doc[of]])
-            _, where, back = np.unique(key, return_index=True, return_inverse=True)  # the first is of the smallest doc_id
-            least = docs[where][back][len(seen) :]
+            several |= ((group == 1) & (len(docs) > 0)) | (group == group[-1])
+            own = np.flatnonzero(several)
+            _, at = _ranges((np.cumsum(sizes) - sizes)[own], sizes[own])
+            old = len(docs)
+            g, d = np.append(np.ones(old, np.int64), group[own]), np.append(docs, doc[own])
+            n, w = np.append(counts, sizes[own]), np.append(hashes, windows[at])
+            block, position, count, source, first = parse(g, d, n, w, old)
             # what the next batch may go on with
-            tail = group[of] == group[-1]
-            if group[-1] == 1 and len(seen):
-                fresh = where[where >= len(seen)] - len(seen)
-                seen, source = np.concatenate([seen, hashes[fresh]]), np.concatenate([source, doc[of][fresh]])
-            else:
-                seen, i = np.unique(hashes[tail], return_index=True)
-                source = doc[of][tail][i]
-            last = anchor[-1]
-            hit = np.flatnonzero(least < doc[of])
-            if not len(hit):
+            keep = first & (g == group[-1])
+            last, docs, counts, hashes = anchor[-1], d[keep], n[keep], w[np.repeat(keep, n)]
+            if not len(block):
                 continue
-            position = (np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[use]
-            h_row, h_at, h_source = of[hit], position[hit], least[hit]
-            new = np.append(True, (np.diff(h_row) != 0) | (np.diff(h_at) != 1) | (np.diff(h_source) != 0))
-            begin = np.flatnonzero(new)
-            count = np.diff(np.append(begin, len(hit)))
             # each factor at all places of its block
-            r = h_row[begin]
-            times = places_at[r + 1] - places_at[r]
-            again = np.repeat(np.arange(len(r)), times)
-            place = places[np.repeat(places_at[r], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(row[r][again]), pa.array((h_at[begin][again] + place).astype(np.int32)), pa.array((count[again] + length - 1).astype(np.int32)), pa.array(h_source[begin][again])], ["row", "start", "words", "source"])
+            r = own[block - old]
+            again, place = _ranges(places_at[r], places_at[r + 1] - places_at[r])
+            yield pa.RecordBatch.from_arrays([pa.array(row[r][again]), pa.array((position[again] + places[place]).astype(np.int32)), pa.array((count[again] + length - 1).astype(np.int32)), pa.array(source[again])], ["row", "start", "words", "source"])
 
     return run
 
