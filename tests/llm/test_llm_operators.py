@@ -1,6 +1,7 @@
 """The operators against brute force, round trips, SQL and held-out accuracy."""
 
 import collections
+import gzip
 import hashlib
 import os
 import random
@@ -136,6 +137,44 @@ def test_archives_round_trip(spark):
     assert got == {1: ("response", None, n), 3: ("revisit", 1, n), 9: ("revisit", 1, n), 2: ("response", None, 5), 4: ("response", None, 5)}
 
 
+def test_archives_of_many_sizes(spark, monkeypatch):
+    """Files are rolled by the size of payloads, and results don't depend on it, nor on the broadcast."""
+    rows = [(i if i % 7 else None, f"http://a/{i}", "x" * (i * 37 % 900)) for i in range(120)] + [(1000 + i, "http://copy/", "y" * 150) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+    def run():
+        path = warc.new_path(spark, "w")
+        warc.write_archive(warc.deduplicate(warc.to_records(pages)), path)
+        got = warc.resolve_revisits(warc.read_archive(spark, path)).select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
+        return sorted(map(repr, got.collect())), path
+
+    whole, _ = run()
+    assert len(whole) == len(rows) and sum("revisit" in x for x in whole) >= 8
+    for name, value in (("MOST_ORIGINALS", -1), ("SIZES", (100, 300, 1 << 20)), ("FILE_BYTES", 1000), ("PIECE", 7)):
+        monkeypatch.setattr(warc, name, value)
+    again, path = run()
+    assert again == whole
+    assert {f.rsplit("/", 2)[1] for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()} == {"100", "300", "1048576"}
+    text = b"".join(gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect())
+    assert text.count(b"WARC-Record-ID: <urn:") == len(rows)
+
+
+def test_archives_with_a_member_a_record(spark):
+    one = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    parts = [one % (n, b"z" * n) for n in (0, 5, 70_000, 1)]
+    for data in (b"".join(parts), b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts))):
+        assert [len(r["payload"]) for r in warc.parse(data)] == [0, 5, 70_000, 1]
+    assert list(warc.parse(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc.parse(parts[2][:-100]))
+
+
+def test_an_empty_archive(spark):
+    path = warc.new_path(spark, "w")
+    warc.write_archive(warc.deduplicate(warc.to_records(spark.createDataFrame([], "page_id long, url string, html string"))), path)
+    assert warc.resolve_revisits(warc.read_archive(spark, path)).count() == 0
+
+
 # 3: substring deduplication
 
 
