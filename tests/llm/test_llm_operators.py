@@ -335,6 +335,15 @@ def test_leftovers_are_merged_without_overlap(spark):
     assert sum(x["length"] for x in merged) / (1024 * len(by)) > 0.9
 
 
+def test_leftovers_are_merged_until_they_fill(spark):
+    """More rounds than a few, as long as they pay."""
+    n = 4000
+    rows = [(i, 0, 10, 0, 10, i, 0) for i in range(n)]
+    short = spark.createDataFrame(rows, packing.PIECE)
+    got = packing.merge_leftovers(short, n, 1024, 4).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 10 * n and len(got) <= 1.2 * n * 10 / 1020
+
+
 # 5: language
 
 
@@ -354,6 +363,22 @@ def test_labels_and_ids_are_no_input(spark, small):
     assert a == b
 
 
+def test_counts_do_not_depend_on_chunks(monkeypatch):
+    text = "Ab  c, d1e éÜ  " * 50 + " x"
+    whole = langid.counts(text)
+    for chunk in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert (langid.counts(text) == whole).all()
+
+
+def test_more_labels_than_most_have(spark):
+    """Every label is learned, however many there are."""
+    rows = [(100 * k + i, f"{chr(0x4E00 + 7 * k)}{chr(0x4E00 + 7 * k + 1 + i % 3)} " * 5, f"l{k}") for k in range(80) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+
+
 def test_elastic_net_and_temperature():
     r = np.random.default_rng(1)
     rows = [(np.array([y, 10 + int(r.integers(50))]), np.array([1.0, 0.3]), y) for y in r.integers(0, 3, 300).tolist()]
@@ -443,6 +468,16 @@ def test_added_kinds_scores_and_redaction(spark):
     assert "[IBAN]" in clean[1] and "[EMAIL]" in clean[1] and "4111" not in clean[1] and clean[2] is None and clean[3] == "[EMAIL] +[CARD]"
 
 
+def test_many_matches_in_a_text(spark):
+    """More matches than a chunk of results holds, and redaction of overlapping spans over its borders."""
+    texts = ["a@b.co 1.2.3.4 " * 3000, "x@1.2.3.4 " * 700]
+    got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans(t))
+    clean = [r["text"] for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert clean == ["[EMAIL] [IP] " * 3000, "[EMAIL] " * 700]
+
+
 # 8: I-Match
 
 

@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, if that is unset on a local master, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -37,10 +39,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of tables that are still there.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    _paths.append(path)
     return path
 
 
@@ -52,6 +59,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    _remove(spark, path)
+    _paths.remove(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """make's result, stored, and its path; the tables made on the way are removed."""
+    known = set(_paths)
+    out = stored(make(), name)
+    path = _paths[-1]
+    for other in [p for p in _paths if p not in known and p != path]:
+        drop(spark, other)
+    return out, path
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """The batches put together to about so many rows; for narrow rows, where a batch's cost is NumPy calls."""
     held: list[pa.RecordBatch] = []

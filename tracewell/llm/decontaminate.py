@@ -64,9 +64,12 @@ def canonical(texts: pa.Array) -> tuple[V.Words, V.Words, np.ndarray]:
     s, e = w.start.copy(), w.end.copy()
     if len(s):
         solid = _WORD[w.data]
-        for _ in range(4):  # outer punctuation
-            s += (s < e) & ~solid[np.minimum(s, len(solid) - 1)]
-            e -= (e > s) & ~solid[e - 1]
+        # outer punctuation: on to the next solid byte, back to the last one
+        at, none = np.arange(len(solid)), len(solid)
+        following = np.minimum.accumulate(np.where(solid, at, none)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(solid, at, -1))
+        s = np.minimum(following[s], e)
+        e = np.maximum(before[e - 1] + 1, s)
         whole = s >= e  # nothing but punctuation stays as it is
         s, e = np.where(whole, w.start, s), np.where(whole, w.end, e)
         first = w.data[s]

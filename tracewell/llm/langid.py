@@ -2,16 +2,17 @@
 
 Features are character n-grams of 1 to NGRAM letters or spaces, hashed into BUCKETS, weighted by
 (1 + log tf) * idf and normalised. Document frequencies cover every document that may be learned from; the
-weights are fitted on a sample of at most PER_LANG documents a language, chosen by a hash of doc_id, with
-follow-the-regularised-leader and elastic-net penalties; every fifth of them calibrates the temperature.
+weights are fitted on a sample of at most PER_LANG documents a language, and MOST_ROWS in all if no language gets
+below LEAST_PER_LANG by it, chosen by a hash of doc_id, with follow-the-regularised-leader and elastic-net penalties; every fifth of them calibrates the temperature.
 `keep_known` wants a calibrated score of LEAST_SCORE, or with more than four languages of LEAST_GAIN of the way
 from chance to 1. On the test tables held-out documents, also those in two languages, score 0.50 at least, random
 letters, encoded bytes and foreign scripts 0.46 at most. A mixture of two languages and no language look alike if
 only two are learned, so then, and without calibration (below 50 documents), only `und` goes.
 
 Defined results. Null text, or none with a letter: `und`, score 0. No labelled document: all `und`. Null
-doc_id: predicted, not learned from, not held out. Rows that repeat a doc_id: each for itself. More than
-MOST_LANGS labels: the most frequent are learned. Extra columns: `identify` ignores, `keep_known` keeps them.
+doc_id: predicted, not learned from, not held out. Rows that repeat a doc_id: each is predicted for itself,
+and one of those with a language may be in the sample. All labels are learned; each takes about 1.3 MB of the
+driver. Extra columns: `identify` ignores, `keep_known` keeps them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from .common import fresh, in_arrow, table
 NGRAM = 3
 BUCKETS = 1 << 16
 #: Bounds the sample of labelled documents that the weights are fitted on.
-PER_LANG = 1000
-MOST_LANGS = 64
+PER_LANG, MOST_ROWS, LEAST_PER_LANG = 1000, 64_000, 50
 EPOCHS = 3
 LEAST_SCORE, LEAST_GAIN = 0.475, 0.3
 UNKNOWN = "und"
@@ -52,19 +52,31 @@ def _folded() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray | None:
-    """Occurrences by bucket; None if there is no letter. Long texts go in chunks that overlap by NGRAM characters, whose n-grams count twice."""
+    """Occurrences by bucket; None if there is no letter. Long texts go in chunks, which carry the characters that n-grams over their borders need."""
     total, letters = np.zeros(BUCKETS, np.int64), False
+    tail, solid_before = np.zeros(0, np.uint64), True
+
+    def add(c: np.ndarray) -> None:
+        nonlocal tail
+        x = np.concatenate([tail, c])
+        h = np.zeros(len(x), np.uint64)
+        for n in range(1, NGRAM + 1):
+            if len(x) >= n:
+                h = h[: len(x) - n + 1] * np.uint64(0x110001) + x[n - 1 :]
+                # those that end in c
+                total[:] += np.bincount(((h[max(0, len(tail) - n + 1) :] + np.uint64(n)) * _SPREAD) >> np.uint64(48), minlength=BUCKETS)
+        tail = x[len(x) - min(len(x), NGRAM - 1) :]
+
+    space = np.array([32], np.uint64)
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - NGRAM) : at + CHUNK]
-        c = _folded()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        c = _folded()[np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
         solid = c != 32
         letters = letters or bool(solid.any())
-        c = c[solid | np.append(True, solid[:-1])]  # runs of spaces count as one
-        c = np.concatenate([[np.uint64(32)], c, [np.uint64(32)]])
-        h = np.zeros(len(c), np.uint64)
-        for n in range(1, NGRAM + 1):
-            h = h[: len(c) - n + 1] * np.uint64(0x110001) + c[n - 1 :]
-            total += np.bincount(((h + np.uint64(n)) * _SPREAD) >> np.uint64(48), minlength=BUCKETS)
+        c = c[solid | np.append(solid_before, solid[:-1])]  # runs of spaces count as one
+        solid_before = bool(solid[-1])
+        add(c if at else np.concatenate([space, c]))
+    if letters:
+        add(space)
     return total if letters else None
 
 
@@ -156,17 +168,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """docs: doc_id, text and lang, all of which may be learned from."""
     docs = docs.where("lang is not null and doc_id is not null")
-    langs = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    langs = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(langs)
+    per_lang = min(per_lang, max(LEAST_PER_LANG, MOST_ROWS // max(1, len(names))))
     sums = in_arrow(docs.select("text"), _frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1)
     df[sums["bucket"].to_numpy(np.int64)] = sums["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 0.1
     # about 1.3 times the bound by a threshold on the hash, then the bound exactly
     unit = (F.xxhash64("doc_id").cast("double") / float(2**64) + 0.5).alias("u")
-    rate = F.lit(0.0)
-    for name, n in langs.items():
-        rate = F.when(F.col("lang") == name, min(1.0, 1.3 * per_lang / n)).otherwise(rate)
+    rates = F.create_map(*(F.lit(x) for name, n in langs.items() for x in (name, min(1.0, 1.3 * per_lang / n)))) if langs else F.lit(None)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +186,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             parts = [pa.array([v[i].astype(kind).tobytes() for v in found if v is not None], pa.binary()) for i, kind in enumerate(("<u4", "<f4"))]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), *parts], ["lang", "u", "at", "x"])
 
-    chosen = docs.select("lang", unit, "text").where(F.col("u") < rate)
+    chosen = docs.select("lang", unit, "text").where(F.col("u") < (F.element_at(rates, F.col("lang")) if langs else F.lit(0.0)))
+    chosen = chosen.groupBy("lang", "u").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = in_arrow(chosen, featurise, "lang string, u double, at binary, x binary").toPandas().sort_values(["lang", "u"]).groupby("lang").head(per_lang)
     fitted = [(np.frombuffer(r.at, "<u4"), np.frombuffer(r.x, "<f4").astype(float), names.index(r.lang)) for r in rows.itertuples()]
     held = fitted[::5] if len(fitted) >= 50 else []

@@ -33,6 +33,7 @@ WINDOWS = 8
 MIN_CUT = 8
 #: Leftover sequences merged by one task in a round.
 MERGE = 512
+LEAST_GAIN = 0.02
 END = 0
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
@@ -172,16 +173,20 @@ def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pdf.assign(sequence_id=[x[0] for x in moved], offset=pdf["offset"] + [x[1] for x in moved])[_COLUMNS]
 
 
-def merge_leftovers(short: DataFrame, sequences: int, length: int = LENGTH, most: int = MERGE) -> DataFrame:
-    """Merges short sequences, at most about `most` in a task; each round leaves about half, in other groups."""
+def merge_leftovers(short: DataFrame, sequences: int, length: int = LENGTH, most: int = MERGE, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """Merges short sequences, about `most` in a task, in rounds of other groups, until all are in one group or a round no longer pays."""
     step = 0
-    while sequences > 1 and step < 3:
+    while sequences > 1:
         groups = -(-sequences // most)
         key = F.pmod(F.xxhash64(F.col("sequence_id"), F.lit(step)), F.lit(groups))
         short = short.withColumn("g", key).groupBy("g").applyInPandas(lambda pdf: _merge(pdf, length), PIECE)
         if groups == 1:
             break
-        step += 1
+        short = stored(short, "merged")
+        left = short.select("sequence_id").distinct().count()
+        if left > (1 - least_gain) * sequences:
+            break
+        sequences, step = left, step + 1
     return short
 
 

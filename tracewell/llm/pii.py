@@ -23,6 +23,8 @@ from .common import fresh, table
 
 MARK, OTHER = "\uffff", "\ufffe"
 CONTEXT = 40
+#: Parts of a text, or spans, that are gone through with one array of results.
+CHUNK = 128
 LEAST = 0.5
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -97,6 +99,18 @@ def score(kind: str, before: Column, after: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(SCORES[kind]) + up - down)), 2)
 
 
+def _chunked(values: Column, first: Column, total, run) -> Column:
+    """The concatenated results of run(chunk, start, index) over chunks of CHUNK values; start: `total` of (start, chunk) over those before.
+
+    Appending to an array copies it, so a chunk has an array of its own and time stays linear in the values.
+    """
+    chunk = lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK))
+    last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    starts = F.when(last > 0, F.aggregate(F.sequence(F.lit(1), last), F.array(first), lambda acc, c: F.concat(acc, F.array(total(F.element_at(acc, -1), chunk(c - 1)))))).otherwise(F.array(first))
+    many = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda c: run(chunk(c), F.element_at(starts, c + 1), c * CHUNK)))
+    return F.when(last > 0, many).otherwise(run(values, first, F.lit(0)))
+
+
 def _spans(kind: str, parts: Column) -> Column:
     """Spans of one kind from a text's parts."""
     none = F.expr(f"cast(array() as {SPAN})")
@@ -110,8 +124,12 @@ def _spans(kind: str, parts: Column) -> Column:
         found = F.when(acc["i"] % 2 == 1, F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"])).otherwise(acc["spans"])
         return F.struct((acc["at"] + n).alias("at"), (acc["i"] + 1).alias("i"), found.cast(SPAN).alias("spans"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), none.alias("spans"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(none)
+    def run(chunk: Column, at: Column, i: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), i.alias("i"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    zero = F.lit(0).cast("bigint")
+    length = lambda at, chunk: F.aggregate(chunk, at, lambda n, part: n + F.length(part))
+    return F.when(F.size(parts) > 1, _chunked(parts, zero, length, run)).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
@@ -136,7 +154,7 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """text with [KIND] for each span; overlapping spans become one, under the kind of the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    none = F.expr("cast(array() as array<string>)")
 
     def step(acc: Column, s: Column) -> Column:
         # substring's positions are ints
@@ -144,8 +162,13 @@ def redacted(text: Column, spans: Column) -> Column:
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, tail)).otherwise(text)
+    def run(chunk: Column, at: Column, _: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    ends = lambda at, chunk: F.greatest(at, F.array_max(F.transform(chunk, lambda s: s["end"])))
+    zero = F.lit(0).cast("bigint")
+    tail = F.substring(text, (ends(zero, ordered) + 1).cast("int"), F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(_chunked(ordered, zero, ends, run), ""), tail)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
