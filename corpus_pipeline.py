@@ -1,4 +1,4 @@
-"""Documents to packed training sequences, in five stages; each is written and read again before the next.
+"""Documents to packed training sequences, in five stages; each is written and read again before the next, whose result replaces it.
 
 A stage takes all that its predecessor kept. All but the last return the columns of documents.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, langid, neardup, packing, pii
-from tracewell.llm.common import stored, table
+from tracewell.llm.common import drop, settled, table
 from tracewell.session import ready
 
 
@@ -56,9 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage{i}")
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        after, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            drop(spark, last)
+        docs, last = after, path
+    return STAGES[-1][1](spark, docs, sf_dir)
