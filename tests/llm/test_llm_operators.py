@@ -228,7 +228,7 @@ def test_factors_name_the_longest_source(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.col("doc_id"))
     got = sorted(tuple(r) for r in rlz.factors(df).where("row = 3").collect())
     covered = collections.defaultdict(set)
-    for _, start, n, source in got:
+    for _, _, start, n, source in got:
         covered[source] |= set(range(start, start + n))
     assert covered[2] == set(range(1, 121)) and covered[1] <= set(range(1, 61))
 
@@ -676,6 +676,36 @@ def test_near_duplicates_of_documents(spark, small):
     assert got == groups_by_force(lower)
 
 
+def test_dense_regions_by_force(spark, monkeypatch):
+    """Boilerplate that hundreds of texts share, of which some are linked and most are not, in blocks of a few sets."""
+    monkeypatch.setattr(neardup, "HELD", 2000)
+    r = random.Random(14)
+    base = [f"b{i}" for i in range(100)]
+    docs = []
+    for _ in range(300):
+        a = r.choice([2, 6, 12, 14, 16, 18, 25])
+        docs.append(base[: 100 - a] + [f"u{r.randrange(10**6)}" for _ in range(a)])
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = groups_by_force(docs)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 299
+
+
+def test_leaves_adapt_their_depth():
+    """Each leaf is the shallowest agreement of at most so many rows."""
+    r = random.Random(15)
+    rows = sorted((r.choice([1, 1, 1, 2, 3]), *(r.choice([0] * 20 + [200]) for _ in range(neardup.DEEP))) for _ in range(600))
+    signed = sorted((x[0], int.from_bytes(bytes(x[1:]), "big", signed=True)) for x in rows)
+    key, deep = (np.array(c, np.int64) for c in zip(*signed, strict=True))
+    for leaf in (1, 8, 64, 1000):
+        got = neardup.leaves(key, deep, leaf)
+        prefixes = [[(k, d >> 8 * (neardup.DEEP - n) if n else 0) for k, d in signed] for n in range(neardup.DEEP + 1)]
+        sizes = [collections.Counter(p) for p in prefixes]
+        for i in range(len(signed)):
+            n = next((n for n in range(neardup.DEEP + 1) if sizes[n][prefixes[n][i]] <= leaf), None)
+            assert got[i] == (-1 if n is None else prefixes[n].index(prefixes[n][i]))
+
+
 def test_regions_in_pieces():
     keys = np.repeat(np.arange(5), [3, 90, 1, 200, 2])
     rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)))], ["key", "n"])

@@ -313,9 +313,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, same columns, without contaminated rows."""
     columns = docs.columns
-    row = fresh(docs, "__row")
-    found = stored(matches(docs, benchmark).select(F.col("row").alias(row)).distinct(), "contaminated")
-    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(found, row, "left_anti").select(*columns)
+    row, doc = fresh(docs, "__row"), fresh(docs, "__doc")
+    found = stored(matches(docs, benchmark).select(F.col("row").alias(row), F.col("doc_id").alias(doc)).distinct(), "contaminated")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    same = (F.col(row) == F.col(row + "r")) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    return rows.join(found.withColumnRenamed(row, row + "r"), same, "left_anti").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

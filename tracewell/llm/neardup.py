@@ -2,16 +2,19 @@
 
 Documents with equal shingle sets are one class; the rest works on classes. TREES sorted orders are kept of
 the signatures: tree t orders by the values from TAKE * t on, in rotation. A region is the classes that agree
-in a tree's first TAKE values; within it the order goes on by the next values, so neighbours have the longest
-common prefixes, and dense regions are compared at the depth that their density asks for. A pair at the
-threshold of 0.75 agrees in no tree with probability (1 - 0.75**3)**20, about 2e-5.
+in a tree's first TAKE values. Its depth adapts: where more than LEAF classes agree, it goes down by the next
+values, one by one, until at most LEAF do, or DEEP values are used up; so a region is a set of leaves, each as deep
+as its surroundings are dense. All classes of a leaf are one another's candidates, and so are the WINDOW neighbours
+in the order, which have the longest common prefixes. A pair at the threshold of 0.75 agrees in no tree's first
+values with probability (1 - 0.75**3)**20, about 2e-5.
 
 Candidates pass a sketch of SKETCH one-bit MinHash values, loose by 4.6 standard deviations. Round one
-confirms for each class its nearest neighbour in any tree's order and the nearest of the regions' hubs (the
+confirms for each class its nearest candidate in any tree and the nearest of the regions' hubs (the
 class nearest to a region's bitwise majority). Round two, given the components so far, goes on between
-different components: in regions of up to 2 * WINDOW + 1 classes every passing pair is confirmed; in larger
-ones all classes outside the region's main component are compared with all its classes, in blocks of MEMBERS,
-on full shingle sets, and only links leave the task. Links are confirmed on full shingle sets from the texts.
+different components: in regions of up to 2 * WINDOW + 1 classes every passing pair is confirmed. In larger
+ones a deeper leaf may miss a pair that agrees in fewer values, so all classes outside the region's main component
+are compared with all its classes, on full shingle sets: in blocks whose sets have about HELD shingles, by which the
+others stream, and only links leave the task. Links are confirmed on full shingle sets from the texts.
 
 Defined results. Null and empty texts: an empty set, linked with nothing. Fewer words than a shingle: all of
 them as one. Rows that repeat a doc_id: each has a set of its own. Null doc_id: component null, kept. Extra
@@ -39,8 +42,10 @@ SKETCH = 128
 #: Differing bits of two sketches up to which a pair passes: an estimate of at least 0.48.
 NEAR = 33
 WINDOW = 16
-#: Classes of a larger region that a task holds at once; the others stream by.
-MEMBERS = 1024
+#: Classes that agree so far up to which a region goes no deeper.
+LEAF = 64
+#: Shingles of a larger region's classes that a task holds at once; the others stream by.
+HELD = 1 << 20
 #: Rows of a region that are surveyed together; more go in pieces, in order.
 BLOCK = 1 << 16
 _rng = np.random.default_rng(10)
@@ -133,6 +138,22 @@ def _apart(s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j])
 
 
+def leaves(key: np.ndarray, deep: np.ndarray, leaf: int = LEAF) -> np.ndarray:
+    """Where each row's leaf begins, rows being sorted by key and deep: the shallowest agreement of at most `leaf` rows; -1 where there is none."""
+    out = np.full(len(key), -1)
+    new = np.append(True, np.diff(key) != 0)
+    for d in range(DEEP + 1):
+        if d:
+            new = new | np.append(True, np.diff(deep >> np.int64(8 * (DEEP - d))) != 0)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        here = np.repeat(np.where(size <= leaf, begin, -1), size)
+        out = np.where(out < 0, here, out)
+        if (out >= 0).all():
+            break
+    return out
+
+
 #: kind 0: a class in a region, whose size is in `apart`; 1: its nearest neighbour there; 2: the hub, with the differing bits.
 SEEN = "kind byte, key long, deep long, s0 long, s1 long, class long, other long, apart int"
 
@@ -151,11 +172,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region = np.repeat(np.arange(len(size)), size)
         u0, u1 = s0.view(np.uint64), s1.view(np.uint64)
         n, most = len(key), int(size.max())
+        leaf = leaves(key, deep)
         near, to = np.full(n, SKETCH + 1), np.zeros(n, np.int64)
-        for s in range(1, min(most, 2 * WINDOW + 1)):
-            i = np.flatnonzero(region[:-s] == region[s:])
-            if s > WINDOW:  # only regions that are compared in full
-                i = i[size[region[i]] <= 2 * WINDOW + 1]
+        for s in range(1, min(most, max(LEAF, WINDOW + 1))):
+            # neighbours have the longest common prefixes; those further off are in the same leaf
+            i = np.flatnonzero((region[:-s] == region[s:]) if s <= WINDOW else (leaf[:-s] == leaf[s:]) & (leaf[s:] >= 0))
             d = _apart(u0, u1, i, i + s)
             for p, q in ((i, i + s), (i + s, i)):
                 better = d < near[p]
@@ -223,14 +244,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if ready is None:
                 sizes = np.array([len(x) for _, _, x in held])
-                known, ids = np.unique(np.concatenate([x for _, _, x in held]), return_inverse=True)
-                ready = (np.array([x for x, _, _ in held]), np.array([x for _, x, _ in held]), sizes, np.cumsum(sizes) - sizes, known, ids)
-            classes, roots, sizes, begin, known, ids = ready
+                shingles = np.concatenate([x for _, _, x in held])
+                order = np.argsort(shingles, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(shingles[order]) != 0))
+                ready = (np.array([x for x, _, _ in held]), np.array([x for _, x, _ in held]), sizes, shingles[order][first], np.append(first, len(order)), np.repeat(np.arange(len(held), dtype=np.int32), sizes)[order])
+                held = [()]
+            classes, roots, sizes, known, first, members = ready
             at = np.searchsorted(known, sets[i])
             at = at[known[np.minimum(at, len(known) - 1)] == sets[i]]
-            mark = np.zeros(len(known), np.int32)
-            mark[at] = 1
-            same = np.add.reduceat(mark[ids], begin)
+            # the held classes that have each of the shingles
+            n = first[at + 1] - first[at]
+            where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            same = np.bincount(members[where], minlength=len(sizes))
             good = (100 * same >= PERCENT * (sizes + len(sets[i]) - same)) & (roots != root[i])
             j = np.flatnonzero(good)
             for k in j[np.unique(roots[j], return_index=True)[1]]:
@@ -241,7 +266,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["row", "data"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(2)], pa.binary())], ["doc_id", "row", "data"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,18 +290,18 @@ def _pairs(x: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node and root of the classes that have links, and all classes with their least row and doc_id. docs: row, text."""
-    classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("signature").alias("signature"))
-    classes = stored(classes, "classes")
+    """node and root of the classes that have links, and all classes with the row of their least doc_id. docs: doc_id, row, text."""
+    classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
+    classes = stored(classes.select("class", "one.doc_id", "one.row", "signature", "n"), "classes")
     ordered = forest(classes).repartition("key").sortWithinPartitions("key", "deep", "class")
     seen = stored(in_arrow(ordered, _survey, SEEN), "regions")
     best = seen.where("kind > 0").groupBy("class", "kind").agg(F.min(F.struct("apart", "other")).alias("best"))
     first = stored(_pairs(best.select("class", F.col("best.other").alias("other"))), "pairs")
     large = 2 * WINDOW + 1
     wanted = first.select(F.col("a").alias("class")).unionByName(first.select(F.col("b").alias("class"))).unionByName(seen.where((F.col("kind") == 0) & (F.col("apart") > large)).select("class"))
-    wanted = wanted.distinct().join(classes.select("class", "row"), "class")
-    packed = in_arrow(docs.select("row", "text"), _packed, "row long, data binary")
-    texts = stored(packed.join(wanted, "row").groupBy("class").agg(F.first("data").alias("data")), "texts")
+    wanted = wanted.distinct().join(classes.select("class", "doc_id", "row"), "class")
+    packed = in_arrow(docs.where("doc_id is not null").select("doc_id", "row", "text"), _packed, "doc_id long, row long, data binary")
+    texts = stored(packed.join(wanted, ["row", "doc_id"]).groupBy("class").agg(F.first("data").alias("data")), "texts")
     done = stored(confirm(first, texts), "confirmed")
     good = done.where("linked").select("a", "b")
     roots = stored(components(good), "roots")
@@ -289,8 +314,8 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = in_arrow(again, _between, PAIR).distinct().join(done, ["a", "b"], "left_anti")
     # large ones by blocks
     many = members.where(F.col("apart") > large)
-    shares = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all")).where("main.n < all").select("key", F.col("main.root").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("blocks"))
+    shares = many.join(classes.select("class", "n"), "class").groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    mains = shares.groupBy("key").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.sum("n").alias("n")).where("main.k < all").select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / HELD).cast("int").alias("blocks"))
     mains = stored(mains, "mains")  # so that AQE may split the rows of a hot region in the join
     rows = many.select("key", "class", "root").join(mains, "key")
     held = rows.select("key", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "class", "root")
@@ -313,7 +338,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row, class, n_shingles and component_id of each row of docs."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     sets = stored(document_sets(keyed), "sets")
-    roots, classes = links(keyed.select("row", "text"), sets)
+    roots, classes = links(keyed, sets)
     placed = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = stored(placed, "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -329,10 +354,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs, same columns, with one row of each group; of rows that repeat the kept one's doc_id and text, one stays."""
     columns = docs.columns
-    row = fresh(docs, "__row")
-    kept = grouped(docs).where("doc_id is null or doc_id = component_id").select(F.col("row").alias(row)).distinct()
-    found = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(stored(kept, "kept"), row, "left_semi")
-    return found.where("doc_id is not null").dropDuplicates([row]).unionByName(found.where("doc_id is null")).select(*columns)
+    row, doc = fresh(docs, "__row"), fresh(docs, "__doc")
+    kept = grouped(docs).where("doc_id is null or doc_id = component_id").select(F.col("row").alias(row), F.col("doc_id").alias(doc)).distinct()
+    rows = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    first = rows.where("doc_id is not null").join(stored(kept.where(F.col(doc).isNotNull()), "kept").withColumnRenamed(row, row + "r"), (F.col(row) == F.col(row + "r")) & (F.col("doc_id").cast("long") == F.col(doc)), "left_semi")
+    return first.dropDuplicates([row, "doc_id"]).unionByName(rows.where("doc_id is null")).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

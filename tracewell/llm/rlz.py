@@ -41,6 +41,7 @@ GRAM = 8
 HOT, MOST_HOT = 4096, 100_000
 #: Pairs of a seed and a reference block that are extended at once.
 PAIRS = 1 << 18
+#: Of a settled block, `anchor` is the source.
 BLOCK = "anchor long, doc_id long, row long, places binary, words int, windows binary"
 
 
@@ -127,11 +128,11 @@ def _blocks(length: int, gram: int, hot):
                     data = np.ascontiguousarray(windows[at]).view(np.uint8)
                     places = V.binary(first[left].astype(np.int32).view(np.uint8), np.append(head, len(left)) * 4)
                     yield _batch(key[one].view(np.int64), ids[one], rows[one], places, np.zeros(len(one)), V.binary(data, np.append(0, np.cumsum(sizes[one])) * 8))
-                rows, first, sizes, source = rows[settled], first[settled], sizes[settled], source[settled]
+                rows, ids, first, sizes, source = rows[settled], ids[settled], first[settled], sizes[settled], source[settled]
                 if len(rows):
                     run_at = np.flatnonzero(np.append(True, (np.diff(own[settled]) != 0) | (np.diff(source) != 0) | (first[1:] != first[:-1] + sizes[:-1])))
                     places = V.binary(first[run_at].astype(np.int32).view(np.uint8), np.arange(len(run_at) + 1) * 4)
-                    yield _batch(rows[run_at], source[run_at], rows[run_at], places, np.add.reduceat(sizes, run_at) + length - 1, pa.array([b""] * len(run_at), pa.binary()))
+                    yield _batch(source[run_at], ids[run_at], rows[run_at], places, np.add.reduceat(sizes, run_at) + length - 1, pa.array([b""] * len(run_at), pa.binary()))
 
     return run
 
@@ -148,7 +149,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
-FACTOR = "row long, start int, words int, source long"
+FACTOR = "doc_id long, row long, start int, words int, source long"
 
 
 def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +226,7 @@ def _factors(length: int):
         for b in gathered(batches):
             settled = pc.greater(b.column(4), 0)
             done = b.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(2), pa.array(_bytes(done.column(3))[1].view(np.int32)), done.column(4), done.column(1)], ["row", "start", "words", "source"])
+            yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.array(_bytes(done.column(3))[1].view(np.int32)), done.column(4), done.column(0)], ["doc_id", "row", "start", "words", "source"])
             b = b.filter(pc.invert(settled))
             if not b.num_rows:
                 continue
@@ -254,13 +255,13 @@ def _factors(length: int):
             # each factor at all places of its block
             r = own[block - old]
             again, place = _ranges(places_at[r], places_at[r + 1] - places_at[r])
-            yield pa.RecordBatch.from_arrays([pa.array(row[r][again]), pa.array((position[again] + places[place]).astype(np.int32)), pa.array((count[again] + length - 1).astype(np.int32)), pa.array(source[again])], ["row", "start", "words", "source"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r][again]), pa.array(row[r][again]), pa.array((position[again] + places[place]).astype(np.int32)), pa.array((count[again] + length - 1).astype(np.int32)), pa.array(source[again])], ["doc_id", "row", "start", "words", "source"])
 
     return run
 
 
 def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row, start and number of words, and source doc_id of the factors; docs: doc_id, row, text."""
+    """doc_id and row, start and number of words, and source doc_id of the factors; docs: doc_id, row, text."""
     docs = docs.where("doc_id is not null")
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, length, gram))
     blocks = in_arrow(docs.select("doc_id", "row", "text"), _blocks(length, gram, hot), BLOCK)
@@ -274,7 +275,7 @@ CUT = "doc_id long, n_words long, n_removed long, kept string"
 def cut(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, word counts and the kept words joined by one space (or their SHA-256) of each row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
-    spans = factors(keyed, length).distinct().groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("words").alias("counts"))
+    spans = factors(keyed, length).distinct().groupBy("row", "doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("words").alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,7 +295,7 @@ def cut(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFram
             n_words, n_removed, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return in_arrow(keyed.join(spans, "row", "left").select("doc_id", "text", "starts", "counts"), run, CUT)
+    return in_arrow(keyed.join(spans, ["row", "doc_id"], "left").select("doc_id", "text", "starts", "counts"), run, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
