@@ -37,9 +37,9 @@ def test_channel_anomalies_do_not_depend_on_blocks(spark):
 def test_documents_of_any_length_and_alphabet(spark, tmp_path):
     texts = ["", "a", "x" * 16, "é", "long ü€ text " * 3000, "plain " * 400, "ß" * 63, "日本" * 40, None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["id"]: (r["cbc"], r["ctr"]) for r in queries.aes_roundtrip_all(spark, str(tmp_path)).collect()}
+    got = {r["id"]: (r["cbc"], r["ctr"]) for r in queries.aes_roundtrip(spark, str(tmp_path)).collect()}
     assert got == {i: (x, x) for i, x in enumerate(texts)}
-    edges = dict(queries.edge_digest_all(spark, str(tmp_path)).collect())
+    edges = dict(queries.edge_digest(spark, str(tmp_path)).collect())
     b = {i: x.encode() for i, x in enumerate(texts) if x is not None}
     want = {i: hashlib.sha256(b"tracewell-edge-1:%d:" % len(x) + x[:64] + x[max(len(x) - 64, 0) :]).hexdigest() for i, x in b.items()}
     assert edges == {**want, 8: None}
@@ -55,7 +55,7 @@ def test_every_order_has_continuations(spark, tmp_path):
         near = [x for x in found if x[0] <= 32]
         ranked = sorted((gap - 0.25 * (s == "F"), f) for gap, f, s in near or found)[:6]
         want |= {(current, f, "near" if near else "far", score, i + 1) for i, (score, f) in enumerate(ranked)}
-    assert {tuple(x) for x in queries.continuation_candidates_all(spark, str(tmp_path)).collect()} == want
+    assert {tuple(x) for x in queries.continuation_candidates(spark, str(tmp_path)).collect()} == want
 
 
 def test_path_query_keeps_the_whole_beam(spark, tmp_path):
@@ -137,13 +137,49 @@ def test_byte_spaces(spark, tmp_path):
     assert joined(evidence.read(spark, both, layout="concat", chunk=700)) == a + b
     striped = joined(evidence.read(spark, both, layout="raid0", stripe=512, chunk=300))
     assert striped == a[:512] + b[:512] + a[512:1024] + b[512:1024]
-    reader = evidence.open_space(both, "concat", 0, 0)
-    assert reader.read_at(len(a) - 3, 6) == (a + b)[len(a) - 3 : len(a) + 3] and reader.read_at(10**6, 5) == b""
-    with pytest.raises(ValueError):
-        reader.read_at(-1, 3)
-    reader.close()
+    with evidence.Space(both, "concat") as space:
+        assert space.read(len(a) - 3, 6) == (a + b)[len(a) - 3 : len(a) + 3] and space.read(10**6, 5) == b""
+        assert list(space.plan(len(a) - 3, 6)) == [(0, len(a) - 3, 3), (1, 0, 3)]
+        with pytest.raises(ValueError):
+            space.read(-1, 3)
+    with evidence.Space(both, "raid0", 512) as space:
+        assert list(space.plan(500, 600)) == [(0, 500, 12), (1, 0, 512), (0, 512, 76)] and space.size == 2048
+    (tmp_path / "short").write_bytes(b"x" * 511)
+    (tmp_path / "empty").write_bytes(b"")
+    for paths, layout in (([both[0], str(tmp_path / "short")], "raid0"), ([both[0], str(tmp_path / "empty")], "concat"), (both, "file")):
+        with pytest.raises(ValueError):
+            evidence.Space(paths, layout, 512)
     with pytest.raises(FileNotFoundError):
-        evidence.open_members([both[0], str(tmp_path / "none")])
+        evidence.Space([both[0], str(tmp_path / "none")], "concat")
+
+
+def test_frames_over_borders(spark, tmp_path):
+    """However chunks are cut, frames longer than chunk and overlap are read again at their offset."""
+    data = b"noise" + b"".join(frames.build(0xFD, i % 3, i, 1 << 26, 0, bytes([i]) * n) for i, n in enumerate((10, 70_000, 3, 200_000, 0)))
+    path = str(tmp_path / "f")
+    (tmp_path / "f").write_bytes(data)
+    for chunk in (999, 65_536, 1 << 20):
+        got = frames.carve(evidence.read(spark, [path], chunk=chunk, overlap=3), space=([path],)).orderBy("offset").collect()
+        assert [(r["frame_number"], len(r["payload"])) for r in got] == [(0, 10), (1, 70_000), (2, 3), (3, 200_000), (4, 0)]
+    few = frames.carve(evidence.read(spark, [path], chunk=999, overlap=3), space=([path],), most=2)
+    assert sorted(r["frame_number"] for r in few.collect()) == [0, 1]
+
+
+def test_streams_by_source(spark, tmp_path):
+    from tracewell.sources import sinks
+
+    rows = [(s, c, "h264", o, f"{s}{c}{o};".encode()) for s in ("/x/a", "/y/a") for c in (1, 2) for o in range(50)]
+    pieces = spark.createDataFrame(rows, "source string, channel int, codec string, offset long, payload binary").repartition(7)
+    sizes = sinks.write_streams(pieces, str(tmp_path / "out"))
+    texts = sorted((tmp_path / "out" / n).read_bytes() for n in sizes)
+    assert texts == sorted(b"".join(p for s, c, _, _, p in rows if (s, c) == k) for k in (("/x/a", 1), ("/x/a", 2), ("/y/a", 1), ("/y/a", 2)))
+    assert len(list((tmp_path / "out").iterdir())) == 4 and all(sizes[n] == (tmp_path / "out" / n).stat().st_size for n in sizes)
+
+
+def test_digests_of_files(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc" * 1000)
+    r = integrity.file_digests(spark, [str(tmp_path / "f")], 7).first()
+    assert (r["size"], r["sha512"]) == (3000, hashlib.sha512(b"abc" * 1000).hexdigest())
 
 
 def test_sample_offsets(spark):
@@ -321,6 +357,12 @@ def test_aes_known_answers(spark):
     assert cbc == plain
     rows = spark.range(1).select("id", u("874D6191B620E3261BEF6864990DB6CE").alias("data"), u("F0F1F2F3F4F5F6F7F8F9FAFBFCFDFEFF").alias("counter"))
     assert integrity.ctr_blocks(rows, u(key)).select(F.hex("data")).first()[0] == plain
+    # counters carry over their halves and wrap at 2**128
+    for counter, third in (("00" * 8 + "FF" * 8, "00" * 7 + "01" + "00" * 7 + "01"), ("FF" * 16, "00" * 15 + "01")):
+        stream = integrity.ctr(u("00" * 40), u(key), u(counter))
+        want = F.aes_encrypt(u(third), u(key), F.lit("ECB"), F.lit("PKCS"))
+        row = spark.range(1).select(F.hex(stream), F.hex(F.substring(want, 1, 8)), F.hex(integrity.ctr(u(""), u(key), u(counter)))).first()
+        assert row[0][64:] == row[1] and len(row[0]) == 80 and row[2] == ""
 
 
 def test_profiles(spark):
@@ -396,7 +438,7 @@ def test_registry_triage_and_corpus(spark, tmp_path):
         sinks.write_report(spark.range(1), str(tmp_path / "r.json"), replace=False)
     chunks = evidence.read(spark, [str(tmp_path / "d.bin")])
     sizes = sinks.write_streams(frames.demux(frames.carve(chunks)), str(tmp_path / "out"))
-    assert sizes == {"channel-0.h264": 8 * 14, "channel-1.h264": 8 * 14} and (tmp_path / "out" / "channel-1.h264").stat().st_size == 112
+    assert {n.rsplit("-channel-")[1]: k for n, k in sizes.items()} == {"0.h264": 8 * 14, "1.h264": 8 * 14} and all((tmp_path / "out" / n).stat().st_size == 112 for n in sizes)
     good = {"case_id": "a", "source": "d.bin", "source_sha256": hashlib.sha256(data).hexdigest(), "expectations": [{"kind": "frame_count", "expected": 16}, {"kind": "size", "expected": 1}, {"kind": "magic", "expected": 1}]}
     bad = good | {"case_id": "b", "source_sha256": "0" * 64}
     got = {(x["case"], x["key"]): x["status"] for x in corpus.run(spark, {"schema_version": 1, "cases": [good, bad]}, str(tmp_path)).collect()}

@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     found = add("frames")
     found.add_argument("--loose", action="store_true")
     found.add_argument("--channels", action="store_true")
+    found.add_argument("--most", type=int)
     add("boundaries").add_argument("--date", required=True)
     add("demux").add_argument("--out", required=True)
     m = add("map", False)
@@ -92,6 +93,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         options = {"layout": a.layout, "stripe": a.stripe, "start": a.start, "chunk": a.chunk, "overlap": overlap}
         return evidence.read(spark, a.source, **options, **({"stop": a.stop} if a.stop is not None else {}))
 
+    space = (a.source, a.layout, a.stripe) if hasattr(a, "layout") else None
+
+    def whole() -> int:
+        with evidence.Space(*space) as opened:
+            return opened.size
+
     known = [evidence.require_readable(s) for s in getattr(a, "source", ())]
     if a.command == "inspect":
         for x in known:
@@ -106,7 +113,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             show(row)
         return REVIEW if row.first()["review"] else OK
     elif a.command == "detect":
-        row = formats.default().report(chunks(1 << 20))
+        row = formats.default().report(chunks(64), space=space)
         show(row)
         first = row.first()
         return REVIEW if first is None or first["requires_review"] else OK
@@ -118,16 +125,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.command == "hitmap":
         patterns = [(i, bytes.fromhex(h)) for i, _, h in (x.partition("=") for x in a.pattern)]
         found = scan.signature_hits(chunks(max(len(p) for _, p in patterns) - 1), patterns, a.start, a.stop)
-        show(scan.hit_stats(found, evidence.open_space(a.source, a.layout, a.stripe, 0).size, a.keep))
+        show(scan.hit_stats(found, whole(), a.keep))
     elif a.command == "samples":
-        n = evidence.open_space(a.source, a.layout, a.stripe, 0).size
+        n = whole()
         at = spark.range(1).select(F.explode(scan.sample_offsets(F.lit(n), min(a.chunk, 64 << 20), a.count)).alias("key")).collect()
         for r in at:
             show(scan.byte_profile(evidence.read(spark, a.source, layout=a.layout, stripe=a.stripe, start=r["key"], stop=r["key"] + a.chunk, chunk=a.chunk).select(F.col("base").alias("key"), "data")))
     elif a.command in ("frames", "boundaries", "demux"):
         if not formats.default().get("dhav").supports("demux" if a.command == "demux" else "scan_frames"):
             return UNSUPPORTED
-        f = frames.carve(chunks(8 << 20), strict=not getattr(a, "loose", False), start=a.start, stop=a.stop)
+        f = frames.carve(chunks(64), strict=not getattr(a, "loose", False), start=a.start, stop=a.stop, space=space, most=getattr(a, "most", None))
         if a.command == "demux":
             print(json.dumps(sinks.write_streams(frames.demux(f), a.out), sort_keys=True))
         elif a.command == "boundaries":

@@ -23,6 +23,8 @@ class Layout:
     #: Bytes all of which are padding.
     blanks: bytes = b"\x00\xff"
     run: int = 64
+    #: A record that is carried must end so many bytes before a fragment does.
+    room: int = 32
 
 
 def record(data: bytes, at: int, layout: Layout) -> tuple[int, int, int] | None:
@@ -63,7 +65,7 @@ def probe(tail: bytes, fragment: bytes, layout: Layout) -> tuple[str, int] | Non
     if tail:
         joined = tail + fragment
         r = record(joined, 0, layout)
-        if r is None or not 0 < r[1] + r[2] - len(tail) < len(fragment):
+        if r is None or not 0 < r[1] + r[2] - len(tail) < len(fragment) - layout.room:
             return None
         need = r[1] + r[2] - len(tail)
     if record(fragment, need, layout) is None and not padding_at(fragment, need, layout):

@@ -18,24 +18,25 @@ DETECTION = ["source", "plugin", "confidence", "reasons"]
 
 @dataclass(frozen=True)
 class Family:
-    """detect takes chunks (source, base, size, data) and returns source, confidence and reasons."""
+    """detect takes chunks (source, base, size, data), and the arguments of evidence.Space or None, and returns source, confidence and reasons."""
 
     name: str
     display_name: str
     operations: frozenset[str]
-    detect: Callable[[DataFrame], DataFrame]
+    detect: Callable[[DataFrame, tuple | None], DataFrame]
 
     def supports(self, operation: str) -> bool:
         return operation in self.operations
 
 
-def _frames(chunks: DataFrame) -> DataFrame:
-    n = frames.carve(chunks).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("channel").alias("channels"))
+def _frames(chunks: DataFrame, space: tuple | None = None) -> DataFrame:
+    n = frames.carve(chunks, space=space).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("channel").alias("channels"))
+    # fixed values, as are the ladders below
     ladder = F.when(F.col("n") >= 16, 0.98).when(F.col("n") >= 8, 0.92).when(F.col("n") >= 3, 0.80).when(F.col("n") == 2, 0.65).otherwise(0.55)
     return n.select("source", ladder.alias("confidence"), F.array(F.format_string("%d frames of %d channels", "n", "channels")).alias("reasons"))
 
 
-def _streams(chunks: DataFrame) -> DataFrame:
+def _streams(chunks: DataFrame, space: tuple | None = None) -> DataFrame:
     """The best chunk decides, a little less sure than a whole stream would be."""
     keyed = chunks.withColumn("key", F.xxhash64("source", "base"))
     c = media.classify(keyed).where("confidence > 0").join(keyed.select("key", "source"), "key")
@@ -43,14 +44,14 @@ def _streams(chunks: DataFrame) -> DataFrame:
     return best.select("source", (F.col("b.confidence") * 0.9).alias("confidence"), F.array(F.concat(F.lit("NAL units of "), "b.codec")).alias("reasons"))
 
 
-def _program(chunks: DataFrame) -> DataFrame:
+def _program(chunks: DataFrame, space: tuple | None = None) -> DataFrame:
     keyed = chunks.withColumn("key", F.col("source"))
     n = media.program_stream(keyed).groupBy(F.col("key").alias("source")).agg(F.sum("packs").alias("packs"), F.sum("video_pes").alias("pes"))
     ladder = F.when((F.col("packs") >= 2) & (F.col("pes") >= 2), 0.90).when((F.col("packs") > 0) & (F.col("pes") > 0), 0.70).when(F.col("pes") > 0, 0.30).otherwise(0.0)
     return n.select("source", ladder.alias("confidence"), F.array(F.format_string("%d packs, %d video packets", "packs", "pes")).alias("reasons"))
 
 
-def _masters(chunks: DataFrame) -> DataFrame:
+def _masters(chunks: DataFrame, space: tuple | None = None) -> DataFrame:
     p = master.candidates(chunks).groupBy("source").agg(F.max("plausibility").alias("p"))
     return p.select("source", F.least(F.lit(0.99), 0.55 + 0.44 * F.col("p")).alias("confidence"), F.array(F.format_string("master sector, plausibility %.2f", "p")).alias("reasons"))
 
@@ -76,13 +77,17 @@ class Registry:
     def descriptors(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(n, f.display_name, sorted(f.operations)) for n, f in sorted(self.families.items())], "plugin string, display_name string, operations array<string>")
 
-    def detect_all(self, chunks: DataFrame) -> DataFrame:
+    def detect_all(self, chunks: DataFrame, space: tuple | None = None) -> DataFrame:
         """source, plugin, confidence and reasons of all families, best first within a source."""
-        each = [f.detect(chunks).select("source", F.lit(n).alias("plugin"), "confidence", "reasons") for n, f in sorted(self.families.items())]
+        each = [f.detect(chunks, space).select("source", F.lit(n).alias("plugin"), "confidence", "reasons") for n, f in sorted(self.families.items())]
         return reduce(DataFrame.unionByName, each).orderBy("source", F.desc("confidence"), "plugin")
 
-    def report(self, chunks: DataFrame, least: float = detect.LEAST_CONFIDENCE, margin: float = detect.LEAST_MARGIN) -> DataFrame:
-        return detect.report(self.detect_all(chunks).where("confidence > 0"), least, margin)
+    def best(self, chunks: DataFrame, space: tuple | None = None) -> DataFrame:
+        """The best family of each source, with its reasons."""
+        return self.detect_all(chunks, space).where("confidence > 0").groupBy("source").agg(F.min_by(F.struct("plugin", "confidence", "reasons"), F.struct(-F.col("confidence"), "plugin")).alias("b")).select("source", "b.*")
+
+    def report(self, chunks: DataFrame, least: float = detect.LEAST_CONFIDENCE, margin: float = detect.LEAST_MARGIN, space: tuple | None = None) -> DataFrame:
+        return detect.report(self.detect_all(chunks, space).where("confidence > 0"), least, margin)
 
 
 def default() -> Registry:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import packed_time
+from ..sources.evidence import Space
 
 MAGIC, FOOTER = b"DHAV", b"dhav"
 HEADER, TAIL, MOST = 24, 8, 64 << 20
+#: Bytes of frames after which a batch goes on.
+HELD = 64 << 20
 #: Lengths of known extension records by type, the type byte included: fixed values.
 EXTENSIONS = {0x80: 4, 0x81: 4, 0x82: 8, 0x83: 4, 0x88: 8, 0x8C: 8, 0x91: 8, 0x92: 8, 0x93: 8, 0x94: 4, 0x95: 8, 0x96: 4, 0x9A: 8, 0x9B: 8, 0xB3: 4}
 CODECS = {0x2: "h264", 0x4: "h264", 0x8: "h264", 0xC: "hevc"}
@@ -79,28 +83,54 @@ def parse_at(data: bytes, at: int) -> dict | None:
     return {"length": n, "frame_type": kind, "channel": channel, "frame_number": number, "packed": packed, "millis": millis, "codec": e["codec"] or annexb_hint(payload[:4096]), "fps": e["fps"], "width": e["width"], "height": e["height"], "extension_length": ext, "valid": valid, "payload": payload}
 
 
-def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Frames in chunks (source, base, size, data); data goes on past size by the longest frame, and a frame is its chunk's whose range it starts in.
+def frame_size(head: bytes) -> int | None:
+    """The whole length that a header states; None if it can't be one."""
+    if len(head) < HEADER:
+        return None
+    n, ext = struct.unpack_from("<I", head, 12)[0], head[22]
+    return n if HEADER + ext + TAIL <= n <= MOST else None
+
 
-    The search goes on a byte after each magic, so frames nested in payloads are found as well. strict drops frames
-    without a valid footer; none may end after stop.
+def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | None = None, space: tuple | None = None, most: int | None = None) -> DataFrame:
+    """Frames in chunks (source, base, size, data); a frame is its chunk's whose range it starts in.
+
+    A frame that goes on past its chunk's data is read again at its offset from `space`, the arguments of
+    evidence.Space; data need only go on past size by a magic less one byte. Without `space`, data must go on by the
+    longest frame, as those cut off are left out. The search goes on a byte after each magic, so frames nested in
+    payloads are found as well. strict drops frames without a valid footer; none may end after stop. most: the first so
+    many of each source.
     """
     schema = pa.schema([("source", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("frame_type", pa.int32()), ("channel", pa.int32()), ("frame_number", pa.int64()), ("packed", pa.int64()), ("millis", pa.int32()), ("codec", pa.string()), ("fps", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("extension_length", pa.int32()), ("valid", pa.bool_()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Space(*space) if space else nullcontext() as whole:
+            yield from frames_of(batches, whole)
+
+    def frames_of(batches: Iterator[pa.RecordBatch], whole: Space | None) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, held = [], 0
             for source, base, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 raw = data.as_py()
                 at = raw.find(MAGIC)
                 while 0 <= at < size:
                     f = parse_at(raw, at) if base + at >= start else None
+                    if f is None and whole and base + at >= start:
+                        n = frame_size(raw[at : at + HEADER] if at + HEADER <= len(raw) else whole.read(base + at, HEADER))
+                        if n is not None and at + n > len(raw):
+                            f = parse_at(whole.read(base + at, n), 0)
                     if f and (f["valid"] or not strict) and (stop is None or base + at + f["length"] <= stop):
                         out.append({"source": source, "offset": base + at, **f})
+                        held += f["length"]
+                    if held > HELD:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, held = [], 0
                     at = raw.find(MAGIC, at + 1)
             yield pa.RecordBatch.from_pylist(out, schema)
 
     found = chunks.select("source", "base", "size", "data").mapInArrow(run, FRAME)
+    if most is not None:
+        # a window-group limit keeps at most `most` rows of a source per task
+        found = found.withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy("offset"))).where(F.col("__n") <= most).drop("__n")
     return found.withColumn("ts", packed_time("packed"))
 
 

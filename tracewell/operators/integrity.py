@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -13,9 +16,29 @@ from . import ordered
 GENESIS = "0" * 64
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """key, size, sha256 and sha512 of data; values up to Spark's row limit, longer ones are hashed by a single streaming task."""
-    return rows.select("key", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha256"), F.sha2("data", 512).alias("sha512"))
+def digests(rows: DataFrame, *more: Column) -> DataFrame:
+    """key, size, sha256 and sha512 of data, and more columns; values up to Spark's row limit; files of any size: `file_digests`."""
+    return rows.select("key", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha256"), F.sha2("data", 512).alias("sha512"), *more)
+
+
+def file_digests(spark: SparkSession, paths: list[str], piece: int = 1 << 20) -> DataFrame:
+    """path, size, sha256 and sha512 of files, a task a file, which is read once in pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path in b["path"]:
+                found, size = (hashlib.sha256(), hashlib.sha512()), 0
+                with open(path, "rb") as f:
+                    while part := f.read(piece):
+                        size += len(part)
+                        for h in found:
+                            h.update(part)
+                out.append((path, size, *(h.hexdigest() for h in found)))
+            yield pd.DataFrame(out, columns=["path", "size", "sha256", "sha512"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return listed.mapInPandas(run, "path string, size long, sha256 string, sha512 string")
 
 
 def edge_digest(data: Column, sample: int, tag: str = "tracewell-edge-1") -> Column:
@@ -65,25 +88,39 @@ def decrypt_cbc(data: Column, key: Column, iv: Column, padded: bool = True) -> C
     return F.aes_decrypt(F.concat(iv, data), key, F.lit("CBC"), F.lit("PKCS"))
 
 
+def _counters(counter: pd.Series, first: pd.Series, n: pd.Series) -> pd.Series:
+    """The n counters from `first` after a counter of 16 bytes on, modulo 2**128: what overflows the lower half is carried."""
+
+    def one(c: bytes, add: int, k: int) -> bytes | None:
+        if c is None or pd.isna(k):
+            return None
+        high, low = divmod((int.from_bytes(bytes(c), "big") + int(add)) % (1 << 128), 1 << 64)
+        lows = np.uint64(low) + np.arange(int(k), dtype=np.uint64)
+        return np.column_stack([np.uint64(high) + (lows < np.uint64(low)), lows]).astype(">u8").tobytes()
+
+    return pd.Series([one(*x) for x in zip(counter, first, n, strict=True)], dtype=object)
+
+
+def _xor(data: pd.Series, stream: pd.Series) -> pd.Series:
+    def one(a: bytes, b: bytes) -> bytes | None:
+        return None if a is None or b is None else (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)[: len(a)]).tobytes()
+
+    return pd.Series([one(*x) for x in zip(data, stream, strict=True)], dtype=object)
+
+
+def ctr(data: Column, key: Column, counter: Column, first_block: Column | None = None) -> Column:
+    """AES-CTR with a 128-bit counter: the key stream is ECB of all of a value's counters, in one call.
+
+    first_block: how many blocks come before data, so that chunks of a large value go by themselves.
+    """
+    first = F.lit(0).cast("bigint") if first_block is None else first_block.cast("bigint")
+    blocks = F.pandas_udf(_counters, "binary")(counter, first, F.ceil(F.octet_length(data) / 16).cast("bigint"))
+    return F.pandas_udf(_xor, "binary")(data, F.aes_encrypt(blocks, key, F.lit("ECB"), F.lit("PKCS")))
+
+
 def ctr_blocks(rows: DataFrame, key: Column) -> DataFrame:
-    """AES-CTR of rows (id, data, counter as 16 bytes): key stream by ECB of the counters, then XOR of each half block."""
-    n = F.ceil(F.octet_length("data") / 16)
-    block = lambda i: F.struct(i.alias("i"), F.substring(F.col("data"), (i * 16 + 1).cast("int"), F.lit(16)).alias("part"))
-    # a row for each block without the whole data; one without a block for empty data
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), block))
-    each = rows.select("id", "counter", F.col("data").isNull().alias("none"), F.explode_outer(cut).alias("b")).select("id", "counter", "none", "b.i", "b.part")
-    # 64-bit counters: the lower half counts, as decimals so as not to overflow
-    low = F.conv(F.hex(F.substring("counter", 9, 8)), 16, 10).cast("decimal(20,0)") + F.col("i")
-    full = F.expr("cast('18446744073709551616' as decimal(20,0))")
-    wrapped = F.when(low >= full, low - full).otherwise(low).cast("decimal(20,0)")
-    counter = F.concat(F.substring("counter", 1, 8), F.unhex(F.lpad(F.conv(wrapped.cast("string"), 10, 16), 16, "0")))
-    stream = F.substring(F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS")), 1, 16)
-    part = F.col("part")
-    word = lambda b, at: F.conv(F.rpad(F.hex(F.substring(b, at, 4)), 8, "0"), 16, 10).cast("bigint")
-    xor = F.concat(*(F.lpad(F.hex(word(part, 4 * j + 1).bitwiseXOR(word(stream, 4 * j + 1))), 8, "0") for j in range(4)))
-    block = F.substring(xor, F.lit(1), 2 * F.octet_length(part))
-    parts = each.select("id", "i", "none", block.alias("h"))
-    return parts.groupBy("id").agg(F.when(~F.bool_or("none"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""))).alias("data"))
+    """id and data of rows (id, data, counter as 16 bytes) by AES-CTR; no rows are moved."""
+    return rows.select("id", ctr(F.col("data"), key, F.col("counter")).alias("data"))
 
 
 def key_fingerprint(key: Column) -> Column:

@@ -155,7 +155,7 @@ FLOW = "problem long, start long, nodes array<long>, benefit double, margin doub
 
 
 def solve_flows(nodes: DataFrame, edges: DataFrame, reward: float, most_margins: int = 64) -> DataFrame:
-    """Node-disjoint paths by problem, and the benefit that the best solution without one of the chosen edges lacks.
+    """Node-disjoint paths by problem, and the benefit that the best solution without one of the chosen edges lacks: null if there are more than most_margins of them.
 
     nodes: problem, node, index, is_start; edges: problem, src, dst, score.
     """
@@ -170,7 +170,7 @@ def solve_flows(nodes: DataFrame, edges: DataFrame, reward: float, most_margins:
             raise ValueError("edges must join two different known nodes")
         paths, total = flow(index, arcs, starts, reward)
         chosen = [(a, b) for p in paths for a, b in zip(p, p[1:], strict=False)]
-        margin = min((total - flow(index, arcs, starts, reward, x)[1] for x in chosen[:most_margins]), default=None)
+        margin = min((total - flow(index, arcs, starts, reward, x)[1] for x in chosen), default=None) if len(chosen) <= most_margins else None
         return pd.DataFrame([(key[0], p[0], p, total, margin) for p in paths], columns=["problem", "start", "nodes", "benefit", "margin"])
 
     edges = edges.select(F.col("problem").alias("__p"), F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("score").alias("score"))

@@ -39,7 +39,7 @@ def load(pack: dict) -> list[Profile]:
 
 
 def match(devices: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """device, profile_id and score of each match, score falling. devices: device, vendor, model, firmware.
+    """device, profile_id and score of each match, by device, then score falling, then profile_id. devices: device, vendor, model, firmware.
 
     No pattern matches anything for its weight; patterns and no value, or none that matches, rule a profile out.
     The profiles are parameters, so the join is an explode of a literal array.
@@ -52,4 +52,4 @@ def match(devices: DataFrame, profiles: list[Profile]) -> DataFrame:
         return F.when(met, WEIGHTS[name])
 
     scored = [F.struct(F.lit(p.profile_id).alias("profile_id"), (F.lit(WEIGHTS["family"]) + part("vendor", p.vendor) + part("model", p.model) + part("firmware", p.firmware)).alias("score")) for p in profiles]
-    return devices.withColumn("m", F.explode(F.array(*scored))).where("m.score is not null").select("device", "m.profile_id", F.round("m.score", 6).alias("score"))
+    return devices.withColumn("m", F.explode(F.array(*scored))).where("m.score is not null").select("device", "m.profile_id", F.round("m.score", 6).alias("score")).orderBy("device", F.desc("score"), "profile_id")

@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_RESIDUAL, MOST_PPM = 2.0, 50_000.0
+#: Anchors of one clock.
+MOST_ANCHORS = 2048
 EPOCH = "2000-01-01 00:00:00"
 
 
-def fit(anchors: DataFrame) -> DataFrame:
-    """One row: slope, intercept, drift_ppm, max_residual, anchors, status. anchors: x and y in seconds, a few hundred at most.
+def fit(anchors: DataFrame, keys: list[str] | None = None, most: int = MOST_ANCHORS) -> DataFrame:
+    """Per key (none: one row): slope, intercept, drift_ppm, max_residual, anchors, status. anchors: keys, x and y in seconds.
 
-    The slope is the median over pairs with different x; a single anchor has slope 1 and REVIEW.
+    The slope is the median over pairs with different x; a single anchor has slope 1 and REVIEW. Pairs grow with the
+    square of a key's anchors, so more than `most` of them are an error.
     """
-    a = anchors.select("x", "y")
-    pairs = a.alias("a").join(a.alias("b"), F.col("a.x") < F.col("b.x"))
-    slope = pairs.agg(F.coalesce(F.median((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))), F.lit(1.0)).alias("slope"))
-    with_slope = a.crossJoin(F.broadcast(slope))
-    intercept = with_slope.agg(F.first("slope").alias("slope"), F.median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"))
-    off = a.crossJoin(F.broadcast(intercept)).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.max(F.abs(F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))).alias("max_residual"), F.count(F.lit(1)).alias("anchors"))
+    keys = keys or []
+    by = keys or [F.lit(0).alias("__one")]
+    a = anchors.select(*keys, "x", "y") if keys else anchors.select(by[0], "x", "y")
+    names = keys or ["__one"]
+    n = F.count(F.lit(1))
+    counts = a.groupBy(*names).agg(F.when(n > most, F.raise_error(F.lit(f"more than {most} anchors of a clock")).cast("long")).otherwise(n).alias("anchors"))
+    a = a.join(counts, names)
+    other = a.select(*names, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    slopes = a.join(other, names).where("x < x2").groupBy(*names).agg(F.median((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("slope"))
+    sloped = a.join(slopes, names, "left").withColumn("slope", F.coalesce("slope", F.lit(1.0)))
+    rest = sloped.groupBy(*names).agg(F.median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"))
+    off = sloped.join(rest, names).groupBy(*names).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.max(F.abs(F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))).alias("max_residual"), F.first("anchors").alias("anchors"))
     ppm = (F.col("slope") - 1) * 1e6
     review = (F.col("anchors") < 2) | (F.col("max_residual") > MOST_RESIDUAL) | (F.abs(ppm) > MOST_PPM)
-    return off.select("slope", "intercept", ppm.alias("drift_ppm"), "max_residual", "anchors", F.when(review, "REVIEW").otherwise("PASS").alias("status"))
+    return off.select(*keys, "slope", "intercept", ppm.alias("drift_ppm"), "max_residual", "anchors", F.when(review, "REVIEW").otherwise("PASS").alias("status"))
 
 
 def corrected(seconds: str, slope: float, intercept: float) -> F.Column:

@@ -22,11 +22,11 @@ def _file_sha256(path: str) -> str:
 
 def measure(spark: SparkSession, path: str, kind: str, parameters: dict) -> str | None:
     """The actual value of an expectation's kind."""
-    chunks = evidence.read(spark, [path], chunk=int(parameters.get("chunk", 4 << 20)), overlap=1 << 16)
+    chunks = evidence.read(spark, [path], chunk=int(parameters.get("chunk", 4 << 20)), overlap=64)
     if kind == "frame_count":
-        return str(frames.carve(chunks, strict=bool(parameters.get("strict", True))).count())
+        return str(frames.carve(chunks, strict=bool(parameters.get("strict", True)), space=([path],)).count())
     if kind == "best_format":
-        row = formats.default().report(chunks).first()
+        row = formats.default().report(chunks, space=([path],)).first()
         return row["plugin"] if row else None
     if kind == "size":
         return str(os.path.getsize(path))

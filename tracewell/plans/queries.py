@@ -120,24 +120,12 @@ def sample_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"), "text")
-    return integrity.digests(d).drop("sha512").join(d.select("key", F.md5(F.col("data")).alias("md5")), "key")
+    return integrity.digests(d, F.md5("data").alias("md5")).drop("sha512")
 
 
-@query("""SELECT doc_id, sha256('tracewell-edge-1:' || length(text) || ':' || substr(text, 1, 64) || substr(text, greatest(length(text) - 63, 1), 64)) AS edge FROM documents WHERE octet_length(encode(text)) = length(text)""")
+@query("""SELECT doc_id, sha256(encode('tracewell-edge-1:' || octet_length(b) || ':') || b[1:64] || b[greatest(octet_length(b) - 63, 1):octet_length(b)]) AS edge FROM (SELECT doc_id, encode(text) AS b FROM documents)""")
 def edge_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the documents in ASCII, where SQL's characters are bytes."""
-    d = t(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return _edges(d)
-
-
-@query()
-def edge_digest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents."""
-    return _edges(t(spark, sf_dir, "documents"))
-
-
-def _edges(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", integrity.edge_digest(F.encode("text", "UTF-8"), 64).alias("edge"))
+    return t(spark, sf_dir, "documents").select("doc_id", integrity.edge_digest(F.encode("text", "UTF-8"), 64).alias("edge"))
 
 
 @query("""WITH e AS (SELECT conv_id AS chain, turn + CASE WHEN conv_id % 13 = 5 AND turn > 1 THEN 2 ELSE 1 END AS seq, sha256(concat_ws('|', conv_id, turn, role, text)) AS entry_hash FROM conversations),
@@ -202,27 +190,17 @@ def rank_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT a.source, a.plugin, a.confidence, b.plugin AS runner_up, coalesce(b.confidence, 0) AS second FROM r a LEFT JOIN r b ON a.source = b.source AND b.k = 2 WHERE a.k = 1)
 SELECT source, plugin, confidence, runner_up, round(confidence - second, 6) AS margin, confidence < 0.6 OR (second > 0 AND round(confidence - second, 6) < 0.15) AS requires_review FROM x""")
 def requires_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.report(_detections(spark, sf_dir)).withColumn("margin", F.round("margin", 6)).withColumn("requires_review", (F.col("confidence") < 0.6) | (F.col("runner_up").isNotNull() & (F.col("confidence") - F.col("margin") > 1e-9) & (F.col("margin") < 0.15)))
+    return detect.report(_detections(spark, sf_dir)).withColumn("margin", F.round("margin", 6))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS current, o_custkey % 40 AS k FROM orders WHERE o_custkey % 50 = 0), f AS (SELECT o_orderkey AS fragment, o_custkey % 40 AS k, o_orderstatus = 'F' AS terminal FROM orders WHERE o_orderkey % 9 <> 0),
+@query("""WITH s AS (SELECT o_orderkey AS current, o_custkey % 40 AS k FROM orders), f AS (SELECT o_orderkey AS fragment, o_custkey % 40 AS k, o_orderstatus = 'F' AS terminal FROM orders WHERE o_orderkey % 9 <> 0),
 c AS (SELECT current, fragment, terminal, fragment - current AS gap FROM s JOIN f USING (k) WHERE fragment > current AND fragment <= current + 400),
 n AS (SELECT * FROM c WHERE gap <= 32), a AS (SELECT *, 'near' AS band FROM n UNION ALL SELECT *, 'far' FROM c WHERE gap > 32 AND current NOT IN (SELECT current FROM n)),
 r AS (SELECT current, fragment, band, gap - CASE WHEN terminal THEN 0.25 ELSE 0.0 END AS score FROM a)
 SELECT current, fragment, band, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY current ORDER BY score, fragment) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY current ORDER BY score, fragment) <= 6""")
 def continuation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _continuations(t(spark, sf_dir, "orders"), "o_custkey % 50 = 0")
-
-
-@query()
-def continuation_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every order."""
-    return _continuations(t(spark, sf_dir, "orders"), "true")
-
-
-def _continuations(orders: DataFrame, is_open: str) -> DataFrame:
-    o = orders.withColumn("k", F.col("o_custkey") % 40)
-    states = o.where(is_open).select(F.col("o_orderkey").alias("current"), "k")
+    o = t(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 40)
+    states = o.select(F.col("o_orderkey").alias("current"), "k")
     free = o.select(F.col("o_orderkey").alias("fragment"), "k", (F.col("o_orderstatus") == "F").alias("terminal"))
     used = o.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("fragment"))
     return fragments.candidates(states, free, used, 32, 400, 6, ["k"]).select("current", "fragment", "band", "score", "rank")
@@ -238,14 +216,16 @@ def alignment_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.alignment(p, 4096).withColumn("confidence", F.round("confidence", 5))
 
 
-@query("""WITH a AS (SELECT CAST(event_id AS DOUBLE) * 3600 AS x, CAST(event_id AS DOUBLE) * 3600 * 1.0001 + value / 100 AS y FROM events WHERE event_id < 40),
-s AS (SELECT median((b.y - a.y) / (b.x - a.x)) AS slope FROM a, a b WHERE a.x < b.x), i AS (SELECT slope, median(y - slope * x) AS intercept FROM a, s GROUP BY slope),
-m AS (SELECT slope, intercept, max(abs(y - intercept - slope * x)) AS r, count(*) AS anchors FROM a, i GROUP BY ALL)
-SELECT round(slope, 8) AS slope, round(intercept, 5) AS intercept, round((slope - 1) * 1e6, 2) AS drift_ppm, round(r, 5) AS max_residual, anchors, CASE WHEN r > 2 OR abs((slope - 1) * 1e6) > 50000 OR anchors < 2 THEN 'REVIEW' ELSE 'PASS' END AS status FROM m""")
+@query("""WITH a AS (SELECT user_id, CAST(event_id AS DOUBLE) * 3600 AS x, CAST(event_id AS DOUBLE) * 3600 * 1.0001 + value / 100 AS y FROM events),
+p AS (SELECT a.user_id, median((b.y - a.y) / (b.x - a.x)) AS slope FROM a, a b WHERE a.user_id = b.user_id AND a.x < b.x GROUP BY 1), s AS (SELECT a.*, coalesce(slope, 1) AS slope FROM a LEFT JOIN p USING (user_id)),
+i AS (SELECT user_id, median(y - slope * x) AS intercept FROM s GROUP BY 1),
+m AS (SELECT user_id, any_value(slope) AS slope, any_value(intercept) AS intercept, max(abs(y - intercept - slope * x)) AS r, count(*) AS anchors FROM s JOIN i USING (user_id) GROUP BY 1)
+SELECT user_id, round(slope, 8) AS slope, round(intercept, 3) AS intercept, round((slope - 1) * 1e6, 2) AS drift_ppm, round(r, 3) AS max_residual, anchors, CASE WHEN r > 2 OR abs((slope - 1) * 1e6) > 50000 OR anchors < 2 THEN 'REVIEW' ELSE 'PASS' END AS status FROM m""")
 def clock_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock of each user, by all events."""
     x = F.col("event_id").cast("double") * 3600
-    m = timebase.fit(t(spark, sf_dir, "events").where("event_id < 40").select(x.alias("x"), (x * 1.0001 + F.col("value") / 100).alias("y")))
-    return m.select(F.round("slope", 8).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("drift_ppm", 2).alias("drift_ppm"), F.round("max_residual", 5).alias("max_residual"), "anchors", "status")
+    m = timebase.fit(t(spark, sf_dir, "events").select("user_id", x.alias("x"), (x * 1.0001 + F.col("value") / 100).alias("y")), ["user_id"])
+    return m.select("user_id", F.round("slope", 8).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("drift_ppm", 2).alias("drift_ppm"), F.round("max_residual", 3).alias("max_residual"), "anchors", "status")
 
 
 PACK = {"schema_version": 1, "profiles": [
@@ -371,26 +351,27 @@ def mbr_and_filesystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(found.select("source", "filesystem"), "source")
 
 
-@query("SELECT doc_id AS id, text AS cbc, text AS ctr FROM documents WHERE length(text) BETWEEN 1 AND 400")
+@query("SELECT doc_id AS id, text AS cbc, text AS ctr FROM documents")
 def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CBC against Spark's own cipher; CTR applied twice."""
-    return _roundtrip(t(spark, sf_dir, "documents").where("length(text) between 1 and 400"))
-
-
-@query()
-def aes_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents."""
-    return _roundtrip(t(spark, sf_dir, "documents"))
-
-
-def _roundtrip(documents: DataFrame) -> DataFrame:
+    """CBC against Spark's own cipher; CTR applied twice, once whole and once in two chunks."""
     key, iv, counter = (F.unhex(F.lit(x)) for x in ("2B7E151628AED2A6ABF7158809CF4F3C", "000102030405060708090A0B0C0D0E0F", "F0F1F2F3F4F5F6F7F8F9FAFBFCFDFEFF"))
-    d = documents.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
     sealed = F.aes_encrypt("data", key, F.lit("CBC"), F.lit("PKCS"), iv)
-    cbc = d.select("id", F.decode(integrity.decrypt_cbc(F.substring(sealed, 17, 1 << 30), key, iv), "UTF-8").alias("cbc"))
-    once = integrity.ctr_blocks(d.withColumn("counter", counter), key)
-    twice = integrity.ctr_blocks(once.withColumn("counter", counter), key)
-    return cbc.join(twice.select("id", F.decode("data", "UTF-8").alias("ctr")), "id")
+    d = d.withColumns({"sealed": sealed, "once": integrity.ctr(F.col("data"), key, counter)})
+    once, at = F.col("once"), 160
+    twice = F.concat(integrity.ctr(F.substring(once, 1, at), key, counter), integrity.ctr(F.substring(once, at + 1, 1 << 30), key, counter, F.lit(at // 16)))
+    return d.select("id", F.decode(integrity.decrypt_cbc(F.substring("sealed", 17, 1 << 30), key, iv), "UTF-8").alias("cbc"), F.decode(twice, "UTF-8").alias("ctr"))
+
+
+@query("""WITH v(name, data) AS (VALUES ('sp800-38a', '874D6191B620E3261BEF6864990DB6CE9806F66B7970FDFF8617187BB9FFFDFF5AE4DF3EDBD5D35E5B4F09020DB03EAB1E031DDA2FBE03D1792170A0F3009CEE'),
+('carry', '66E94BD4EF8A2C3B884CFA59CA342B2E'), ('wrap', '3F5B8CC9EA855A0AFA7347D23E8D664E66E94BD4EF8A2C3B884CFA59CA342B2E')) SELECT r_regionkey, name, data FROM region, v""")
+def ctr_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published answers: SP 800-38A F.5.1, and AESAVS's blocks of zeros and ones under a zero key, at counters that overflow."""
+    plain = "6BC1BEE22E409F96E93D7E117393172AAE2D8A571E03AC9C9EB76FAC45AF8E5130C81C46A35CE411E5FBC1191A0A52EFF69F2445DF4F9B17AD2B417BE66C3710"
+    zero = "00" * 16
+    vectors = [("sp800-38a", "2B7E151628AED2A6ABF7158809CF4F3C", "F0F1F2F3F4F5F6F7F8F9FAFBFCFDFEFF", plain, 0), ("carry", zero, "FF" * 16, zero, 1), ("wrap", zero, "FF" * 16, zero * 2, 0)]
+    each = [F.struct(F.lit(n).alias("name"), F.hex(integrity.ctr(F.unhex(F.lit(d)), F.unhex(F.lit(k)), F.unhex(F.lit(c)), F.lit(b))).alias("data")) for n, k, c, d, b in vectors]
+    return t(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*each)).alias("v")).select("r_regionkey", "v.*")
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS probes, round(avg(30000.0 / 1001), 6) AS fps, 'h264' AS codec FROM events GROUP BY user_id")
@@ -465,3 +446,28 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import formats
 
     return formats.default().report(_encode_frames(spark, sf_dir)).select("source", "plugin", "confidence")
+
+
+@query("""SELECT c_custkey, sha256(c_name) AS key_print, lower(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) AS guid,
+strpos(c_name, '/') = 0 AND strpos(c_name, chr(92)) = 0 AS path_safe, rtrim(c_label, ' ') AS label, c_acctbal > 0 AS same FROM (SELECT *, md5(c_name) AS h, c_name || repeat(' ', CAST(c_custkey % 4 AS INTEGER)) AS c_label FROM customer)""")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key fingerprints, GUIDs, safe names, FAT labels and fingerprints of sources, of every customer."""
+    c = t(spark, sf_dir, "customer")
+    print_ = lambda other: F.struct(F.col("c_custkey").alias("size"), F.lit(1).alias("mtime"), F.lit(None).cast("int").alias("device"), F.lit(2).alias("inode"), F.when(other, "x").otherwise(F.col("c_name")).alias("edge"))
+    c = c.withColumns({"a": print_(F.lit(False)), "b": print_(F.col("c_acctbal") <= 0), "label": F.concat("c_name", F.repeat(F.lit(" "), (F.col("c_custkey") % 4).cast("int")))})
+    return c.select("c_custkey", integrity.key_fingerprint(F.encode("c_name", "UTF-8")).alias("key_print"), B.guid(F.unhex(F.md5("c_name"))).alias("guid"), B.path_safe("c_name").alias("path_safe"), B.fat_label("label").alias("label"), integrity.same_source("a", "b").alias("same"))
+
+
+@query("""SELECT event_id, '{"a":' || event_id || ',"k":' || json_extract_string(props, '$.k') || '}' AS canonical, CAST(TIMESTAMP '2000-01-01' + to_microseconds(CAST(5000000 + event_id * 1000100 AS BIGINT)) AS TIMESTAMP) AS corrected FROM events""")
+def canonical_and_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of every event with one more key, and its recorder time corrected by a clock model."""
+    e = t(spark, sf_dir, "events").withColumns({"j": F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit(', "a":'), F.col("event_id").cast("string"), F.lit("}")), "s": F.col("event_id").cast("double")})
+    return e.select("event_id", integrity.canonical_json(F.col("j")).alias("canonical"), timebase.corrected("s", 1.0001, 5.0).cast("timestamp_ntz").alias("corrected"))
+
+
+@query("SELECT o_custkey AS source, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AND bool_and(o_orderstatus = 'F') AS complete FROM orders GROUP BY 1")
+def interval_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all that is expected of a customer, the keys from the first order to the last, is there and finished."""
+    b = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("pos"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("o_orderstatus") == "F", "+").otherwise("-").alias("status"))
+    expected = b.groupBy("source").agg(F.min("pos").alias("expected_start"), (F.max("pos") + 1 - F.min("pos")).alias("expected_size"))
+    return intervals.coverage(b, expected).select("source", "complete")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 import stat
-from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,99 +19,72 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "source string, chunk long, base long, size int, data binary"
 
 
-class FileReader:
-    """A file; reads past its end are short, negative ones an error."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.fd = os.open(path, os.O_RDONLY)
-        self.size = os.lseek(self.fd, 0, os.SEEK_END)
-
-    def read_at(self, offset: int, n: int) -> bytes:
-        if offset < 0 or n < 0:
-            raise ValueError("negative offset or size")
-        out = []
-        while n > 0 and (part := os.pread(self.fd, n, offset)):
-            out.append(part)
-            offset, n = offset + len(part), n - len(part)
-        return b"".join(out)
-
-    def close(self) -> None:
-        os.close(self.fd)
-
-
-class ConcatReader:
-    """Members end to end; none may be empty."""
-
-    def __init__(self, members: list) -> None:
-        if not members or any(m.size <= 0 for m in members):
-            raise ValueError("members must have bytes")
-        self.members, self.ends = members, []
-        for m in members:
-            self.ends.append((self.ends[-1] if self.ends else 0) + m.size)
-        self.size = self.ends[-1]
-
-    def read_at(self, offset: int, n: int) -> bytes:
-        if offset < 0 or n < 0:
-            raise ValueError("negative offset or size")
-        out = []
-        while n > 0 and offset < self.size:
-            i = bisect_right(self.ends, offset)
-            start = self.ends[i] - self.members[i].size
-            want = min(n, self.ends[i] - offset)
-            part = self.members[i].read_at(offset - start, want)
-            out.append(part)
-            if len(part) < want:
-                break
-            offset, n = offset + want, n - want
-        return b"".join(out)
-
-    def close(self) -> None:
-        for m in self.members:
-            m.close()
-
-
-class StripeReader:
-    """RAID-0: stripes in turn; what the shortest member lacks is left out."""
-
-    def __init__(self, members: list, stripe: int, start: int = 0) -> None:
-        if len(members) < 2 or stripe < 512 or stripe & (stripe - 1) or start < 0:
-            raise ValueError("at least two members, and stripes of a power of two from 512 on")
-        self.members, self.stripe, self.start = members, stripe, start
-        self.size = max(0, min(m.size - start for m in members)) // stripe * stripe * len(members)
-
-    def read_at(self, offset: int, n: int) -> bytes:
+#: Reads bytes of a member: its number, offset and length.
+Segment = tuple[int, int, int]
+
+
+def _joined(sizes: list[int], lo: int, hi: int) -> Iterator[Segment]:
+    """Members end to end."""
+    at = 0
+    for member, size in enumerate(sizes):
+        a, z = max(lo, at), min(hi, at + size)
+        if a < z:
+            yield member, a - at, z - a
+        at += size
+
+
+def _striped(members: int, stripe: int, skip: int, lo: int, hi: int) -> Iterator[Segment]:
+    """Stripes of the members in turn, each member's from `skip` on."""
+    for number in range(lo // stripe, -(-hi // stripe)):
+        a, z = max(lo, number * stripe), min(hi, (number + 1) * stripe)
+        yield number % members, skip + number // members * stripe + a - number * stripe, z - a
+
+
+class Space:
+    """A byte space over files: one, several joined, or a RAID-0 set without what the shortest member lacks.
+
+    `plan` says where the bytes of a range lie, `read` fetches them. All files are opened, or none.
+    """
+
+    def __init__(self, paths: list[str], layout: str = "file", stripe: int = 65536, data_offset: int = 0) -> None:
+        with ExitStack() as opened:
+            self.files = [opened.enter_context(open(p, "rb", buffering=0)) for p in paths]
+            sizes = [f.seek(0, os.SEEK_END) for f in self.files]
+            if layout == "file" and len(paths) == 1:
+                self.size = sizes[0]
+                self._where = partial(_joined, sizes)
+            elif layout == "concat" and paths and min(sizes) > 0:
+                self.size = sum(sizes)
+                self._where = partial(_joined, sizes)
+            elif layout == "raid0" and len(paths) > 1 and data_offset >= 0 and stripe >= 512 and not stripe & (stripe - 1) and min(sizes) - data_offset >= stripe:
+                self.size = (min(sizes) - data_offset) // stripe * stripe * len(paths)
+                self._where = partial(_striped, len(paths), stripe, data_offset)
+            else:
+                raise ValueError(f"no {layout} of {len(paths)} paths: joined members must have bytes, and a RAID-0 set two members and a whole stripe of a power of two from 512 on")
+            self._stack = opened.pop_all()
+
+    def plan(self, offset: int, n: int) -> Iterator[Segment]:
+        """The segments of a range, in order; what lies past the end is left out."""
         if offset < 0 or n < 0:
             raise ValueError("negative offset or size")
-        out = []
-        n = min(n, self.size - offset)
-        while n > 0:
-            number, within = divmod(offset, self.stripe)
-            row, member = divmod(number, len(self.members))
-            want = min(n, self.stripe - within)
-            part = self.members[member].read_at(self.start + row * self.stripe + within, want)
-            out.append(part)
-            if len(part) < want:
+        return self._where(offset, min(offset + n, self.size)) if offset < self.size else iter(())
+
+    def read(self, offset: int, n: int) -> bytes:
+        """The bytes of a range, fewer at the end of the space or where a member has shrunk."""
+        out = bytearray()
+        for member, at, length in self.plan(offset, n):
+            while length and (part := os.pread(self.files[member].fileno(), length, at)):
+                out += part
+                at, length = at + len(part), length - len(part)
+            if length:
                 break
-            offset, n = offset + want, n - want
-        return b"".join(out)
-
-    def close(self) -> None:
-        for m in self.members:
-            m.close()
+        return bytes(out)
 
+    def __enter__(self) -> Space:
+        return self
 
-def open_members(paths: list[str]) -> list[FileReader]:
-    """All or none."""
-    opened: list[FileReader] = []
-    try:
-        for p in paths:
-            opened.append(FileReader(p))
-    except OSError:
-        for r in opened:
-            r.close()
-        raise
-    return opened
+    def __exit__(self, *_) -> None:
+        self._stack.close()
 
 
 def require_readable(path: str, mounted: set[str] | None = None, allow_write_enabled: bool = False) -> dict:
@@ -129,22 +103,6 @@ def require_readable(path: str, mounted: set[str] | None = None, allow_write_ena
     return {"path": path, "is_block": block, "size": s.st_size, "read_only": read_only, "mounted": is_mounted}
 
 
-def open_space(paths: list[str], layout: str, stripe: int, start: int):
-    members = open_members(paths)
-    try:
-        if layout == "file" and len(members) == 1:
-            return members[0]
-        if layout == "concat":
-            return ConcatReader(members)
-        if layout == "raid0":
-            return StripeReader(members, stripe, start)
-        raise ValueError(f"layout {layout} of {len(members)} paths")
-    except ValueError:
-        for m in members:
-            m.close()
-        raise
-
-
 @dataclass
 class Range(InputPartition):
     chunk: int
@@ -166,17 +124,13 @@ class EvidenceReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         for p in self.paths:
             require_readable(p)
-        r = open_space(*self.space)
-        stop = min(r.size, int(self.stop)) if self.stop is not None else r.size
-        r.close()
+        with Space(*self.space) as r:
+            stop = min(r.size, int(self.stop)) if self.stop is not None else r.size
         return [Range(i, b, min(self.chunk, stop - b)) for i, b in enumerate(range(self.start, stop, self.chunk))]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        r = open_space(*self.space)
-        try:
-            yield "|".join(self.paths), partition.chunk, partition.base, partition.size, r.read_at(partition.base, partition.size + self.overlap)
-        finally:
-            r.close()
+        with Space(*self.space) as r:
+            yield "|".join(self.paths), partition.chunk, partition.base, partition.size, r.read(partition.base, partition.size + self.overlap)
 
 
 class EvidenceSource(DataSource):
