@@ -165,6 +165,17 @@ def test_frames_over_borders(spark, tmp_path):
     assert sorted(r["frame_number"] for r in few.collect()) == [0, 1]
 
 
+def test_filesystems_in_partitions(spark, tmp_path):
+    data = bytearray(300 * 512 + 70_000)
+    data[63 * 512 + 1080 : 63 * 512 + 1082] = b"\x53\xef"
+    data[300 * 512 + 65600 : 300 * 512 + 65608] = b"_BHRfS_M"
+    data[3:11] = b"NTFS    "
+    (tmp_path / "d").write_bytes(data)
+    parts = spark.createDataFrame([(1, 63), (2, 300), (3, 10**6)], "number int, first_lba long")
+    got = {tuple(r) for r in storage.filesystems_in(spark, ([str(tmp_path / "d")],), parts).collect()}
+    assert got == {(None, 0, "ntfs", 0.99), (1, 63 * 512, "ext", 0.98), (2, 300 * 512, "btrfs", 0.99)}
+
+
 def test_streams_by_source(spark, tmp_path):
     from tracewell.sources import sinks
 

@@ -31,12 +31,13 @@ def build(kind: int, channel: int, number: int, packed: int, millis: int, payloa
 
 def extension(data: bytes) -> dict:
     """Codec, rate, size and the types met; an unknown type or a cut record ends the walk."""
-    out: dict = {"codec": None, "fps": None, "width": None, "height": None, "types": [], "truncated": False}
+    out: dict = {"codec": None, "fps": None, "width": None, "height": None, "types": [], "truncated": False, "unknown": None}
     at = 0
     while at < len(data):
         kind = data[at]
         n = EXTENSIONS.get(kind)
         if n is None:
+            out["unknown"] = kind
             break
         if at + n > len(data):
             out["truncated"] = True
@@ -67,7 +68,7 @@ def annexb_hint(payload: bytes) -> str | None:
     return None
 
 
-FRAME = "source string, offset long, length long, frame_type int, channel int, frame_number long, packed long, millis int, codec string, fps int, width int, height int, extension_length int, valid boolean, payload binary"
+FRAME = "source string, offset long, length long, frame_type int, channel int, frame_number long, packed long, millis int, codec string, fps int, width int, height int, extension_length int, declared_codec string, payload_codec string, truncated boolean, unknown_type int, valid boolean, payload binary"
 
 
 def parse_at(data: bytes, at: int) -> dict | None:
@@ -80,7 +81,8 @@ def parse_at(data: bytes, at: int) -> dict | None:
     e = extension(data[at + HEADER : at + HEADER + ext])
     payload = data[at + HEADER + ext : at + n - TAIL]
     valid = data[at + n - TAIL : at + n] == FOOTER + struct.pack("<I", n)
-    return {"length": n, "frame_type": kind, "channel": channel, "frame_number": number, "packed": packed, "millis": millis, "codec": e["codec"] or annexb_hint(payload[:4096]), "fps": e["fps"], "width": e["width"], "height": e["height"], "extension_length": ext, "valid": valid, "payload": payload}
+    hint = annexb_hint(payload[:4096])
+    return {"declared_codec": e["codec"], "payload_codec": hint, "truncated": e["truncated"], "unknown_type": e["unknown"], "length": n, "frame_type": kind, "channel": channel, "frame_number": number, "packed": packed, "millis": millis, "codec": e["codec"] or hint, "fps": e["fps"], "width": e["width"], "height": e["height"], "extension_length": ext, "valid": valid, "payload": payload}
 
 
 def frame_size(head: bytes) -> int | None:
@@ -100,7 +102,7 @@ def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | No
     payloads are found as well. strict drops frames without a valid footer; none may end after stop. most: the first so
     many of each source.
     """
-    schema = pa.schema([("source", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("frame_type", pa.int32()), ("channel", pa.int32()), ("frame_number", pa.int64()), ("packed", pa.int64()), ("millis", pa.int32()), ("codec", pa.string()), ("fps", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("extension_length", pa.int32()), ("valid", pa.bool_()), ("payload", pa.binary())])
+    schema = pa.schema([("source", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("frame_type", pa.int32()), ("channel", pa.int32()), ("frame_number", pa.int64()), ("packed", pa.int64()), ("millis", pa.int32()), ("codec", pa.string()), ("fps", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("extension_length", pa.int32()), ("declared_codec", pa.string()), ("payload_codec", pa.string()), ("truncated", pa.bool_()), ("unknown_type", pa.int32()), ("valid", pa.bool_()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Space(*space) if space else nullcontext() as whole:

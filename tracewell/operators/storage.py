@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import guid, le
+from ..sources.evidence import Space
 
 MOST_TABLE, MOST_ENTRIES = 16 << 20, 4096
 
@@ -68,15 +69,43 @@ def gpt(heads: DataFrame) -> DataFrame:
     return out.withColumns({"type_guid": guid("type_guid"), "unique_guid": guid("unique_guid")})
 
 
-#: name, offset of the magic, magic in hexadecimal: fixed values of public formats.
+#: name, offset of the magic, magic in hexadecimal, confidence: fixed values of public formats.
 MAGICS = [
-    ("xfs", 0, "58465342"), ("ntfs", 3, "4E54465320202020"), ("exfat", 3, "4558464154202020"), ("fat12", 54, "4641543132202020"), ("fat16", 54, "4641543136202020"),
-    ("fat32", 82, "4641543332202020"), ("ext", 1080, "53EF"), ("jfs", 32768, "4A465331"), ("btrfs", 65600, "5F42485266535F4D"), ("hfsplus", 1024, "482B"),
+    ("xfs", 0, "58465342", 0.99), ("ntfs", 3, "4E54465320202020", 0.99), ("exfat", 3, "4558464154202020", 0.99), ("fat12", 54, "4641543132", 0.95), ("fat16", 54, "4641543136", 0.95),
+    ("fat32", 82, "4641543332", 0.95), ("ext", 1080, "53EF", 0.98), ("jfs", 32768, "4A465331", 0.99), ("btrfs", 65600, "5F42485266535F4D", 0.99), ("hfsplus", 1024, "482B", 0.95), ("hfsplus", 1024, "4858", 0.95),
 ]
+#: Bytes that hold all magics.
+PROBE = 65608
 
 
 def filesystems(spark: SparkSession, volumes: DataFrame) -> DataFrame:
-    """File systems by magic at each base; volumes: source, base, data. The magics are ten rows, so the join is broadcast."""
-    magics = spark.createDataFrame(MAGICS, "filesystem string, at int, magic string")
+    """File systems by magic at each base, with confidences; volumes: source, base, data. The magics are eleven rows, so the join is broadcast.
+
+    A FAT's label of eight bytes goes on with spaces or zeros.
+    """
+    magics = spark.createDataFrame(MAGICS, "filesystem string, at int, magic string, confidence double")
     met = F.hex(F.expr("substring(data, at + 1, octet_length(magic) div 2)")) == F.col("magic")
-    return volumes.join(F.broadcast(magics), met).select("source", "base", "filesystem")
+    label = F.hex(F.expr("substring(data, at + 6, 3)")).rlike("^((20|00)*)$")
+    found = volumes.join(F.broadcast(magics), met).where(~F.col("filesystem").startswith("fat") | label)
+    return found.select("source", "base", "filesystem", "confidence")
+
+
+def filesystems_in(spark: SparkSession, space: tuple, partitions: DataFrame) -> DataFrame:
+    """partition (null: the whole), base, filesystem and confidence at base 0 and at each partition that lies in the space.
+
+    space: the arguments of evidence.Space; partitions: number, first_lba, in sectors of 512 bytes. Each base's first PROBE bytes are read.
+    """
+    bases = partitions.select(F.col("number").cast("long").alias("partition"), (F.col("first_lba").cast("long") * 512).alias("base"))
+    bases = bases.unionByName(spark.createDataFrame([(None, 0)], "partition long, base long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Space(*space) as s:
+            for b in batches:
+                inside = b[(b["base"] >= 0) & (b["base"] < s.size)]
+                for i in range(0, len(inside), 64):
+                    some = inside[i : i + 64]
+                    yield some.assign(data=[s.read(int(x), PROBE) for x in some["base"]])
+
+    volumes = bases.mapInPandas(run, "partition long, base long, data binary").withColumn("source", F.to_json(F.struct("partition")))
+    found = filesystems(spark, volumes)
+    return found.select(F.get_json_object("source", "$.partition").cast("long").alias("partition"), "base", "filesystem", "confidence")

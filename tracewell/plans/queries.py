@@ -471,3 +471,42 @@ def interval_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("pos"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("o_orderstatus") == "F", "+").otherwise("-").alias("status"))
     expected = b.groupBy("source").agg(F.min("pos").alias("expected_start"), (F.max("pos") + 1 - F.min("pos")).alias("expected_size"))
     return intervals.coverage(b, expected).select("source", "complete")
+
+
+def _mixed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's frame with extensions that vary: declared codec or none, rate, size, an unknown type or a cut record; every ninth has a wrong footer."""
+    e = t(spark, sf_dir, "events").select("event_id", "user_id", F.encode("props", "UTF-8").alias("payload"))
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for n, u, x in zip(b["event_id"], b["user_id"], b["payload"], strict=True):
+                ext = bytes([0x80, 0, n % 3, 9]) + (bytes([0x81, 0, 0xC if n % 2 else 4, n % 4]) if n % 5 else b"") + (b"\x82\0" if n % 7 == 0 else b"\x01" if n % 7 == 1 else b"")
+                f = bytearray(frames.build(0xFD, u % 16, n % 2**32, 1 << 26, 0, b"\0\0\0\1\x67" + bytes(x) if n % 6 else b"", ext))
+                f[-1] ^= n % 9 == 0
+                data.append(bytes(f))
+            yield b.assign(source="events", base=b["event_id"] * 4096, size=[len(x) for x in data], data=data)[["source", "base", "size", "data"]]
+
+    return e.mapInPandas(run, "source string, base long, size int, data binary")
+
+
+@query("""WITH f AS (SELECT user_id % 16 AS channel, event_id AS n, event_id * 4096 AS o, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 2 = 1 THEN 'hevc' ELSE 'h264' END AS d, CASE WHEN n % 6 > 0 THEN 'h264' END AS h,
+CASE WHEN n % 6 > 0 THEN 5 + octet_length(encode(props)) ELSE 0 END AS p, 4 + CASE WHEN n % 5 > 0 THEN 4 ELSE 0 END + CASE n % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS x FROM events)
+SELECT CAST(channel AS INTEGER) AS channel, count(*) FILTER (n % 9 > 0) AS valid_frames, count(*) FILTER (p > 0) AS video_frames, CAST(sum(32 + x + p) AS BIGINT) AS native_bytes, CAST(sum(p) AS BIGINT) AS elementary_bytes, count(*) FILTER (d <> h) AS codec_conflicts,
+count(*) FILTER (n % 7 = 0) AS extension_truncated, string_agg(DISTINCT coalesce(d, h), ',' ORDER BY coalesce(d, h)) AS codecs, string_agg(DISTINCT d, ',' ORDER BY d) AS declared_codecs,
+string_agg(DISTINCT CASE WHEN n % 3 > 0 THEN n % 3 * 8 || 'x72' END, ',' ORDER BY CASE WHEN n % 3 > 0 THEN n % 3 * 8 || 'x72' END) AS resolutions, string_agg(DISTINCT CASE WHEN n % 5 > 0 AND n % 4 > 0 THEN CAST(n % 4 AS VARCHAR) END, ',' ORDER BY CASE WHEN n % 5 > 0 AND n % 4 > 0 THEN CAST(n % 4 AS VARCHAR) END) AS frame_rates,
+string_agg(DISTINCT CASE WHEN n % 7 = 1 THEN '1' END, ',') AS unknown_extension_types, min(o) AS first_offset, max(o) AS last_offset FROM f GROUP BY channel""")
+def channel_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other measures of channels, over every event as a frame, with and without a valid footer."""
+    m = channels.media_stats(frames.carve(_mixed_frames(spark, sf_dir), strict=False))
+    sets = ("codecs", "declared_codecs", "resolutions", "frame_rates", "unknown_extension_types")
+    return m.withColumns({c: F.when(F.size(c) > 0, F.array_join(F.col(c).cast("array<string>"), ",")) for c in sets})
+
+
+@query("""WITH k(i, name, confidence) AS (VALUES (0, 'xfs', 0.99), (1, 'ntfs', 0.99), (2, 'exfat', 0.99), (3, 'fat12', 0.95), (4, 'fat16', 0.95), (5, 'fat32', 0.95), (6, 'ext', 0.98), (7, 'jfs', 0.99), (8, 'btrfs', 0.99), (9, 'hfsplus', 0.95), (10, 'hfsplus', 0.95))
+SELECT CAST(c_custkey AS VARCHAR) AS source, name AS filesystem, CAST(confidence AS DOUBLE) AS confidence FROM customer JOIN k ON c_custkey % 12 = i""")
+def filesystem_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume of each customer with one of the magics, or none."""
+    c = t(spark, sf_dir, "customer").withColumn("m", F.try_element_at(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(m).alias("magic")) for _, at, m, _ in storage.MAGICS)), (F.col("c_custkey") % 12 + 1).cast("int")))
+    data = F.unhex(F.when(F.col("m").isNull(), "00").otherwise(F.concat(F.expr("repeat('00', m.at)"), F.col("m.magic"), F.lit("202020"))))
+    return storage.filesystems(spark, c.select(F.col("c_custkey").cast("string").alias("source"), F.lit(0).alias("base"), data.alias("data"))).select("source", "filesystem", "confidence")

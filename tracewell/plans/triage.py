@@ -23,12 +23,13 @@ def triage(spark: SparkSession, path: str, registry: formats.Registry | None = N
         size = space.size
     gpt = storage.gpt(head)
     parts = storage.mbr(head.withColumn("data", F.substring("data", 1, 512))).where(~F.col("protective")).select(F.lit("MBR").alias("scheme"), "first_lba", "last_lba").unionByName(gpt.select(F.lit("GPT").alias("scheme"), "first_lba", "last_lba"))
-    systems = storage.filesystems(spark, head.withColumn("base", F.lit(0)))
+    numbered = parts.withColumn("number", F.xxhash64("scheme", "first_lba", "last_lba"))
+    systems = storage.filesystems_in(spark, ([path],), numbered).select("base", "filesystem", "confidence")
     hits = scan.hit_stats(scan.signature_hits(chunks, SIGNATURES), min(size, limit))
     listed = lambda df, *cs: df.agg(F.array_sort(F.collect_list(F.struct(*cs))).alias("x"))
     best = registry.report(chunks, space=([path],))
     out = listed(parts, "scheme", "first_lba", "last_lba").withColumnRenamed("x", "partitions")
-    out = out.crossJoin(listed(systems, "filesystem").withColumnRenamed("x", "filesystems")).crossJoin(listed(hits, "id", "count", "first", "last").withColumnRenamed("x", "signatures"))
+    out = out.crossJoin(listed(systems, "base", "filesystem", "confidence").withColumnRenamed("x", "filesystems")).crossJoin(listed(hits, "id", "count", "first", "last").withColumnRenamed("x", "signatures"))
     out = out.crossJoin(best.agg(F.first("plugin").alias("plugin"), F.coalesce(F.first("confidence"), F.lit(0.0)).alias("confidence"), F.coalesce(F.first("requires_review"), F.lit(True)).alias("review")))
     out = out.withColumns({"size": F.lit(size), "scanned": F.lit(min(size, limit)), "n_partitions": F.size("partitions")})
     return out.withColumn("recommendations", detect.recommendations("plugin", "confidence", "review", "n_partitions")).drop("n_partitions")
