@@ -226,3 +226,15 @@ def compare(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the query that SQL can say."""
+    return query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_ORACLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS u FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(u, 1, length(t) // 2)) AS edited_sha256 FROM n
+"""

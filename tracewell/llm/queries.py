@@ -18,6 +18,7 @@ QUERIES = {
     "op9_site_tree": html.query,
     "op10_lsh_forest": neardup.query,
     "pipeline": corpus_pipeline.run,
+    "imatch_edits": imatch.edits,
 }
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_chat": chat.ORACLE,
     "op7_pii": pii.ORACLE,
     "op10_lsh_forest": neardup.ORACLE,
+    "imatch_edits": imatch.EDITS_ORACLE,
 }
