@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import carry, channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, scan, storage, timebase
+from tracewell.operators import carry, channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, rebuild, scan, storage, timebase
 from tracewell.plans import queries
 from tracewell.sources import evidence, reports
 
@@ -454,3 +454,82 @@ def test_registry_triage_and_corpus(spark, tmp_path):
     bad = good | {"case_id": "b", "source_sha256": "0" * 64}
     got = {(x["case"], x["key"]): x["status"] for x in corpus.run(spark, {"schema_version": 1, "cases": [good, bad]}, str(tmp_path)).collect()}
     assert got == {("a", "source_sha256"): "PASS", ("a", "frame_count"): "PASS", ("a", "size"): "FAIL", ("a", "magic"): "ERROR", ("b", "source_sha256"): "FAIL"}
+
+
+def _record(kind: int, payload: bytes) -> bytes:
+    return b"RX" + bytes([kind, 0]) + struct.pack("<I", len(payload)) + payload
+
+
+def _beam_by_hand(parts, start, layout):
+    """All paths by whole bytes, each probed with what the path before it left."""
+    done = []
+
+    def go(path, tail, cost, ambiguous):
+        nexts = []
+        for n in range(path[-1] + 1, len(parts)):
+            if (end := carry.probe(tail, parts[n], layout)) is not None:
+                nexts.append((n - path[-1] - (0.25 if end[0] == "padding" else 0), n, end))
+        unsure = ambiguous + (len(nexts) > 1)
+        if not nexts:
+            done.append((path, 1, unsure, cost, "no-structural-continuation"))
+        for c, n, (kind, at) in nexts:
+            if kind == "padding":
+                done.append(((*path, n), 0, unsure, cost + c, "terminal-padding"))
+            else:
+                go((*path, n), parts[n][at:] if kind == "carry" else b"", cost + c, unsure)
+
+    kind, at = carry.walk(parts[start], 0, layout)
+    go((start,), parts[start][at:] if kind == "carry" else b"", 0.0, 0)
+    return sorted(done, key=lambda h: (-len(h[0]), h[1], h[2], h[3], h[0]))
+
+
+def test_rebuilding_against_all_paths(spark, tmp_path):
+    layout = carry.Layout(b"RX", {1: (8, 4, "<I"), 2: (8, 4, "<I")}, most=5000, room=8)
+    r, size = random.Random(7), 256
+    for trial in range(12):
+        # records of few lengths, so that fragments of one camera go on with the other's too
+        streams = []
+        for cam in range(2):
+            body = b"".join(_record(1, bytes([65 + cam]) * r.choice((40, 56))) for _ in range(r.randrange(8, 16)))
+            streams.append(body + b"\xff" * (64 + -(len(body) + 64) % size))
+        cut = [[s[i : i + size] for i in range(0, len(s), size)] for s in streams]
+        parts = [p for pair in itertools.zip_longest(*cut, fillvalue=b"\x55" * size) for p in pair]
+        path = tmp_path / f"{trial}.raw"
+        path.write_bytes(b"".join(parts) + b"part")
+        of = rebuild.Fragments(([str(path)],), size)
+        assert of.count() == len(parts)
+        with evidence.Space(*of.space) as s:
+            for start in (0, 1):
+                got = rebuild.follow(s, of, layout, start, len(parts), top=100, width=10_000, most=10_000)
+                assert got == _beam_by_hand(parts, start, layout)
+                assert [h[4] for h in rebuild.follow(s, of, layout, start, len(parts), depth=0)] == ["max-depth"]
+            assert rebuild.follow(s, of, layout, len(parts), len(parts))[0][4] == "invalid-start"
+            assert rebuild.follow(s, of, layout, 0, 1)[0][1:] == (1, 0, 0.0, "no-structural-continuation")
+
+
+def test_recovery_says_what_is_unsure(spark, tmp_path):
+    layout = carry.Layout(b"RX", {1: (8, 4, "<I"), 2: (8, 4, "<I")}, most=5000, room=8)
+    size = 256
+    # two cameras with the same record lengths can't be told apart; a third ends without a continuation, a fourth at once
+    streams = [b"".join(_record(1, bytes([65 + cam]) * 100) for _ in range(6)) for cam in range(2)]
+    parts = [s[i : i + size].ljust(size, b"\0") for i in range(0, len(streams[0]), size) for s in streams]
+    lost = _record(1, b"Z" * 100) * 2 + _record(2, b"Y" * 1000)
+    parts += [lost[:size], _record(1, b"only").ljust(size, b"\xff")]
+    path = tmp_path / "space.raw"
+    path.write_bytes(bytes(512) + b"".join(parts))
+    of = rebuild.Fragments(([str(path)],), size, 512)
+    starts = spark.createDataFrame([(0, 0), (0, 1), (1, len(parts) - 2), (2, len(parts) - 1)], "problem long, start long")
+    got = {x["start"]: x for x in rebuild.recover(spark, starts, of, layout, frozenset({1})).collect()}
+    assert [got[i]["records"] for i in (0, 1)] == [6, 6] and not set(got[0]["fragments"]) & set(got[1]["fragments"])
+    assert {"ambiguous", "close alternative"} <= set(got[0]["reasons"]) and got[0]["status"] == "REVIEW"
+    third, fourth = got[len(parts) - 2], got[len(parts) - 1]
+    assert third["status"] == "REVIEW" and {"unresolved", "left over"} <= set(third["reasons"]) and third["left_over"] == size - 216
+    assert fourth["status"] == "UNKNOWN" and fourth["bytes"] == 4 and fourth["sha256"] == hashlib.sha256(b"only").hexdigest()
+    sums = {x["problem"]: x for x in rebuild.totals(paths.select_disjoint(rebuild.hypotheses(starts, of, layout))).collect()}
+    assert sums[0]["continuations"] == len(parts) - 4 and sums[1]["unresolved"] == 1
+    with pytest.raises(ValueError):
+        rebuild.Fragments(([str(path)],), size, 100)
+    assert rebuild.heads(spark, of, 3, 2, 4).collect()[0]["head"] == parts[2][:3]
+    # a path over a fragment that doesn't go on is an error of its own, and the path ends there
+    bad = rebuild.payloads(spark.createDataFrame([(0, 0, [0, len(parts) - 2, 1])], "problem long, start long, fragments array<long>"), of, layout, frozenset({1})).orderBy("seq").collect()
+    assert [x["error"] for x in bad] == [None, "lost sync"] and bad[1]["sha256"] == hashlib.sha256(bytes(bad[0]["payload"])).hexdigest()

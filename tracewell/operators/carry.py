@@ -26,17 +26,21 @@ class Layout:
     #: A record that is carried must end so many bytes before a fragment does.
     room: int = 32
 
+    @property
+    def longest(self) -> int:
+        """The longest header's size."""
+        return max(h for h, _, _ in self.types.values())
+
 
 def record(data: bytes, at: int, layout: Layout) -> tuple[int, int, int] | None:
-    """(type, header size, payload size) of the record at `at`."""
+    """(type, header size, payload size) of the record at `at`. Of data, which may be anything that is sliced into bytes, only the header is read."""
     n = len(layout.sync)
-    if data[at : at + n] != layout.sync or at + n >= len(data):
-        return None
-    kind = layout.types.get(data[at + n])
-    if kind is None or at + kind[0] > len(data):
+    head = data[at : at + layout.longest]
+    kind = layout.types.get(head[n]) if head[:n] == layout.sync and len(head) > n else None
+    if kind is None or kind[0] > len(head):
         return None
-    (size,) = struct.unpack_from(kind[2], data, at + kind[1])
-    return (data[at + n], kind[0], size) if 0 < size <= layout.most else None
+    (size,) = struct.unpack_from(kind[2], head, kind[1])
+    return (head[n], kind[0], size) if 0 < size <= layout.most else None
 
 
 def padding_at(data: bytes, at: int, layout: Layout) -> bool:
@@ -50,7 +54,7 @@ def walk(data: bytes, at: int, layout: Layout) -> tuple[str, int]:
         if r is None:
             if padding_at(data, at, layout):
                 return "padding", at
-            if len(data) - at < max(h for h, _, _ in layout.types.values()):
+            if len(data) - at < layout.longest:
                 return "carry", at
             raise ValueError(f"no record at {at}")
         if at + r[1] + r[2] > len(data):
@@ -63,8 +67,7 @@ def probe(tail: bytes, fragment: bytes, layout: Layout) -> tuple[str, int] | Non
     """How the fragment ends if it goes on with the record begun in tail; None if it can't."""
     need = 0
     if tail:
-        joined = tail + fragment
-        r = record(joined, 0, layout)
+        r = record(tail + fragment[: layout.longest], 0, layout)
         if r is None or not 0 < r[1] + r[2] - len(tail) < len(fragment) - layout.room:
             return None
         need = r[1] + r[2] - len(tail)
@@ -76,27 +79,30 @@ def probe(tail: bytes, fragment: bytes, layout: Layout) -> tuple[str, int] | Non
         return None
 
 
+def take(data: bytes, layout: Layout, media: frozenset[int]) -> tuple[bytes, int, bytes]:
+    """Of a fragment after what the last one left: the payloads of records of the types in `media`, how many, and the bytes that go on in the next. Lost sync is an error."""
+    out, at = [], 0
+    while at < len(data):
+        r = record(data, at, layout)
+        if r is None and padding_at(data, at, layout):
+            return b"".join(out), len(out), b""
+        if r is None and len(data) - at >= layout.longest:
+            raise ValueError("lost sync")
+        if r is None or at + r[1] + r[2] > len(data):
+            break
+        if r[0] in media:
+            out.append(data[at + r[1] : at + r[1] + r[2]])
+        at += r[1] + r[2]
+    return b"".join(out), len(out), data[at:]
+
+
 def payloads(fragments: list[bytes], layout: Layout, media: frozenset[int]) -> tuple[bytes, int]:
-    """The payloads of records of the types in `media` along a path, and the bytes left over at its end. Lost sync is an error."""
-    out, carry = [], b""
+    """The payloads along a path, and the bytes left over at its end."""
+    out, tail = [], b""
     for f in fragments:
-        data, at, carry = carry + f, 0, b""
-        while at < len(data):
-            r = record(data, at, layout)
-            if r is None:
-                if padding_at(data, at, layout):
-                    break
-                if len(data) - at >= max(h for h, _, _ in layout.types.values()):
-                    raise ValueError("lost sync")
-                carry = data[at:]
-                break
-            if at + r[1] + r[2] > len(data):
-                carry = data[at:]
-                break
-            if r[0] in media:
-                out.append(data[at + r[1] : at + r[1] + r[2]])
-            at += r[1] + r[2]
-    return b"".join(out), len(carry)
+        payload, _, tail = take(tail + f, layout, media)
+        out.append(payload)
+    return b"".join(out), len(tail)
 
 
 def extract(paths: DataFrame, layout: Layout, media: frozenset[int]) -> DataFrame:

@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
 from ..operators import channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, scan, storage, timebase
 from ..streaming.windows import minute_buckets
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import recorded  # noqa: F401 - registers its queries
+from .registry import ORACLES, QUERIES, query, t  # noqa: F401
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
