@@ -373,17 +373,35 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, e.where("dst - problem >= 2 and dst - problem < 12").join(p.agg(F.max("node").alias("last")), F.col("dst") <= F.col("last"), "left_semi")
 
 
-@query()
+#: All beams of 24, level by level, and the 64 best finished paths of each start; a path can't meet itself, as edges lead ahead.
+_BEAMS = """WITH RECURSIVE p AS (SELECT p_partkey - p_partkey % 12 AS problem, p_partkey AS node, p_partkey % 12 AS i, p_size AS w FROM part),
+e AS (SELECT problem, node AS src, node + d AS dst, CAST(w * d % 23 AS DOUBLE) AS score FROM p, (VALUES (1), (2), (3)) v(d) WHERE i + d >= 2 AND i + d < 12 AND node + d <= (SELECT max(node) FROM p)),
+open AS (SELECT problem, node AS start, [node] AS path, CAST(0 AS DOUBLE) AS cost FROM p WHERE i < 2
+UNION ALL (SELECT problem, start, path, cost FROM (SELECT o.problem, start, list_append(path, dst) AS path, cost + score AS cost FROM open o JOIN e ON src = path[-1]) QUALIFY row_number() OVER (PARTITION BY start, len(path) ORDER BY cost, path) <= 24)),
+h AS (SELECT * FROM open WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = path[-1]) QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path) DESC, cost, path) <= 64)"""
+
+
+@query(f"{_BEAMS} SELECT problem, start, array_to_string(path, ',') AS fragments, cost, 'no continuation' AS reason FROM h")
 def path_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _beams(spark, sf_dir).withColumn("fragments", F.array_join(F.col("fragments").cast("array<string>"), ","))
+
+
+def _beams(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     return paths.hypotheses(nodes.where("is_start").select("problem", F.col("node").alias("start")), edges)
 
 
-@query()
+@query(f"""{_BEAMS}, f AS (SELECT problem, start, [x FOR x IN path IF x % 2 = start % 2] AS path, cost FROM h),
+c AS (SELECT a.problem, a.start AS s1, a.path AS p1, a.cost AS c1, b.start AS s2, b.path AS p2, b.cost AS c2 FROM f a LEFT JOIN f b ON a.problem = b.problem AND b.start > a.start WHERE a.start = (SELECT min(start) FROM f x WHERE x.problem = a.problem)),
+k AS (SELECT *, len(p1) + coalesce(len(p2), 0) AS n, c1 + coalesce(c2, 0) AS total FROM c WHERE p2 IS NULL OR NOT list_has_any(p1, p2)),
+r AS (SELECT *, row_number() OVER w AS rank, lead(n) OVER w AS n2, lead(total) OVER w AS total2 FROM k WINDOW w AS (PARTITION BY problem ORDER BY n DESC, total, p1, p2)),
+b AS (SELECT *, CASE WHEN n2 = n THEN total2 - total END AS margin FROM r WHERE rank = 1)
+SELECT problem, s1 AS start, array_to_string(p1, ',') AS fragments, c1 AS cost, margin, false AS cut FROM b UNION ALL SELECT problem, s2, array_to_string(p2, ','), c2, margin, false FROM b WHERE s2 IS NOT NULL""")
 def disjoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     # beams hold whole paths; every second fragment is a start's own, so choices exist
-    found = path_beam(spark, sf_dir).withColumn("fragments", F.filter("fragments", lambda x: (x % 2 == F.col("start") % 2) | (x == F.col("start"))))
-    return paths.select_disjoint(found)
+    found = _beams(spark, sf_dir).withColumn("fragments", F.filter("fragments", lambda x: (x % 2 == F.col("start") % 2) | (x == F.col("start"))))
+    chosen = paths.select_disjoint(found).select("problem", "start", "fragments", "cost", "margin", "cut")
+    return chosen.withColumn("fragments", F.array_join(F.col("fragments").cast("array<string>"), ","))
 
 
 @query()
