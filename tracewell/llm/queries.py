@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, imatch, langid, neardup, packing, pii, rlz, warc
+from . import chat, decontaminate, html, imatch, langid, lexical, neardup, packing, pii, rlz, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_imatch": imatch.query,
     "op9_site_tree": html.query,
     "op10_lsh_forest": neardup.query,
+    "op11_lexical": lexical.query,
     "pipeline": corpus_pipeline.run,
     "imatch_edits": imatch.edits,
 }
@@ -26,5 +27,6 @@ ORACLES = {
     "op6_chat": chat.ORACLE,
     "op7_pii": pii.ORACLE,
     "op10_lsh_forest": neardup.ORACLE,
+    "op11_lexical": lexical.ORACLE,
     "imatch_edits": imatch.EDITS_ORACLE,
 }

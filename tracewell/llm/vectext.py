@@ -104,26 +104,37 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """The words of each text; null counts as empty. lower: A-Z become a-z first."""
-    data, at = _buffers(texts)
-    if not len(texts):
-        none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
-    base, data = int(at[0]), data[at[0] : at[-1]]
-    at = at - base
-    if lower:
-        data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
-    solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return data + np.uint8(32) * ((data >= 65) & (data <= 90))
+
+
+def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that are inside; texts begin and end at `at`, and no run goes over an end."""
+    solid = np.zeros(len(inside) + 2, np.int8)
+    solid[1:-1] = inside
     turn = np.diff(solid)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     # a word that runs over the end of a text is two words
     cut = at[1:-1]
-    cut = np.unique(cut[(cut > 0) & (cut < len(data))])
+    cut = np.unique(cut[(cut > 0) & (cut < len(inside))])
     cut = cut[(solid[cut] == 1) & (solid[cut + 1] == 1)]
     if len(cut):
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    return start, end
+
+
+def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
+    """The words of each text; null counts as empty. lower: A-Z become a-z first."""
+    data, at = _buffers(texts)
+    if not len(texts):
+        none = np.zeros(0, np.int64)
+        return Words(data, none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
+    data = data[at[0] : at[-1]]
+    at = at - at[0]
+    if lower:
+        data = lowered(data)
+    start, end = spans((data != 32) & ((data < 9) | (data > 13)), at)
     return Words(data, start, end, np.searchsorted(start, at), word_hashes(data, start, end))
 
 
