@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: with texts of 100 KB a batch stays near 25 MB.
 BATCH_ROWS = 256
@@ -88,7 +89,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in batches of so many rows, so that long texts keep within the Python workers' memory.
 
     The session keeps the setting, as it counts when the plan runs.

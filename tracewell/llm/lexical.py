@@ -42,32 +42,29 @@ SCALE = 1_000_000_000
 BLOCK = "term string, n_docs long, n_terms long, row array<long>, doc_id array<long>, tf array<int>, n array<int>"
 
 
+def _term_bytes(data: np.ndarray) -> np.ndarray:
+    return (data >= 128) | ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122))
+
+
 def _blocks(b: pa.Table) -> Iterator[pa.RecordBatch]:
     """The posting blocks of these documents, and a row without a term that has their number and length."""
-    data, at = V._buffers(b.column("text"))
-    data = V.lowered(data[at[0] : at[-1]])
-    at = at - at[0]
-    inside = (data >= 128) | ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122))
-    start, end = V.spans(inside, at)
-    if not len(start):
+    w = V.coded(b.column("text"), _term_bytes, lower=True)
+    if not len(w.code):
         return
-    offsets = np.concatenate([[0], np.cumsum(end - start)])
-    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
-    first = np.searchsorted(start, at)
-    size = np.diff(first)
+    size = np.diff(w.first)
     n = len(size)
-    pairs, tf = np.unique(found.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+    pairs, tf = np.unique(w.code * n + np.repeat(np.arange(n), size), return_counts=True)
     code, doc = pairs // n, pairs % n
     begin = np.flatnonzero(np.append(True, np.diff(code) != 0))
     ends = pa.array(np.append(begin, len(code)).astype(np.int32))
     lists = [
         b.column("row").combine_chunks().take(pa.array(doc)), b.column("doc_id").combine_chunks().take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(size[doc].astype(np.int32)),
     ]
-    terms = found.dictionary.take(pa.array(code[begin])).cast(pa.large_string()).cast(pa.string())
+    terms = w.vocabulary.take(pa.array(code[begin])).cast(pa.large_string()).cast(pa.string())
     held = pa.array(np.diff(np.append(begin, len(code))))
     out = pa.RecordBatch.from_arrays([terms, held, pa.nulls(len(begin), pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists)], [c.split()[0] for c in BLOCK.split(", ")])
     yield from (out.slice(i, 8192) for i in range(0, out.num_rows, 8192))
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([int((size > 0).sum())]), pa.array([len(start)]), *(pa.nulls(1, c.type) for c in out.columns[3:])], out.schema.names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([int((size > 0).sum())]), pa.array([len(w.code)]), *(pa.nulls(1, c.type) for c in out.columns[3:])], out.schema.names)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

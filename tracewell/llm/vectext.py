@@ -6,7 +6,7 @@ A word's hash is a polynomial over its bytes modulo 2**64, mixed; a window's is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,10 +134,38 @@ def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     at = at - at[0]
     if lower:
         data = lowered(data)
-    start, end = spans((data != 32) & ((data < 9) | (data > 13)), at)
+    start, end = spans(solid(data), at)
     return Words(data, start, end, np.searchsorted(start, at), word_hashes(data, start, end))
 
 
+@dataclass
+class Coded:
+    """Words of some documents as numbers: those of document d are code[first[d]:first[d + 1]], and vocabulary[code] is their bytes. Equal numbers are equal words."""
+
+    code: np.ndarray
+    first: np.ndarray
+    vocabulary: pa.Array
+
+
+def solid(data: np.ndarray) -> np.ndarray:
+    """Whether bytes are of words `[^\\x20\\x09-\\x0D]+`."""
+    return (data != 32) & ((data < 9) | (data > 13))
+
+
+def coded(texts: pa.Array | pa.ChunkedArray, inside: Callable[[np.ndarray], np.ndarray] = solid, lower: bool = False) -> Coded:
+    """The maximal runs of bytes that are inside, as numbers; null counts as empty. lower: A-Z become a-z first."""
+    data, at = _buffers(texts)
+    data = data[at[0] : at[-1]]
+    at = at - at[0]
+    if lower:
+        data = lowered(data)
+    held = inside(data)
+    start, end = spans(held, at)
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data[held]))]).dictionary_encode()
+    return Coded(found.indices.to_numpy().astype(np.int64), np.searchsorted(start, at), found.dictionary)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """batch in pieces of about `most` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
