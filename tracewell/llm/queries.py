@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, imatch, langid, lexical, neardup, packing, periodic, pii, rlz, warc
+from . import chat, decontaminate, html, imatch, langid, lexical, neardup, packing, periodic, pii, rlz, vectors, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_site_tree": html.query,
     "op10_lsh_forest": neardup.query,
     "op11_lexical": lexical.query,
+    "op12_stable_hashing": vectors.query,
     "op13_tandem": periodic.query,
     "pipeline": corpus_pipeline.run,
     "imatch_edits": imatch.edits,
@@ -29,6 +30,7 @@ ORACLES = {
     "op7_pii": pii.ORACLE,
     "op10_lsh_forest": neardup.ORACLE,
     "op11_lexical": lexical.ORACLE,
+    "op12_stable_hashing": vectors.ORACLE,
     "op13_tandem": periodic.ORACLE,
     "imatch_edits": imatch.EDITS_ORACLE,
 }
