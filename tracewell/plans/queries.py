@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bytesx as B
 from ..operators import channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, scan, storage, timebase
 from ..streaming.windows import minute_buckets
-from . import recorded  # noqa: F401 - registers its queries
+from . import planted, recorded  # noqa: F401 - register their queries
 from .registry import ORACLES, QUERIES, query, t  # noqa: F401
 
 

@@ -1,7 +1,8 @@
 """Byte spaces as DataFrames: one file, several joined end to end, or a RAID-0 set, read-only and by ranges.
 
-`spark.dataSource.register(EvidenceSource)`, then `spark.read.format("evidence").option("paths", "a|b")`. Each
-partition reads one range of `chunk` bytes and `overlap` bytes past it, so what starts in the range is whole.
+`spark.dataSource.register(EvidenceSource)`, then `spark.read.format("evidence").option("paths", "a|b")`. A row has
+`chunk` bytes and `overlap` bytes past them, so what starts in the chunk is whole. A partition streams a row of chunks
+that lie together: enough partitions for the cluster (`tasks`), SPAN bytes each at most, and no more than MOST of them.
 """
 
 from __future__ import annotations
@@ -103,11 +104,25 @@ def require_readable(path: str, mounted: set[str] | None = None, allow_write_ena
     return {"path": path, "is_block": block, "size": s.st_size, "read_only": read_only, "mounted": is_mounted}
 
 
+#: Bytes of a partition, and partitions of a space, if that takes larger ones.
+SPAN, MOST = 128 << 20, 8192
+
+
 @dataclass
 class Range(InputPartition):
-    chunk: int
+    """Chunks first, first + 1, ... of a space's range from base to stop."""
+
+    first: int
     base: int
-    size: int
+    stop: int
+
+
+def ranges(start: int, stop: int, chunk: int, tasks: int) -> list[Range]:
+    """The partitions of a range: whole chunks each."""
+    total = max(0, stop - start)
+    wanted = max(min(SPAN, -(-total // max(1, tasks))), -(-total // MOST), 1)
+    step = -(-wanted // chunk)
+    return [Range(i, start + i * chunk, min(stop, start + (i + step) * chunk)) for i in range(0, -(-total // chunk), step)]
 
 
 class EvidenceReader(DataSourceReader):
@@ -118,6 +133,7 @@ class EvidenceReader(DataSourceReader):
         self.space = (self.paths, options.get("layout", "file"), int(options.get("stripe", 65536)), int(options.get("data_offset", 0)))
         self.chunk, self.overlap = int(options.get("chunk", 4 << 20)), int(options.get("overlap", 0))
         self.start, self.stop = int(options.get("start", 0)), options.get("stop")
+        self.tasks = int(options.get("tasks", 64))
         if self.chunk <= 0 or self.overlap < 0 or self.start < 0 or self.chunk + self.overlap > 1 << 30:
             raise ValueError("chunk and overlap must be positive and below 1 GiB together")
 
@@ -126,11 +142,14 @@ class EvidenceReader(DataSourceReader):
             require_readable(p)
         with Space(*self.space) as r:
             stop = min(r.size, int(self.stop)) if self.stop is not None else r.size
-        return [Range(i, b, min(self.chunk, stop - b)) for i, b in enumerate(range(self.start, stop, self.chunk))]
+        return ranges(self.start, stop, self.chunk, self.tasks)
 
     def read(self, partition: Range) -> Iterator[tuple]:
+        source = "|".join(self.paths)
         with Space(*self.space) as r:
-            yield "|".join(self.paths), partition.chunk, partition.base, partition.size, r.read(partition.base, partition.size + self.overlap)
+            for i, base in enumerate(range(partition.base, partition.stop, self.chunk), partition.first):
+                size = min(self.chunk, partition.stop - base)
+                yield source, i, base, size, r.read(base, size + self.overlap)
 
 
 class EvidenceSource(DataSource):
@@ -148,7 +167,7 @@ class EvidenceSource(DataSource):
 def read(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Chunks of a byte space."""
     spark.dataSource.register(EvidenceSource)
-    r = spark.read.format("evidence").option("paths", "|".join(paths))
+    r = spark.read.format("evidence").option("paths", "|".join(paths)).option("tasks", str(2 * spark.sparkContext.defaultParallelism))
     for k, v in options.items():
         r = r.option(k, str(v))
     return r.load()
