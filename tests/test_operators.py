@@ -471,10 +471,10 @@ def _beam_by_hand(parts, start, layout):
                 nexts.append((n - path[-1] - (0.25 if end[0] == "padding" else 0), n, end))
         unsure = ambiguous + (len(nexts) > 1)
         if not nexts:
-            done.append((path, 1, unsure, cost, "no-structural-continuation"))
+            done.append((path, 1, unsure, cost, paths.OPEN))
         for c, n, (kind, at) in nexts:
             if kind == "padding":
-                done.append(((*path, n), 0, unsure, cost + c, "terminal-padding"))
+                done.append(((*path, n), 0, unsure, cost + c, paths.ENDED))
             else:
                 go((*path, n), parts[n][at:] if kind == "carry" else b"", cost + c, unsure)
 
@@ -502,9 +502,9 @@ def test_rebuilding_against_all_paths(spark, tmp_path):
             for start in (0, 1):
                 got = rebuild.follow(s, of, layout, start, len(parts), top=100, width=10_000, most=10_000)
                 assert got == _beam_by_hand(parts, start, layout)
-                assert [h[4] for h in rebuild.follow(s, of, layout, start, len(parts), depth=0)] == ["max-depth"]
-            assert rebuild.follow(s, of, layout, len(parts), len(parts))[0][4] == "invalid-start"
-            assert rebuild.follow(s, of, layout, 0, 1)[0][1:] == (1, 0, 0.0, "no-structural-continuation")
+                assert [h[4] for h in rebuild.follow(s, of, layout, start, len(parts), depth=0)] == [paths.CUT]
+            assert rebuild.follow(s, of, layout, len(parts), len(parts))[0][4] == paths.OUTSIDE
+            assert rebuild.follow(s, of, layout, 0, 1)[0][1:] == (1, 0, 0.0, paths.OPEN)
 
 
 def test_recovery_says_what_is_unsure(spark, tmp_path):

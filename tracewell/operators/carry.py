@@ -5,6 +5,7 @@ The record framing is data (`Layout`), given by the caller; none of a recorder i
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,21 +80,50 @@ def probe(tail: bytes, fragment: bytes, layout: Layout) -> tuple[str, int] | Non
         return None
 
 
-def take(data: bytes, layout: Layout, media: frozenset[int]) -> tuple[bytes, int, bytes]:
-    """Of a fragment after what the last one left: the payloads of records of the types in `media`, how many, and the bytes that go on in the next. Lost sync is an error."""
+def spans(data: bytes, layout: Layout, media: frozenset[int]) -> tuple[list[tuple[int, int]], int]:
+    """Of a fragment after what the last one left: where payloads of records of the types in `media` lie, and where the bytes begin that go on in the next. Lost sync is an error.
+
+    Of data, which may be anything that is sliced into bytes, only headers and a run of padding are read.
+    """
     out, at = [], 0
     while at < len(data):
         r = record(data, at, layout)
         if r is None and padding_at(data, at, layout):
-            return b"".join(out), len(out), b""
+            return out, len(data)
         if r is None and len(data) - at >= layout.longest:
             raise ValueError("lost sync")
         if r is None or at + r[1] + r[2] > len(data):
             break
         if r[0] in media:
-            out.append(data[at + r[1] : at + r[1] + r[2]])
+            out.append((at + r[1], at + r[1] + r[2]))
         at += r[1] + r[2]
-    return b"".join(out), len(out), data[at:]
+    return out, at
+
+
+def take(data: bytes, layout: Layout, media: frozenset[int]) -> tuple[bytes, int, bytes]:
+    """The payloads that `spans` finds, how many, and the bytes that go on."""
+    found, rest = spans(data, layout, media)
+    return b"".join(data[a:z] for a, z in found), len(found), data[rest:]
+
+
+class Joined:
+    """Sliceable bytes end to end, read as they are sliced."""
+
+    def __init__(self, parts: list) -> None:
+        self.parts = parts
+        self.ends = list(itertools.accumulate(len(p) for p in parts))
+
+    def __len__(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def __getitem__(self, s: slice) -> bytes:
+        a, z, _ = s.indices(len(self))
+        out, begin = [], 0
+        for part, end in zip(self.parts, self.ends, strict=True):
+            if a < end and begin < z:
+                out.append(part[max(a, begin) - begin : min(z, end) - begin])
+            begin = end
+        return b"".join(out)
 
 
 def payloads(fragments: list[bytes], layout: Layout, media: frozenset[int]) -> tuple[bytes, int]:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HYPOTHESIS = "problem long, start long, fragments array<long>, cost double, reason string"
+#: Why a path ends: its last fragment says so, nothing fits, the search stopped, or it never began.
+ENDED, OPEN, CUT, OUTSIDE = "ends in padding", "no continuation", "max depth", "no such fragment"
 
 
 def beam(start: int, edges: dict[int, list[tuple[float, int]]], top: int = 4, width: int = 24, depth: int = 4096, most: int = 64) -> list[tuple[list[int], float, str]]:
@@ -23,13 +25,13 @@ def beam(start: int, edges: dict[int, list[tuple[float, int]]], top: int = 4, wi
         for path, cost in open_paths:
             nexts = sorted((s, t) for s, t in edges.get(path[-1], ()) if t not in path)[:top]
             if not nexts:
-                done.append((path, cost, "no continuation"))
+                done.append((path, cost, OPEN))
             grown += [([*path, t], cost + s) for s, t in nexts]
         if not grown:
             break
         open_paths = sorted(grown, key=lambda x: (-len(x[0]), x[1], x[0]))[:width]
     else:
-        done += [(p, c, "max depth") for p, c in open_paths]
+        done += [(p, c, CUT) for p, c in open_paths]
     return sorted(done, key=lambda x: (-len(x[0]), x[1], x[0]))[:most]
 
 

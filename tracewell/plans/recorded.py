@@ -91,6 +91,21 @@ def rebuild_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("start", F.size("fragments").alias("fragments"), "records", "bytes", "sha256", "left_over", "error", own.alias("in_order"))
 
 
+@query(f"""WITH c AS (SELECT c_nationkey % 5 AS start, c_custkey, c_custkey % 10 <> 7 OR c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey % 5) AS media, {_PAYLOAD} AS x FROM customer)
+SELECT 'made-0-' || start || '.es' AS name, count(*) FILTER (media) AS records, CAST(sum(length(x)) FILTER (media) AS BIGINT) AS bytes, sha256(string_agg(x, '' ORDER BY c_custkey) FILTER (media)) AS sha256, true AS as_stated, 'REVIEW' AS status, true AS codec_not_sure FROM c GROUP BY start""")
+def recovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings as files, written by many tasks each, and what their bytes and the manifest say."""
+    of = _recorded(spark, sf_dir)
+    starts = _starts(spark, of).select(F.lit(0).alias("problem"), F.explode("starts").alias("start"))
+    folder = f"{shared_folder(spark, 'recovered')}/out"
+    rebuild.recover_files(spark, starts, of, LAYOUT, frozenset({1, 2}), folder, "made")
+    about = spark.read.option("multiLine", True).json(f"{folder}/manifest.json")
+    stated = spark.read.schema("name string, records long, bytes long, sha256 string, status string, reasons array<string>").json(f"{folder}/candidates")
+    seen = spark.read.format("binaryFile").load(f"{folder}/made-*").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length"), F.sha2("content", 256).alias("digest"))
+    good = (F.col("digest") == F.col("sha256")) & (F.col("length") == F.col("bytes")) & (F.col("unwritten") == 0) & (F.col("recordings") == 5)
+    return stated.join(seen, "name").crossJoin(about.select("unwritten", "recordings")).select("name", "records", "bytes", F.col("digest").alias("sha256"), good.alias("as_stated"), "status", F.array_contains("reasons", "codec not sure").alias("codec_not_sure"))
+
+
 @query("""SELECT o_custkey % 64 AS source, CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '*' END AS status, count(*) AS blocks, CAST(sum(o_orderkey * 4096) AS BIGINT) AS at, CAST(sum(o_custkey % 900) AS BIGINT) AS size FROM orders WHERE o_custkey % 900 > 0 GROUP BY ALL""")
 def ddrescue_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of each of 64 sources, with comments and status lines, positions in hexadecimal or decimal, and empty blocks."""

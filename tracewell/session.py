@@ -10,7 +10,7 @@ import uuid
 from pathlib import Path
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -33,3 +33,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     os.makedirs(path)
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: it is computed once, its lineage is cut, and lost executors don't matter."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, name)}/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
