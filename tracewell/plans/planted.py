@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import layout
+from ..operators import layout, ordered, timebase
 from ..session import shared_folder
 from ..sources import evidence
 from .recorded import LAYOUT, le, members
@@ -45,3 +45,25 @@ def layout_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = one if chunks is None else chunks.unionByName(one)
     found = layout.best(layout.hypotheses(layout.evidence(chunks, LAYOUT, _TRIED, {2: 8})))
     return found.select(F.regexp_extract("source", r"-channel-(\d+)", 1).cast("long").alias("channel"), "fragment_size", "residue", "tested", "valid", "timestamped", "padding", "score", F.round("confidence", 6).alias("confidence"), F.round("fit", 6).alias("fit"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 512 AS BIGINT) AS size, CAST(coalesce(sum(CAST(l_quantity * 512 AS BIGINT)) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM lineitem),
+n AS (SELECT max(begin + size) AS n FROM m), o AS (SELECT o_orderkey, CAST(o_orderkey * 7919 * 512 % (n * 2) AS BIGINT) + o_orderkey % 512 AS place FROM orders, n)
+SELECT o_orderkey, l_orderkey, l_linenumber, place - begin AS member_offset FROM o ASOF JOIN m ON o.place >= m.begin WHERE place < begin + size""")
+def member_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as members end to end, in ranges and without a window, and in which of them each order's place is; places past the end are in none."""
+    members_ = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_quantity") * 512).cast("bigint").alias("size"))
+    placed = ordered.scanned(members_, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], ["size"]).withColumnRenamed("before_size", "begin")
+    end = placed.agg(F.max(F.col("begin") + F.col("size"))).first()[0] or 1
+    o = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 * 512 % (2 * end) + F.col("o_orderkey") % 512).cast("bigint").alias("place"))
+    return ordered.looked_up(o, "place", placed, "begin", "size").select("o_orderkey", "l_orderkey", "l_linenumber", (F.col("place") - F.col("begin")).alias("member_offset"))
+
+
+@query("""WITH a AS (SELECT CAST(event_id // 2 AS DOUBLE) * 3600 AS x, CAST(event_id // 2 AS DOUBLE) * 3600 * 1.0001 + value / 100 AS y FROM events), p AS (SELECT median((b.y - a.y) / (b.x - a.x)) AS slope FROM a, a b WHERE a.x < b.x),
+i AS (SELECT slope, median(y - slope * x) AS intercept FROM a, p GROUP BY slope)
+SELECT round(slope, 10) AS slope, round(intercept, 5) AS intercept, round(max(abs(y - intercept - slope * x)), 5) AS max_residual, count(*) AS anchors FROM a, i GROUP BY slope, intercept""")
+def clock_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as anchors of one clock, two for each time, whose pairs aren't made."""
+    x = F.floor(F.col("event_id") / 2).cast("double") * 3600
+    m = timebase.fit(t(spark, sf_dir, "events").select(x.alias("x"), (x * 1.0001 + F.col("value") / 100).alias("y")), held=512, block=2048)
+    return m.select(F.round("slope", 10).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("max_residual", 5).alias("max_residual"), "anchors")

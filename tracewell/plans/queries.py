@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, scan, storage, timebase
+from ..operators import channels, detect, fragments, frames, integrity, intervals, media, ordered, paths, profiles, scan, storage, timebase
 from ..streaming.windows import minute_buckets
 from . import planted, recorded  # noqa: F401 - register their queries
 from .registry import ORACLES, QUERIES, query, t  # noqa: F401
@@ -235,14 +235,11 @@ def raid0_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT s_suppkey AS member, sum(s_suppkey % 9 + 1) OVER (ORDER BY s_suppkey) - (s_suppkey % 9 + 1) AS a, sum(s_suppkey % 9 + 1) OVER (ORDER BY s_suppkey) AS z FROM supplier)
 SELECT p_partkey, member, CAST(p_partkey % 50 - a AS BIGINT) AS member_offset FROM part JOIN m ON p_partkey % 50 >= a AND p_partkey % 50 < z""")
 def concat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members end to end: a running sum over the members' table, and an equi-join on bins that each member covers."""
-    width = 8
-    n = (F.col("s_suppkey") % 9 + 1).cast("bigint")
-    z = F.sum(n).over(Window.orderBy("s_suppkey"))
-    m = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), (z - n).alias("a"), z.alias("z"))
-    m = m.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("z") - 1) / width))))
-    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("o")).withColumn("bin", F.floor(F.col("o") / width))
-    return p.join(m, "bin").where("o >= a and o < z").select("p_partkey", "member", (F.col("o") - F.col("a")).alias("member_offset"))
+    """Members end to end, by a sum over ranges, and the member that each place is in."""
+    m = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), (F.col("s_suppkey") % 9 + 1).cast("bigint").alias("size"))
+    m = ordered.scanned(m, [], ["member"], ["size"]).withColumnRenamed("before_size", "a")
+    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("o"))
+    return ordered.looked_up(p, "o", m, "a", "size").select("p_partkey", "member", (F.col("o") - F.col("a")).alias("member_offset"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 5 AS packets, o_custkey % 7 * 100 AS size, o_orderkey % 3 = 0 AS r, CASE WHEN o_orderkey % 11 <> 0 THEN 100.0 END AS expected, 98.5 + (o_custkey % 40) / 10.0 AS actual FROM orders),
