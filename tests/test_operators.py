@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import carry, channels, detect, fragments, frames, integrity, intervals, media, paths, profiles, rebuild, scan, storage, timebase
+from tracewell.operators import carry, channels, choices, detect, fragments, frames, integrity, intervals, media, paths, profiles, rebuild, scan, storage, timebase
 from tracewell.plans import queries
 from tracewell.sources import evidence, reports
 
@@ -306,21 +306,6 @@ def test_flows_against_brute_force(spark):
         assert len(flat) == len(set(flat))
 
 
-def test_disjoint_selection_against_brute_force():
-    r = random.Random(5)
-    for _ in range(30):
-        options = {s: [([s, *sorted(r.sample(range(10, 18), r.randrange(4)))], float(r.randrange(9))) for _ in range(4)] for s in range(3)}
-        best = min(((-sum(len(p) for p, _ in pick), sum(c for _, c in pick)) for pick in itertools.product(*options.values()) if len(set(sum((p for p, _ in pick), []))) == sum(len(p) for p, _ in pick)), default=None)
-        if best is None:
-            with pytest.raises(ValueError):
-                paths.disjoint(options)
-            continue
-        chosen, _, cut = paths.disjoint(options)
-        assert (-sum(len(p) for _, p, _ in chosen), sum(c for *_, c in chosen)) == best and not cut
-    chosen, _, _ = paths.disjoint({10: [([10, 30, 40], 2), ([10, 31, 41], 3)], 20: [([20, 30, 50, 60], 2), ([20, 32], 1)]})
-    assert [p for _, p, _ in chosen] == [[10, 31, 41], [20, 30, 50, 60]]
-
-
 def test_beams(spark):
     starts = spark.createDataFrame([(1, 0)], "problem long, start long")
     edges = spark.createDataFrame([(1, 0, 1, 5.0), (1, 0, 2, 1.0), (1, 2, 3, 1.0), (1, 1, 3, 0.5), (1, 3, 0, 0.1)], "problem long, src long, dst long, score double")
@@ -525,7 +510,7 @@ def test_recovery_says_what_is_unsure(spark, tmp_path):
     third, fourth = got[len(parts) - 2], got[len(parts) - 1]
     assert third["status"] == "REVIEW" and {"unresolved", "left over"} <= set(third["reasons"]) and third["left_over"] == size - 216
     assert fourth["status"] == "UNKNOWN" and fourth["bytes"] == 4 and fourth["sha256"] == hashlib.sha256(b"only").hexdigest()
-    sums = {x["problem"]: x for x in rebuild.totals(paths.select_disjoint(rebuild.hypotheses(starts, of, layout))).collect()}
+    sums = {x["problem"]: x for x in rebuild.totals(choices.select_disjoint(rebuild.hypotheses(starts, of, layout))).collect()}
     assert sums[0]["continuations"] == len(parts) - 4 and sums[1]["unresolved"] == 1
     with pytest.raises(ValueError):
         rebuild.Fragments(([str(path)],), size, 100)

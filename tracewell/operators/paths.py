@@ -1,7 +1,7 @@
-"""Paths through continuation graphs: beam enumeration, disjoint selection and node-disjoint flows.
+"""Paths through continuation graphs: beam enumeration and node-disjoint flows.
 
-Starts are independent, so beams run in parallel by start; selections and flows are small combinatorial
-problems and run one to a problem, in parallel over problems.
+Starts are independent, so beams run in parallel by start; flows are small combinatorial problems and run one
+to a problem, in parallel over problems. Choices of disjoint paths: `choices`.
 """
 
 from __future__ import annotations
@@ -49,60 +49,6 @@ def hypotheses(starts: DataFrame, edges: DataFrame, top: int = 4, width: int = 2
     return starts.groupBy("problem").cogroup(edges.groupBy("__p")).applyInPandas(run, HYPOTHESIS)
 
 
-def disjoint(options: dict[int, list[tuple]], most: int = 250_000) -> tuple[list[tuple], float | None, bool]:
-    """One path a start, no fragment twice: most fragments, then the least sums of costs, the first before the next, then the paths themselves.
-
-    options: by start (path, cost) or (path, costs..., cost); chosen are (start, path, costs...). Also what the second best costs
-    more, in the last cost, if it has as many fragments, and whether the search was cut.
-    """
-    order = sorted(options, key=lambda s: (len(options[s]), s))
-    best: list[tuple] = []
-    leaves, cut = 0, False
-    reach = [0] * (len(order) + 1)
-    for i in range(len(order) - 1, -1, -1):
-        reach[i] = reach[i + 1] + max((len(o[0]) for o in options[order[i]]), default=0)
-
-    def search(i: int, used: frozenset, picked: tuple, n: int) -> None:
-        nonlocal leaves, cut, best
-        if leaves >= most:
-            cut = True
-            return
-        if len(best) == 2 and n + reach[i] < -best[1][0]:
-            return
-        if i == len(order):
-            leaves += 1
-            paths = sorted(picked)
-            sums = tuple(map(sum, zip(*(p[2:] for p in paths), strict=True)))
-            best = sorted([*best, (-n, sums, [p[:2] for p in paths], paths)], key=lambda x: x[:3])[:2]
-            return
-        for path, *costs in options[order[i]]:
-            if not used.intersection(path):
-                search(i + 1, used.union(path), (*picked, (order[i], path, *costs)), n + len(path))
-
-    search(0, frozenset(), (), 0)
-    if not best:
-        raise ValueError("no disjoint choice of paths")
-    margin = max(0.0, best[1][1][-1] - best[0][1][-1]) if len(best) == 2 and best[1][0] == best[0][0] else None
-    return best[0][3], margin, cut
-
-
-SELECTED = "problem long, start long, fragments array<long>, unresolved int, ambiguous int, cost double, margin double, cut boolean"
-
-
-def select_disjoint(found: DataFrame, most: int = 250_000) -> DataFrame:
-    """The best choice of disjoint paths of each problem. found: problem, start, fragments, cost and, if known, unresolved and ambiguous, which count before cost."""
-    found = found.select("problem", "start", "fragments", *(c if c in found.columns else F.lit(0).alias(c) for c in ("unresolved", "ambiguous")), "cost")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        options: dict[int, list] = defaultdict(list)
-        for s, p, *costs in pdf[["start", "fragments", "unresolved", "ambiguous", "cost"]].itertuples(index=False):
-            options[int(s)].append(([int(x) for x in p], int(costs[0]), int(costs[1]), float(costs[2])))
-        chosen, margin, cut = disjoint({s: sorted(o, key=lambda x: (-len(x[0]), *x[1:], x[0])) for s, o in options.items()}, most)
-        return pd.DataFrame([(int(pdf["problem"].iloc[0]), *c, margin, cut) for c in chosen], columns=[c.split()[0] for c in SELECTED.split(", ")])
-
-    return found.groupBy("problem").applyInPandas(run, SELECTED)
-
-
 def flow(nodes: dict[int, int], edges: list[tuple[int, int, float]], starts: list[int], reward: float, forbidden: tuple[int, int] | None = None) -> tuple[list[list[int]], float]:
     """Node-disjoint paths from the starts of the most benefit, sum of (reward - score) over edges worth it.
 

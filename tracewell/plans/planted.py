@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import layout, ordered, timebase
+from ..operators import choices, layout, ordered, timebase
 from ..session import shared_folder
 from ..sources import evidence
 from .recorded import LAYOUT, le, members
@@ -67,3 +67,24 @@ def clock_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.floor(F.col("event_id") / 2).cast("double") * 3600
     m = timebase.fit(t(spark, sf_dir, "events").select(x.alias("x"), (x * 1.0001 + F.col("value") / 100).alias("y")), held=512, block=2048)
     return m.select(F.round("slope", 10).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("max_residual", 5).alias("max_residual"), "anchors")
+
+
+_OPTIONS = """o AS (SELECT p_partkey // 30 AS problem, p_partkey % 30 // 5 AS start, CASE WHEN p_partkey % 5 = 4 THEN [p_partkey % 30 // 5] WHEN p_size % 2 = 0 THEN [p_partkey % 30 // 5, 100 + p_size % 9] ELSE [p_partkey % 30 // 5, 100 + p_size % 9, 200 + p_partkey * 7 % 11] END AS f,
+CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS u, p_size % 4 AS a, p_size % 13 / 2.0::DOUBLE AS c FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {_OPTIONS}, s AS (SELECT problem, start, row_number() OVER (PARTITION BY problem ORDER BY start) AS k, count(*) OVER (PARTITION BY problem) AS m FROM (SELECT DISTINCT problem, start FROM o)),
+g AS (SELECT DISTINCT problem, 0 AS k, []::BIGINT[] AS used, 0 AS u, 0 AS a, 0.0::DOUBLE AS c, []::STRUCT(s BIGINT, f BIGINT[], c DOUBLE)[] AS picked FROM s
+UNION ALL SELECT g.problem, g.k + 1, list_concat(g.used, o.f), g.u + o.u, g.a + o.a, g.c + o.c, list_append(g.picked, {{'s': o.start, 'f': o.f, 'c': o.c}}) FROM g JOIN s ON s.problem = g.problem AND s.k = g.k + 1 JOIN o ON o.problem = s.problem AND o.start = s.start WHERE NOT list_has_any(g.used, o.f)),
+w AS (SELECT g.*, len(used) AS n, row_number() OVER x AS rank, lead(len(used)) OVER x AS n2, lead(c) OVER x AS c2 FROM g WHERE k = (SELECT max(m) FROM s WHERE s.problem = g.problem) WINDOW x AS (PARTITION BY g.problem ORDER BY len(used) DESC, u, a, c, picked)),
+b AS (SELECT problem, unnest(picked) AS p, CASE WHEN n2 = n THEN greatest(0.0, c2 - c) END AS margin FROM w WHERE rank = 1)
+SELECT problem, p.s AS start, array_to_string(p.f, ',') AS fragments, p.c AS cost, margin, false AS cut FROM b""")
+def competing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six starts a problem whose paths compete for the same fragments, each with a short one that is always free."""
+    p = t(spark, sf_dir, "part")
+    start = F.floor(F.col("p_partkey") % 30 / 5)
+    one, two = 100 + F.col("p_size") % 9, 200 + F.col("p_partkey") * 7 % 11
+    path = F.when(F.col("p_partkey") % 5 == 4, F.array(start)).when(F.col("p_size") % 2 == 0, F.array(start, one.cast("long"))).otherwise(F.array(start, one.cast("long"), two.cast("long")))
+    found = p.select(F.floor(F.col("p_partkey") / 30).alias("problem"), start.alias("start"), path.alias("fragments"), F.when(F.col("p_size") % 3 == 0, 1).otherwise(0).alias("unresolved"), (F.col("p_size") % 4).cast("int").alias("ambiguous"), (F.col("p_size") % 13 / 2.0).alias("cost"))
+    chosen = choices.select_disjoint(found)
+    return chosen.select("problem", "start", F.array_join(F.col("fragments").cast("array<string>"), ",").alias("fragments"), "cost", "margin", "cut")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import channels, detect, fragments, frames, integrity, intervals, media, ordered, paths, profiles, scan, storage, timebase
+from ..operators import channels, choices, detect, fragments, frames, integrity, intervals, media, ordered, paths, profiles, scan, storage, timebase
 from ..streaming.windows import minute_buckets
 from . import planted, recorded  # noqa: F401 - register their queries
 from .registry import ORACLES, QUERIES, query, t  # noqa: F401
@@ -397,7 +397,7 @@ SELECT problem, s1 AS start, array_to_string(p1, ',') AS fragments, c1 AS cost,
 def disjoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     # beams hold whole paths; every second fragment is a start's own, so choices exist
     found = _beams(spark, sf_dir).withColumn("fragments", F.filter("fragments", lambda x: (x % 2 == F.col("start") % 2) | (x == F.col("start"))))
-    chosen = paths.select_disjoint(found).select("problem", "start", "fragments", "cost", "margin", "cut")
+    chosen = choices.select_disjoint(found).select("problem", "start", "fragments", "cost", "margin", "cut")
     return chosen.withColumn("fragments", F.array_join(F.col("fragments").cast("array<string>"), ","))
 
 
