@@ -125,7 +125,7 @@ def test_signature_hits_do_not_depend_on_chunks(spark, tmp_path):
     of = [o for i, o in want if i == "aa"]
     assert (s["aa"]["count"], s["aa"]["offsets"], s["aa"]["truncated"], s["aa"]["last"]) == (len(of), of[:3], True, of[-1])
     with pytest.raises(ValueError):
-        scan.check_signatures([("a", b"x"), ("a", b"y")])
+        scan.as_signatures([("a", b"x"), ("a", b"y")])
 
 
 def test_byte_spaces(spark, tmp_path):

@@ -29,10 +29,11 @@ def parse(sectors: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, start: int = 0, size: int = 64 << 20, most: int = 8) -> DataFrame:
-    """The first `most` master sectors in physical order within a range, by plausibility. chunks: source, base, size, data with an overlap of SIZE."""
-    hits = scan.signature_hits(chunks, [("master", SIGNATURE)], start, start + size).withColumn("sector", F.col("offset") - SIGNATURE_AT)
-    at = F.col("c.base")
-    joined = hits.alias("h").join(chunks.alias("c"), (F.col("h.source") == F.col("c.source")) & (F.col("h.sector") >= at) & (F.col("h.sector") < at + F.col("c.size")))
-    sectors = joined.select("h.source", F.col("h.sector").alias("offset"), F.substring(F.col("c.data"), (F.col("h.sector") - at + 1).cast("int"), F.lit(SIZE)).alias("data"))
-    first = parse(sectors).orderBy("offset").limit(most)
+    """The first `most` master sectors in physical order within a range, by plausibility. chunks: source, base, size, data with an overlap of SIZE.
+
+    A sector is cut out where its signature is found, in the chunk that it starts in, which may go on past the chunk's size.
+    """
+    whole = chunks.withColumn("size", (F.col("size") + SIGNATURE_AT).cast("int"))
+    hits = scan.signature_hits(whole, [("master", SIGNATURE)], start, start + size, (SIGNATURE_AT, SIZE)).where("data is not null")
+    first = parse(hits.select("source", (F.col("offset") - SIGNATURE_AT).alias("offset"), "data")).orderBy("offset").limit(most)
     return first.orderBy(F.desc("plausibility"), "offset")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,36 +12,124 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HITS = "source string, id string, offset long"
+#: How far a signature goes as evidence: fixed values. A hit never proves a format.
+STRENGTHS = ("lead", "supporting", "structural")
 
 
-def check_signatures(signatures: list[tuple[str, bytes]]) -> None:
-    ids = [i for i, _ in signatures]
-    if len(set(ids)) != len(ids) or not all(1 <= len(p) <= 4096 for _, p in signatures):
-        raise ValueError("ids must be unique and patterns 1 to 4096 bytes")
+@dataclass(frozen=True)
+class Signature:
+    """A pattern of 1 to 4096 bytes, its category, and its strength as evidence."""
 
+    id: str
+    pattern: bytes
+    category: str = "custom"
+    strength: str = "lead"
 
-def signature_hits(chunks: DataFrame, signatures: list[tuple[str, bytes]], start: int = 0, stop: int | None = None) -> DataFrame:
+    def __post_init__(self) -> None:
+        if not self.id.strip() or not 1 <= len(self.pattern) <= 4096 or self.strength not in STRENGTHS:
+            raise ValueError(f"a signature has an id, 1 to 4096 bytes and a strength of {', '.join(STRENGTHS)}")
+
+
+def as_signatures(signatures: Iterable[Signature | tuple[str, bytes]]) -> list[Signature]:
+    found = [s if isinstance(s, Signature) else Signature(*s) for s in signatures]
+    if len({s.id for s in found}) != len(found):
+        raise ValueError("ids must be unique")
+    return found
+
+
+class Matcher:
+    """All places of all patterns in one pass over the bytes.
+
+    A pattern is found by an anchor of four of its bytes (two or one of a shorter pattern), those that are least like
+    filling. Every place's four bytes are hashed into a table of the anchors' hashes; only places that fall on a set entry
+    are compared with anchors, and only those of an anchor with its patterns.
+    """
+
+    def __init__(self, patterns: list[bytes]) -> None:
+        self.patterns = patterns
+        self.anchors: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by width and value: pattern and the anchor's place in it
+        for i, p in enumerate(patterns):
+            width = 4 if len(p) >= 4 else 2 if len(p) >= 2 else 1
+            at = max(range(len(p) - width + 1), key=lambda k: (len(set(p[k : k + width]) - {0, 255}), -k))
+            self.anchors.setdefault(width, {}).setdefault(int.from_bytes(p[at : at + width], "little"), []).append((i, at))
+        self.tables = {}
+        for width, known in self.anchors.items():
+            values = np.array(sorted(known), np.uint32)
+            table = np.zeros(1 << 16, bool)
+            table[self._hash(values, width)] = True
+            self.tables[width] = values, table
+
+    @staticmethod
+    def _hash(values: np.ndarray, width: int) -> np.ndarray:
+        return (values * np.uint32(2_654_435_761)) >> np.uint32(16) if width == 4 else values
+
+    def find(self, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        """(pattern, its places in order) of the patterns that occur."""
+        raw = np.frombuffer(data, np.uint8)
+        for width, (values, table) in self.tables.items():
+            known = self.anchors[width]
+            places, seen = [], []
+            for shift in range(width):
+                n = (len(raw) - shift) // width
+                if n <= 0:
+                    continue
+                words = np.frombuffer(data, f"<u{width}", n, shift)
+                at = np.flatnonzero(table[self._hash(words, width)])
+                words = words[at].astype(np.uint32)
+                slot = np.searchsorted(values, words)
+                hit = values[np.minimum(slot, len(values) - 1)] == words
+                places.append(at[hit] * width + shift)
+                seen.append(words[hit])
+            if not places:
+                continue
+            at, words = np.concatenate(places), np.concatenate(seen)
+            order = np.lexsort((at, words))
+            at, words = at[order], words[order]
+            for value in np.unique(words).tolist():
+                mine = at[np.searchsorted(words, value, "left") : np.searchsorted(words, value, "right")]
+                for i, place in known[value]:
+                    p = self.patterns[i]
+                    begin = mine - place
+                    begin = begin[(begin >= 0) & (begin + len(p) <= len(raw))]
+                    for k, byte in enumerate(p):
+                        if not place <= k < place + width and len(begin):
+                            begin = begin[raw[begin + k] == byte]
+                    if len(begin):
+                        yield i, begin
+
+
+def signature_hits(chunks: DataFrame, signatures: Iterable[Signature | tuple[str, bytes]], start: int = 0, stop: int | None = None, around: tuple[int, int] | None = None) -> DataFrame:
     """All offsets, overlapping ones too, at which a pattern starts.
 
     chunks: source, base, size, data, where data goes on past size by the longest pattern less one byte; a hit
-    belongs to the chunk that it starts in, so none is found twice.
+    belongs to the chunk that it starts in, so none is found twice. around: also `data`, so many bytes from so many
+    before each hit on, as far as the chunk has them; hits that have none before them in their chunk are left out.
     """
-    check_signatures(signatures)
-    patterns = [(i, re.compile(b"(?=" + re.escape(p) + b")", re.S)) for i, p in signatures]
+    known = as_signatures(signatures)
+    matcher = Matcher([s.pattern for s in known])
+    names = ["source", "id", "offset", *(["data"] if around else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            source, ids, offsets = [], [], []
             for s, base, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 raw = data.as_py()
-                for i, p in patterns:
-                    at = [base + m.start() for m in p.finditer(raw) if m.start() < size and base + m.start() >= start and (stop is None or base + m.start() < stop)]
-                    source += [s] * len(at)
-                    ids += [i] * len(at)
-                    offsets += at
-            yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(ids, pa.string()), pa.array(offsets, pa.int64())], ["source", "id", "offset"])
-
-    return chunks.select("source", "base", "size", "data").mapInArrow(run, HITS)
+                for i, at in matcher.find(raw):
+                    at = at[at < size]
+                    at = at[(base + at >= start) & (base + at < (stop if stop is not None else 1 << 62))]
+                    columns = [pa.array([s] * len(at), pa.string()), pa.array([known[i].id] * len(at), pa.string()), pa.array(base + at)]
+                    if around:
+                        before, n = around
+                        columns.append(pa.array([raw[a - before : a - before + n] if a >= before else None for a in at.tolist()], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return chunks.select("source", "base", "size", "data").mapInArrow(run, HITS + (", data binary" if around else ""))
+
+
+def with_strength(stats: DataFrame, signatures: Iterable[Signature | tuple[str, bytes]]) -> DataFrame:
+    """hit_stats with each signature's category and strength, and those without a hit, too."""
+    known = as_signatures(signatures)
+    table = stats.sparkSession.createDataFrame([(s.id, s.category, s.strength) for s in known], "id string, category string, strength string")
+    return table.join(stats, "id", "left").fillna(0, ["count"]).fillna(False, ["truncated"]).fillna(0.0, ["per_gib"])
 
 
 def hit_stats(hits: DataFrame, total_bytes: int, keep: int = 16) -> DataFrame:
