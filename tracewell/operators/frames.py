@@ -93,6 +93,20 @@ def frame_size(head: bytes) -> int | None:
     return n if HEADER + ext + TAIL <= n <= MOST else None
 
 
+def in_chunk(raw: bytes, base: int, size: int, whole: Space | None = None, start: int = 0) -> Iterator[dict]:
+    """Frames that begin in the first `size` bytes, with their offsets; the search goes on a byte after each magic. whole: where a frame that goes on past the bytes is read."""
+    at = raw.find(MAGIC)
+    while 0 <= at < size:
+        f = parse_at(raw, at) if base + at >= start else None
+        if f is None and whole and base + at >= start:
+            n = frame_size(raw[at : at + HEADER] if at + HEADER <= len(raw) else whole.read(base + at, HEADER))
+            if n is not None and at + n > len(raw):
+                f = parse_at(whole.read(base + at, n), 0)
+        if f:
+            yield {"offset": base + at, **f}
+        at = raw.find(MAGIC, at + 1)
+
+
 def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | None = None, space: tuple | None = None, most: int | None = None) -> DataFrame:
     """Frames in chunks (source, base, size, data); a frame is its chunk's whose range it starts in.
 
@@ -112,21 +126,13 @@ def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | No
         for b in batches:
             out, held = [], 0
             for source, base, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                raw = data.as_py()
-                at = raw.find(MAGIC)
-                while 0 <= at < size:
-                    f = parse_at(raw, at) if base + at >= start else None
-                    if f is None and whole and base + at >= start:
-                        n = frame_size(raw[at : at + HEADER] if at + HEADER <= len(raw) else whole.read(base + at, HEADER))
-                        if n is not None and at + n > len(raw):
-                            f = parse_at(whole.read(base + at, n), 0)
-                    if f and (f["valid"] or not strict) and (stop is None or base + at + f["length"] <= stop):
-                        out.append({"source": source, "offset": base + at, **f})
+                for f in in_chunk(data.as_py(), base, size, whole, start):
+                    if (f["valid"] or not strict) and (stop is None or f["offset"] + f["length"] <= stop):
+                        out.append({"source": source, **f})
                         held += f["length"]
                     if held > HELD:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
-                    at = raw.find(MAGIC, at + 1)
             yield pa.RecordBatch.from_pylist(out, schema)
 
     found = chunks.select("source", "base", "size", "data").mapInArrow(run, FRAME)

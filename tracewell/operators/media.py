@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import fraction, video_pes
@@ -13,23 +14,39 @@ from ..functions.bytesx import fraction, video_pes
 NALS = "key long, h264 map<int,long>, hevc map<int,long>, nals long"
 
 
-def nal_types(data: bytes) -> tuple[dict[int, int], dict[int, int], int]:
-    """Counts of NAL types, read as either codec; a start code of four bytes counts once."""
-    avc: dict[int, int] = {}
-    hevc: dict[int, int] = {}
-    n, at = 0, data.find(b"\0\0\1")
-    while 0 <= at < len(data) - 3:
-        b = data[at + 3]
-        if not b & 0x80:
-            n += 1
-            avc[b & 31] = avc.get(b & 31, 0) + 1
-            hevc[b >> 1 & 63] = hevc.get(b >> 1 & 63, 0) + 1
-        at = data.find(b"\0\0\1", at + 3)
-    return avc, hevc, n
+def nal_types(data: bytes, size: int | None = None) -> tuple[dict[int, int], dict[int, int], int]:
+    """Counts of NAL types, read as either codec; a start code of four bytes counts once. size: start codes from there on aren't counted."""
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) < 4:
+        return {}, {}, 0
+    at = np.flatnonzero(raw[2:-1] == 1)
+    at = at[(raw[at] == 0) & (raw[at + 1] == 0)]
+    head = raw[(at if size is None else at[at < size]) + 3]
+    head = head[head < 128]
+    counts = lambda x: {int(k): int(n) for k, n in zip(*np.unique(x, return_counts=True), strict=True)}
+    return counts(head & 31), counts(head >> 1 & 63), len(head)
+
+
+def ladder(has: Callable[..., Column], nals: Column) -> Column:
+    """codec and confidence: full parameter sets with a random access picture first. has: how many NAL units of a codec's types there are."""
+    vps, sps, pps, irap, coded = has("hevc", 32), has("hevc", 33), has("hevc", 34), has("hevc", 16, 17, 18, 19, 20, 21), has("hevc", *range(10))
+    asps, apps, idr, slices = has("h264", 7), has("h264", 8), has("h264", 5), has("h264", 1)
+    as_ = lambda codec, confidence: F.struct(F.lit(codec).alias("codec"), F.lit(confidence).alias("confidence"))
+    return (
+        F.when((vps > 0) & (sps > 0) & (pps > 0) & (irap > 0), as_("hevc", 0.99))
+        .when((asps > 0) & (apps > 0) & (idr > 0), as_("h264", 0.98))
+        .when((vps > 0) & (sps > 0) & (pps > 0), as_("hevc", 0.94))
+        .when((asps > 0) & (apps > 0), as_("h264", 0.93))
+        .when((vps > 0) & (irap + coded > 0), as_("hevc", 0.88))
+        .when((asps > 0) & (idr + slices > 0), as_("h264", 0.86))
+        .when((idr + slices) > 0, as_("h264", 0.55))
+        .when(nals > 0, as_("unknown", 0.30))
+        .otherwise(as_("unknown", 0.0))
+    )
 
 
 def classify(rows: DataFrame) -> DataFrame:
-    """key, codec and confidence of elementary streams (key, data): full parameter sets with a random access picture first."""
+    """key, codec and confidence of elementary streams (key, data)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -37,20 +54,7 @@ def classify(rows: DataFrame) -> DataFrame:
 
     n = rows.select(F.col("key").cast("long"), "data").mapInPandas(run, NALS)
     has = lambda m, *ts: sum((F.coalesce(F.element_at(m, F.lit(t)), F.lit(0)) for t in ts), F.lit(0))
-    vps, sps, pps, irap, coded = has("hevc", 32), has("hevc", 33), has("hevc", 34), has("hevc", 16, 17, 18, 19, 20, 21), has("hevc", *range(10))
-    asps, apps, idr, slices = has("h264", 7), has("h264", 8), has("h264", 5), has("h264", 1)
-    ladder = (
-        F.when((vps > 0) & (sps > 0) & (pps > 0) & (irap > 0), F.struct(F.lit("hevc").alias("codec"), F.lit(0.99).alias("confidence")))
-        .when((asps > 0) & (apps > 0) & (idr > 0), F.struct(F.lit("h264").alias("codec"), F.lit(0.98).alias("confidence")))
-        .when((vps > 0) & (sps > 0) & (pps > 0), F.struct(F.lit("hevc").alias("codec"), F.lit(0.94).alias("confidence")))
-        .when((asps > 0) & (apps > 0), F.struct(F.lit("h264").alias("codec"), F.lit(0.93).alias("confidence")))
-        .when((vps > 0) & (irap + coded > 0), F.struct(F.lit("hevc").alias("codec"), F.lit(0.88).alias("confidence")))
-        .when((asps > 0) & (idr + slices > 0), F.struct(F.lit("h264").alias("codec"), F.lit(0.86).alias("confidence")))
-        .when((idr + slices) > 0, F.struct(F.lit("h264").alias("codec"), F.lit(0.55).alias("confidence")))
-        .when(F.col("nals") > 0, F.struct(F.lit("unknown").alias("codec"), F.lit(0.30).alias("confidence")))
-        .otherwise(F.struct(F.lit("unknown").alias("codec"), F.lit(0.0).alias("confidence")))
-    )
-    return n.withColumn("__c", ladder).select("key", "nals", "__c.codec", "__c.confidence")
+    return n.withColumn("__c", ladder(has, F.col("nals"))).select("key", "nals", "__c.codec", "__c.confidence")
 
 
 def suffix(codec: str, confidence: str) -> F.Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import choices, layout, ordered, timebase
+from ..operators import choices, formats, frames, layout, master, ordered, timebase
 from ..session import shared_folder
 from ..sources import evidence
 from .recorded import LAYOUT, le, members
@@ -88,3 +92,64 @@ def competing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p.select(F.floor(F.col("p_partkey") / 30).alias("problem"), start.alias("start"), path.alias("fragments"), F.when(F.col("p_size") % 3 == 0, 1).otherwise(0).alias("unresolved"), (F.col("p_size") % 4).cast("int").alias("ambiguous"), (F.col("p_size") % 13 / 2.0).alias("cost"))
     chosen = choices.select_disjoint(found)
     return chosen.select("problem", "start", F.array_join(F.col("fragments").cast("array<string>"), ",").alias("fragments"), "cost", "margin", "cut")
+
+
+@query("""WITH s AS (SELECT s_name AS source, s_suppkey AS k, s_suppkey % 5 AS kind, s_suppkey // 5 % 20 AS n, s_nationkey % 4 AS v FROM supplier),
+c AS (SELECT source, CASE kind WHEN 0 THEN 'dhav' WHEN 1 THEN 'mpegps' WHEN 2 THEN 'annexb' WHEN 3 THEN 'hikvision' ELSE 'made' END AS plugin, CAST(CASE kind WHEN 0 THEN CASE WHEN n >= 16 THEN 0.98 WHEN n >= 8 THEN 0.92 WHEN n >= 3 THEN 0.8 WHEN n = 2 THEN 0.65 WHEN n = 1 THEN 0.55 ELSE 0 END
+WHEN 1 THEN CASE WHEN n >= 2 AND v >= 2 THEN 0.9 WHEN n > 0 AND v > 0 THEN 0.7 WHEN v > 0 THEN 0.3 ELSE 0 END WHEN 2 THEN CASE v WHEN 0 THEN 0.882 WHEN 1 THEN 0.837 WHEN 2 THEN 0.495 ELSE 0.27 END
+WHEN 3 THEN 0.55 + 0.44 * CASE WHEN v > 0 THEN 0.95 ELSE 0.87 END ELSE CASE WHEN n // 2 >= 16 THEN 0.96 WHEN n // 2 >= 4 THEN 0.86 WHEN n >= 16 THEN 0.7 WHEN n >= 2 THEN 0.4 WHEN n > 0 THEN 0.1 ELSE 0 END END AS DOUBLE) AS confidence FROM s)
+SELECT source, plugin, round(confidence, 6) AS confidence, CASE plugin WHEN 'hikvision' THEN 'annexb' END AS runner_up, confidence < 0.6 AS requires_review FROM c WHERE confidence > 0""")
+def family_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier is a source of one of five families, with more or less evidence; all are told apart in one scan of chunks that cut what they find.
+
+    A master sector's numbers have a start code among their bytes (zeros before a one), so Annex B is its runner-up.
+    """
+
+    def made(k: int, nation: int) -> bytes:
+        n, v = k // 5 % 20, nation % 4
+        if k % 5 == 0:
+            return b"noise" + b"".join(frames.build(0xFD, i % 3, i, 1 << 26, 0, b"payload" * 9) for i in range(n))
+        if k % 5 == 1:
+            return b"\0\0\1\xba pack" * n + b"\0\0\1\xe0 video" * v
+        if k % 5 == 2:
+            return b"".join(b"\0\0\1" + bytes([t]) + b" data" for t in ((0x67, 0x68, 0x65), (0x67, 0x68), (0x41,), (0x79,))[v])
+        if k % 5 == 3:
+            sector = bytearray(master.SIZE)
+            sector[master.SIGNATURE_AT : master.SIGNATURE_AT + len(master.SIGNATURE)] = master.SIGNATURE
+            values = {"capacity": v + 1 << 30, "logs_offset": 4096, "logs_size": 1 << 20, "video_offset": 1 << 29, "block_size": 1 << 30, "blocks": 1, "tree1_offset": 8192, "tree1_size": 4096, "tree2_offset": 16384, "tree2_size": 4096}
+            for name, value in values.items():
+                struct.pack_into("<Q", sector, master.FIELDS[name], value)
+            return b"\x55" * 2000 + bytes(sector) + b"\x55" * 300
+        record = lambda kind, time: b"RX" + bytes([kind]) + bytes(5) + struct.pack("<II", time, 30)
+        return b"".join(record(2 if i % 2 else 1, 24 << 26 | 1 << 22 | 1 << 17).ljust(512, b"\x55") for i in range(n))
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, k, nation in b.itertuples(index=False):
+                data = made(k, nation)
+                # chunks of 512 bytes, and what goes on past them
+                rows = [(name, i, min(512, len(data) - i), data[i : i + 512 + 256]) for i in range(0, len(data), 512)]
+                yield pd.DataFrame(rows, columns=["source", "base", "size", "data"])
+
+    chunks = t(spark, sf_dir, "supplier").select("s_name", "s_suppkey", "s_nationkey").mapInPandas(chunked, "source string, base long, size int, data binary")
+    known = formats.default()
+    known.register(formats.records("made", "A recorder made up", LAYOUT, {2: 8}, 2, 512))
+    found = known.report(chunks.repartition("source", "base"))
+    return found.select("source", "plugin", F.round("confidence", 6).alias("confidence"), "runner_up", "requires_review")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey % 5 AS channel, c_custkey % 10 AS k, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) - 1 AS i FROM customer),
+r AS (SELECT channel, TIMESTAMP '2024-02-29 00:00:00' + to_hours(23) + to_minutes(c_custkey % 60) AS ts, i FROM c WHERE k < 6)
+SELECT strftime(ts, '%H-%M') AS label, ts, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS starts FROM r WHERE channel = 0 GROUP BY ts""")
+def family_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minutes of a date at which the recordings of a made up recorder begin, by its family's own scan."""
+    c = t(spark, sf_dir, "customer").where("c_nationkey % 5 = 0")
+    k = F.col("c_custkey") % 10
+    day = F.when(k < 6, 29).otherwise(28)
+    time = B.pack_time(F.make_timestamp_ntz(F.lit(2024), F.lit(2), day, F.lit(23), (F.col("c_custkey") % 60).cast("int"), F.lit(0)))
+    data = F.unhex(F.concat(F.lit("525802" + "00" * 5), le(time, 4), le(F.lit(8), 4), F.repeat(F.lit("55"), F.lit(512 - 16))))
+    folder = shared_folder(spark, "dated")
+    files = members(c.select(F.lit(0).alias("channel"), F.col("c_custkey").alias("offset"), data.alias("payload")), folder)
+    family = formats.records("made", "A recorder made up", LAYOUT, {2: 8}, 2, 512)
+    found = family.scan_date(evidence.read(spark, files, chunk=10_000, overlap=64), "2024-02-29", None)
+    return found.select("label", "ts", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
