@@ -562,6 +562,26 @@ def test_site_trees_judge_blocks_of_articles(spark):
     assert all(got[210 + i] == f"Title {i}\n\nText very {i}\n\nWritten by the desk\n\nMore" for i in range(2))
 
 
+@pytest.mark.parametrize("n", [3, 5, 20])
+def test_articles_may_repeat_themselves(spark, n):
+    """What all articles of a host say stays; blocks around it that are no text of theirs go."""
+    terms = "This shoe is made of leather and lasts for years.", "Returns within thirty days, by law."
+    same = "".join(f"<p>{x}</p>" for x in terms)
+    shapes = {
+        "plain": (f"<article><h1>Size {{0}} shoes</h1>{same}</article>", [*terms]),
+        "wrapped": (f"<article><h1>Size {{0}} shoes</h1><div class='qq'>{same}</div></article>", [*terms]),
+        "listed": ("<main><h1>Size {0} shoes</h1><p>Number {0} has</p><ul><li>leather soles</li><li>laces</li></ul></main>", ["Number {0} has", "leather soles", "laces"]),
+        "shared": (f"<article><h1>Size {{0}} shoes</h1>{same}<ul><li><a>Post it</a></li><li><a>Mail it</a></li></ul></article>", [*terms]),
+        "alike": (f"<article><h2>Terms</h2>{same}</article>", None),
+    }
+    pages = [(1000 * k + i, f"http://{name}.example/{i}", f"<html><body><div class='zz'>All rights</div>{page.format(i)}</body></html>") for k, (name, (page, _)) in enumerate(shapes.items()) for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, (name, (_, text)) in enumerate(shapes.items()):
+        for i in range(n):
+            want = [f"Size {i} shoes", *(x.format(i) for x in text)] if text else ["Terms", *terms]
+            assert got[1000 * k + i] == "\n\n".join(want), name
+
+
 def anonymous_pages(n=300):
     """Pages without article elements, with class names that say nothing, and their main texts."""
     r = random.Random(9)

@@ -7,8 +7,10 @@ is the entropy of its sequences of children over log(m + SMOOTH). SMOOTH makes f
 none: by LEAST, what three pages share goes, what two share stays, and on a million pages a text may recur eight
 times. A branch's importance combines its presentation with its content's and its children's mean, GAMMA to one.
 A branch is noise, and removed, if it and all branches below have less than LEAST; so is a node's own text by its
-content alone. Article and main elements, and what holds them, stay. If nothing would be left of a page, the
-tree doesn't count for it.
+content alone. Article and main elements, and what holds them, stay. What an article says is main text however often its
+host repeats it: inside, headings, paragraphs and other blocks of text aren't judged by themselves, only whole
+wrappers, lists and tables only if they are mostly links; and if that were more than MOST_GONE of the page's articles, none
+of it goes. If nothing would be left of a page, the tree doesn't count for it.
 
 Adverts, footers and notices with other words on each page have the entropy of an article, so tags, roles and
 the words of classes and ids are a prior: what they name as no main text has importance 0.
@@ -34,6 +36,8 @@ from .common import in_arrow, stored, table
 GAMMA = 0.9
 LEAST = 0.85
 SMOOTH = 100
+#: Share of the text of a page's articles that the tree may remove.
+MOST_GONE = 2 / 3
 #: Tree nodes of all hosts up to which they are broadcast; more go to the pages by host and salt.
 MOST_BROADCAST = 100_000
 #: Pages of a host that share a salt.
@@ -49,6 +53,9 @@ DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising spon
 #: Never main text outside an article.
 DROP_OUTSIDE = frozenset("header footer masthead topbar bottombar copyright".split())
 MAIN = frozenset({"article", "main"})
+#: What the tree may remove of an article: wrappers, and lists if they are mostly links.
+WRAPPERS = frozenset("address aside center details dialog div fieldset figure footer form header hgroup menu nav section".split())
+LISTS = frozenset("dir dl ol table ul".split())
 #: A start tag ends an open element of these, looked for up to one of the second.
 ENDS = {**{t: ({"p"}, frozenset("td th li article section div body button".split())) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}, "li": ({"li"}, frozenset({"ul", "ol", "menu"})), "dt": ({"dt", "dd"}, frozenset({"dl"})), "dd": ({"dt", "dd"}, frozenset({"dl"})), "tr": ({"tr"}, frozenset({"table"})), "td": ({"td", "th"}, frozenset({"table"})), "th": ({"td", "th"}, frozenset({"table"})), "option": ({"option"}, frozenset({"select"}))}
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
@@ -241,10 +248,44 @@ def _noise(order: list[Node], tree: dict[int, tuple[float | None, float]], gamma
     return noise, mute
 
 
+def _length(x: Node, linked: bool) -> int:
+    """Characters of a branch's text, all or those within links."""
+    n, stack = 0, [(x, False)]
+    while stack:
+        x, link = stack.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                n += len("".join(c.split())) if link or not linked else 0
+            elif not c.drop:
+                stack.append((c, link or c.tag == "a"))
+    return n
+
+
+def _spared(order: list[Node], noise: set[int], mute: set[int]) -> None:
+    """Takes back what would go of articles but isn't a wrapper, or a list of links, or if it were too much of them."""
+    for x in order:
+        if x.main:
+            mute.discard(id(x))
+            if id(x) in noise and not (x.tag in WRAPPERS or x.tag in LISTS and 2 * _length(x, True) >= _length(x, False)):
+                noise.discard(id(x))
+    inside = [x for x in order if x.main and id(x) in noise]
+    # branches within others that go don't count twice
+    tops = [x for x in inside if not any(id(y) in noise for y in _above(x))]
+    if tops and sum(_length(x, False) for x in tops) > MOST_GONE * sum(_length(x, False) for x in order if x.main and not x.parent.main):
+        noise.difference_update(map(id, inside))
+
+
+def _above(x: Node) -> Iterator[Node]:
+    while (x := x.parent) is not None:
+        yield x
+
+
 def main_text(root: Node, tree: dict[int, tuple[float | None, float]], gamma: float = GAMMA, least: float = LEAST) -> str:
     """The page's blocks without what goes. tree: path -> content and presentation importance."""
     order = list(nodes(root))
     noise, mute = _noise(order, tree, gamma, least) if tree else (set(), set())
+    if noise or mute:
+        _spared(order, noise, mute)
     has_main = any(x.tag in MAIN for x in order)
     blocks: list[str] = []
     line: list[str] = []
