@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures (operator 10).
 
-Documents with equal shingle sets are one class; the rest works on classes. TREES sorted orders are kept of
+Documents with equal shingle sets, by two 64-bit hashes, are one class; the rest works on classes. TREES sorted orders are kept of
 the signatures: tree t orders by the values from TAKE * t on, in rotation. A region is the classes that agree
 in a tree's first TAKE values. Its depth adapts: where more than LEAF classes agree, it goes down by the next
 values, one by one, until at most LEAF do, or DEEP values are used up; so a region is a set of leaves, each as deep
@@ -74,20 +74,22 @@ def signature(s: np.ndarray) -> np.ndarray:
     return V.mix(out)
 
 
-SETS = "doc_id long, row long, class long, n_shingles long, signature binary"
+SETS = "doc_id long, row long, one long, two long, n_shingles long, signature binary"
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, row, class (a hash of the shingle set; null for an empty one), its size, and 32 bits of each MinHash value."""
+    """doc_id, row, two hashes of the shingle set (null for an empty one), its size, and 32 bits of each MinHash value."""
+
+    def names(sets: list[np.ndarray], salt: int) -> pa.Array:
+        return pa.array([int((V.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)) if len(s) else None for s in sets], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in V.slices(whole, "text", 1 << 21):
                 sets = list(shingle_sets(V.words(b.column(2), lower=True)))
                 size = [len(s) for s in sets]
-                names = [int((V.mix(s ^ np.uint64(0x5E7)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)) if len(s) else None for s in sets]
                 signed = [(signature(s) >> np.uint64(32)).astype("<u4").tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "row", "class", "n_shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names(sets, 0x5E7), names(sets, 0xC1A55), pa.array(size, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "row", "one", "two", "n_shingles", "signature"])
 
     return in_arrow(docs.select("doc_id", "row", "text"), run, SETS)
 
@@ -291,8 +293,8 @@ def _pairs(x: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node and root of the classes that have links, and all classes with the row of their least doc_id. docs: doc_id, row, text."""
-    classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
-    classes = stored(classes.select("class", "one.doc_id", "one.row", "signature", "n"), "classes")
+    classes = sets.where("one is not null and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "one", "two", "least.doc_id", "least.row", "signature", "n"), "classes")
     ordered = forest(classes).repartition("key").sortWithinPartitions("key", "deep", "class")
     seen = stored(in_arrow(ordered, _survey, SEEN), "regions")
     best = seen.where("kind > 0").groupBy("class", "kind").agg(F.min(F.struct("apart", "other")).alias("best"))
@@ -335,15 +337,15 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, row, class, n_shingles and component_id of each row of docs."""
+    """doc_id, row, n_shingles and component_id of each row of docs, and the hashes of its set."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     sets = stored(document_sets(keyed), "sets")
     roots, classes = links(keyed, sets)
-    placed = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = classes.select("class", "one", "two", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = stored(placed, "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = placed.select("class", "root").join(least, "root").select("class", "component_id")
-    out = sets.select("doc_id", "row", "class", "n_shingles").join(named, "class", "left")
+    named = placed.select("one", "two", "root").join(least, "root").select("one", "two", "component_id")
+    out = sets.select("doc_id", "row", "one", "two", "n_shingles").join(named, ["one", "two"], "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
