@@ -12,7 +12,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import carry, rebuild
+from tracewell.operators import carry, demux, frames, rebuild
 from tracewell.sources import evidence, payloads
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -161,3 +161,34 @@ def test_spaces_are_read_only(tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     with evidence.Space([str(tmp_path / "f")]) as s:
         assert s.read(1, 5) == b"bc" and all(f.mode == "rb" for f in s.files)
+
+
+def test_channels_as_files(spark, tmp_path):
+    """Nested and broken frames, channels of two codecs, audio; each file is what a walk over the space gives."""
+    rng = random.Random(4)
+    parts = []
+    for i in range(200):
+        payload = rng.choice([b"\0\0\0\1\x67a", b"\0\0\1\x40b", b"sound", b""]) + bytes(rng.choice(b"xy") for _ in range(rng.randrange(50)))
+        f = bytearray(frames.build(rng.choice([0xFD, 0xFD, 0xF0]), i % 3, i, 1 << 26, 0, payload, bytes([0x81, 0, 0xC, 5]) if i % 7 == 0 else b""))
+        if i % 11 == 0:
+            f[-1] ^= 1
+        parts += [bytes(f), b"between" * rng.randrange(3)]
+    data = b"".join(parts)
+    (tmp_path / "space").write_bytes(data)
+    done = {r["name"]: r for r in demux.to_files(spark, ([str(tmp_path / "space")],), str(tmp_path / "out"), chunk=999).collect()}
+    want = {}
+    for f in frames.in_chunk(data, 0, len(data)):
+        if f["valid"]:
+            name = f"channel-{f['channel']:02d}."
+            want[name + "native.dhav"] = want.get(name + "native.dhav", b"") + data[f["offset"] : f["offset"] + f["length"]]
+            if f["frame_type"] == 0xFD and f["codec"] and f["payload"]:
+                want[name + f["codec"]] = want.get(name + f["codec"], b"") + f["payload"]
+    assert set(done) == set(want) and len(want) >= 8
+    for name, raw in want.items():
+        assert (tmp_path / "out" / name).read_bytes() == raw and done[name]["sha512"] == hashlib.sha512(raw).hexdigest()
+    with open(tmp_path / "out" / "manifest.json") as f:
+        about = json.load(f)
+    assert about["schema_version"] == 2 and [c["channel"] for c in about["channels"]] == [0, 1, 2] and {f["name"]: f["bytes"] for f in about["files"]} == {n: len(r) for n, r in want.items()}
+    assert {c["channel"]: c["status"] for c in about["channels"]} == {0: "REVIEW", 1: "REVIEW", 2: "REVIEW"}  # every eleventh is missing
+    with pytest.raises(FileExistsError):
+        demux.to_files(spark, ([str(tmp_path / "space")],), str(tmp_path / "out"))

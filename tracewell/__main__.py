@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.bytesx import UNITS
-from .operators import channels, detect, formats, frames, integrity, intervals, scan, storage
+from .operators import carry, channels, demux, detect, formats, frames, integrity, intervals, layout, rebuild, scan, storage
 from .plans import corpus, triage
 from .session import ready
 from .sources import evidence, reports, sinks
@@ -68,6 +68,17 @@ def parser() -> argparse.ArgumentParser:
     found.add_argument("--most", type=int)
     add("boundaries").add_argument("--date", required=True)
     add("demux").add_argument("--out", required=True)
+    places = add("layout")
+    places.add_argument("--framing", required=True, help="a file with the record layout, see `framing`")
+    places.add_argument("--size", type=size, action="append", required=True, help="a fragment size to try")
+    places.add_argument("--top", type=int, default=8)
+    whole = add("recover")
+    whole.add_argument("--framing", required=True)
+    whole.add_argument("--fragment", type=size, required=True)
+    whole.add_argument("--data-offset", type=size, default=0)
+    whole.add_argument("--date", required=True)
+    whole.add_argument("--label", default="recording")
+    whole.add_argument("--out", required=True)
     m = add("map", False)
     m.add_argument("mapfile")
     m.add_argument("--size", type=size)
@@ -78,6 +89,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def framing(path: str) -> tuple[carry.Layout, dict[int, int], int, frozenset[int]]:
+    """A record layout, the place of the time in records by type, the type that begins a recording, and the types with payload, of a JSON file.
+
+    {"sync": "5258", "types": {"1": [16, 12, "<I"]}, "times": {"2": 8}, "begins": 2, "media": [1, 2], "most": 65536}; most is optional.
+    """
+    with open(path) as f:
+        x = json.load(f)
+    try:
+        of = carry.Layout(bytes.fromhex(x["sync"]), {int(k): tuple(v) for k, v in x["types"].items()}, **({"most": x["most"]} if "most" in x else {}))
+        return of, {int(k): v for k, v in x["times"].items()}, x["begins"], frozenset(x["media"])
+    except (KeyError, TypeError) as e:
+        raise ValueError(f"{path} is no record layout: {e}") from e
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = ready(spark or SparkSession.builder.appName("tracewell").config("spark.sql.session.timeZone", "UTC").getOrCreate())
@@ -134,15 +159,31 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.command in ("frames", "boundaries", "demux"):
         if not formats.default().get("dhav").supports("demux" if a.command == "demux" else "scan_frames"):
             return UNSUPPORTED
-        f = frames.carve(chunks(64), strict=not getattr(a, "loose", False), start=a.start, stop=a.stop, space=space, most=getattr(a, "most", None))
         if a.command == "demux":
-            print(json.dumps(sinks.write_streams(frames.demux(f), a.out), sort_keys=True))
-        elif a.command == "boundaries":
+            show(demux.to_files(spark, space, a.out, start=a.start, stop=a.stop, chunk=a.chunk))
+            return OK
+        f = frames.carve(chunks(64), strict=not getattr(a, "loose", False), start=a.start, stop=a.stop, space=space, most=getattr(a, "most", None))
+        if a.command == "boundaries":
             show(channels.boundaries(f.select(F.col("offset").alias("start"), "ts"), a.date).orderBy("label"))
         elif a.channels:
             show(channels.channel_stats(f.withColumn("size", F.octet_length("payload").cast("bigint"))).orderBy("channel"))
         else:
             show(f.drop("payload").orderBy("offset"))
+    elif a.command == "layout":
+        of, times, _, _ = framing(a.framing)
+        found = layout.hypotheses(layout.evidence(chunks(max(of.longest, of.run)), of, a.size, times, start=a.start), a.top)
+        best = layout.best(found).withColumn("notes", layout.notes())
+        show(found.orderBy("fragment_size", "rank"))
+        show(best)
+        first = best.first()
+        return OK if first is not None and first["confidence"] >= 0.5 else REVIEW
+    elif a.command == "recover":
+        of, times, begins, media = framing(a.framing)
+        pieces = rebuild.Fragments(space, a.fragment, a.data_offset)
+        starts = rebuild.recording_starts(rebuild.heads(spark, pieces, of.longest), of.sync + bytes([begins]), times[begins], a.date, a.fragment, a.data_offset)
+        done = rebuild.recover_files(spark, starts.select(F.hash("label").cast("bigint").alias("problem"), F.explode("starts").alias("start")), pieces, of, media, a.out, a.label)
+        show(done.orderBy("start"))
+        return OK if not done.where("status <> 'UNKNOWN'").count() else REVIEW
     elif a.command == "map":
         blocks = reports.mapfile(spark, a.mapfile)
         expected = blocks.select("source").distinct().withColumns({"expected_start": F.lit(0 if a.size is not None else None).cast("bigint"), "expected_size": F.lit(a.size).cast("bigint")})

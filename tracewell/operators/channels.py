@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytesx import label
+from . import frames as frames_
 from . import ordered
 
 
@@ -44,10 +45,11 @@ def media_stats(frames: DataFrame) -> DataFrame:
 
     A codec conflict is a frame whose extension and payload name different codecs. Sets are sorted; zeros aren't values.
     """
-    video = F.col("codec").isNotNull() & (F.octet_length("payload") > 0)
+    size = (F.col("length") - frames_.HEADER - F.col("extension_length") - frames_.TAIL).cast("bigint")  # of the payload, which may be left out
+    video = F.col("codec").isNotNull() & (size > 0)
     sorted_set = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
     return frames.groupBy("channel").agg(
-        F.count_if("valid").alias("valid_frames"), F.count_if(video).alias("video_frames"), F.sum("length").alias("native_bytes"), F.coalesce(F.sum(F.when(video, F.octet_length("payload").cast("bigint"))), F.lit(0)).alias("elementary_bytes"),
+        F.count_if("valid").alias("valid_frames"), F.count_if(video).alias("video_frames"), F.sum("length").alias("native_bytes"), F.coalesce(F.sum(F.when(video, size)), F.lit(0)).alias("elementary_bytes"),
         F.count_if(F.col("declared_codec") != F.col("payload_codec")).alias("codec_conflicts"), F.count_if("truncated").alias("extension_truncated"), sorted_set("codec", "codecs"), sorted_set("declared_codec", "declared_codecs"),
         sorted_set(F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat_ws("x", "width", "height")), "resolutions"), sorted_set("fps", "frame_rates"), sorted_set("unknown_type", "unknown_extension_types"),
         F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))

@@ -107,14 +107,14 @@ def in_chunk(raw: bytes, base: int, size: int, whole: Space | None = None, start
         at = raw.find(MAGIC, at + 1)
 
 
-def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | None = None, space: tuple | None = None, most: int | None = None) -> DataFrame:
+def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | None = None, space: tuple | None = None, most: int | None = None, payloads: bool = True) -> DataFrame:
     """Frames in chunks (source, base, size, data); a frame is its chunk's whose range it starts in.
 
     A frame that goes on past its chunk's data is read again at its offset from `space`, the arguments of
     evidence.Space; data need only go on past size by a magic less one byte. Without `space`, data must go on by the
     longest frame, as those cut off are left out. The search goes on a byte after each magic, so frames nested in
     payloads are found as well. strict drops frames without a valid footer; none may end after stop. most: the first so
-    many of each source.
+    many of each source. payloads: False leaves their bytes out.
     """
     schema = pa.schema([("source", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("frame_type", pa.int32()), ("channel", pa.int32()), ("frame_number", pa.int64()), ("packed", pa.int64()), ("millis", pa.int32()), ("codec", pa.string()), ("fps", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("extension_length", pa.int32()), ("declared_codec", pa.string()), ("payload_codec", pa.string()), ("truncated", pa.bool_()), ("unknown_type", pa.int32()), ("valid", pa.bool_()), ("payload", pa.binary())])
 
@@ -128,7 +128,7 @@ def carve(chunks: DataFrame, strict: bool = True, start: int = 0, stop: int | No
             for source, base, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 for f in in_chunk(data.as_py(), base, size, whole, start):
                     if (f["valid"] or not strict) and (stop is None or f["offset"] + f["length"] <= stop):
-                        out.append({"source": source, **f})
+                        out.append({"source": source, **f, **({} if payloads else {"payload": None})})
                         held += f["length"]
                     if held > HELD:
                         yield pa.RecordBatch.from_pylist(out, schema)

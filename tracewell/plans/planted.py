@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
-from ..operators import choices, formats, frames, layout, master, ordered, timebase
+from ..operators import choices, demux, formats, frames, layout, master, ordered, timebase
 from ..session import shared_folder
 from ..sources import evidence
 from .recorded import LAYOUT, le, members
@@ -153,3 +153,24 @@ def family_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = formats.records("made", "A recorder made up", LAYOUT, {2: 8}, 2, 512)
     found = family.scan_date(evidence.read(spark, files, chunk=10_000, overlap=64), "2024-02-29", None)
     return found.select("label", "ts", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
+
+
+@query("""WITH e AS (SELECT user_id % 16 AS c, event_id, chr(0) || chr(0) || chr(0) || chr(1) || 'g' || props AS x, event_id % 5 <> 0 AS video FROM events)
+SELECT 'channel-' || lpad(CAST(c AS VARCHAR), 2, '0') || '.native.dhav' AS name, CAST(sum(32 + octet_length(encode(x))) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS sha256, true AS stated FROM e GROUP BY c
+UNION ALL SELECT 'channel-' || lpad(CAST(c AS VARCHAR), 2, '0') || '.h264', CAST(sum(octet_length(encode(x))) AS BIGINT), sha256(string_agg(x, '' ORDER BY event_id)), true FROM e WHERE video GROUP BY c""")
+def demuxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of sixteen channels of one byte space; their channels as files, each written by many tasks, and what the manifest states of them."""
+    e = t(spark, sf_dir, "events").select("event_id", "user_id", "props")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = [frames.build(0xFD if n % 5 else 0xF1, u % 16, n % 2**32, 1 << 26, 0, b"\0\0\0\1g" + p.encode()) for n, u, p in b.itertuples(index=False)]
+            yield pd.DataFrame({"channel": 0, "offset": b["event_id"], "payload": data})
+
+    files = members(e.mapInPandas(made, "channel long, offset long, payload binary"), shared_folder(spark, "mixed"))
+    folder = f"{shared_folder(spark, 'demuxed')}/out"
+    demux.to_files(spark, (files,), folder, chunk=100_000)
+    stated = spark.read.option("multiLine", True).json(f"{folder}/manifest.json").select(F.inline("files"))
+    seen = spark.read.format("binaryFile").load(f"{folder}/channel-*").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
+    native = F.col("name").endswith(".native.dhav")
+    return stated.join(seen, "name").select("name", F.col("length").alias("bytes"), F.when(~native, F.col("digest")).alias("sha256"), ((F.col("digest") == F.col("sha256")) & (F.col("length") == F.col("bytes"))).alias("stated"))
