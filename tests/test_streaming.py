@@ -1,8 +1,10 @@
 """Streams give what batches give."""
 
 import datetime as dt
+import random
 
-from tracewell.streaming import carry, windows
+from tracewell.operators import scan
+from tracewell.streaming import carry, reassembly, windows
 
 
 def test_minute_buckets(spark, tmp_path):
@@ -25,3 +27,48 @@ def test_hits_across_chunks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["offset"] for r in spark.table("hits").collect()) == [o for o in range(len(data)) if data.startswith(b"abab", o)]
+
+
+def test_reassembly_by_force():
+    """Chunks in any order, some twice, some lost: hits of all that is whole, and the holes."""
+    rng = random.Random(3)
+    signatures = scan.as_signatures([("one", b"abab"), ("two", b"x"), ("three", b"aabxa")])
+    for _ in range(200):
+        data = bytes(rng.choice(b"abx") for _ in range(120))
+        chunks = [(i, data[i : i + 7]) for i in range(0, 120, 7)]
+        lost = set(rng.sample(range(1, 17), rng.randrange(3)))
+        sent = [c for k, c in enumerate(chunks) if k not in lost]
+        sent += rng.sample(sent, 3)
+        rng.shuffle(sent)
+        r, found = reassembly.Reassembly(signatures), []
+        for base, part in sent:
+            state = (r.at, r.tail, dict(r.waiting))  # as from a checkpoint
+            r = reassembly.Reassembly(signatures, *state)
+            r.add(base, part)
+            found += r.go_on()
+        while r.waiting:
+            found += r.over()
+        gone = {b for k in lost for b in range(7 * k, min(120, 7 * k + 7))}
+        want = [(s.id, o) for s in signatures for o in range(120) if data.startswith(s.pattern, o) and not gone & set(range(o, o + len(s.pattern)))]
+        assert sorted((i, o) for i, o, _ in found if i) == sorted(want)
+        assert {b for i, o, n in found if not i for b in range(o, o + n)} == {b for b in gone if b < max(base + len(p) for base, p in sent)}
+
+
+def test_chunks_in_any_order_and_a_restart(spark, tmp_path):
+    """A stream that is stopped half way and started again gives what a batch gives."""
+    rng = random.Random(1)
+    data = {k: bytes(rng.choice(b"abx") for _ in range(200)) for k in "pq"}
+    rows = [(k, i, bytearray(v[i : i + 13])) for k, v in data.items() for i in range(0, 200, 13)]
+    rng.shuffle(rows)
+    known = [("one", b"abab"), ("two", b"x")]
+
+    def more(some):
+        spark.createDataFrame(some, "source string, base long, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("source string, base long, data binary").parquet(str(tmp_path / "in"))
+        w = reassembly.hits(stream, known).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+        w.trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+
+    more(rows[: len(rows) // 2])
+    more(rows[len(rows) // 2 :])
+    got = [(r["source"], r["id"], r["offset"]) for r in spark.read.schema(reassembly.FOUND).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted((k, i, o) for k, v in data.items() for i, p in known for o in range(200) if v.startswith(p, o))

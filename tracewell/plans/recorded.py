@@ -16,7 +16,7 @@ from ..operators import carry, detect, integrity, rebuild, storage
 from ..session import shared_folder
 from ..sources import evidence, reports, sinks
 from ..streaming import carry as streamed
-from ..streaming import windows
+from ..streaming import reassembly, windows
 from . import corpus
 from .registry import query, t
 
@@ -246,6 +246,18 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _settled(streamed.hits(chunks, b"tion"), "append", spark).groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("""WITH p AS (SELECT unnest(['tion', 'ing ', 'e']) AS id), d AS (SELECT doc_id, id, len(string_split(text, id)) - 1 AS hits FROM documents, p WHERE text <> '') SELECT CAST(doc_id AS VARCHAR) AS source, id, CAST(hits AS BIGINT) AS hits FROM d WHERE hits > 0""")
+def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of three patterns in documents whose chunks arrive in any order: by a hash of the chunk, a file a micro-batch."""
+    d = t(spark, sf_dir, "documents").where("text <> ''").withColumn("b", F.encode("text", "UTF-8"))
+    chunks = d.select(F.col("doc_id").cast("string").alias("source"), "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - 1, F.lit(499))).alias("base"))
+    path = f"{shared_folder(spark, 'chunks')}/chunks"
+    chunks.select("source", F.col("base").cast("bigint").alias("base"), F.expr("substring(b, base + 1, 499)").alias("data")).repartition(4, F.xxhash64("source", "base")).write.parquet(path)
+    arriving = spark.readStream.schema("source string, base long, data binary").option("maxFilesPerTrigger", 1).parquet(path)
+    found = _settled(reassembly.hits(arriving, [("tion", b"tion"), ("ing ", b"ing "), ("e", b"e")]), "append", spark)
+    return found.groupBy("source", "id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query("SELECT o_custkey % 64 AS source, arg_max(o_custkey, o_orderkey) AS finished, arg_max(o_orderkey % 7, o_orderkey) AS bad, arg_max(o_orderkey * 10, o_orderkey) AS total FROM orders GROUP BY 1")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of growing acquisitions as they arrive: the newest of each source."""
