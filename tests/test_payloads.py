@@ -52,7 +52,8 @@ def test_failures_leave_parts(spark, tmp_path, fault):
         df = df.withColumn("data", F.when((F.col("at") == 39_000) & (F.col("name") == "f1"), F.raise_error(F.lit("disk full")).cast("binary")).otherwise(F.col("data")))
     with pytest.raises(Exception, match="written|disk full"):
         write(df, tmp_path)
-    assert os.listdir(tmp_path) and all(n.endswith(".partial") for n in os.listdir(tmp_path))
+    # a task that fails at once may leave nothing; those that see the fault on commit have written all
+    assert all(n.endswith(".partial") for n in os.listdir(tmp_path)) and (fault == "error" or len(os.listdir(tmp_path)) == 2)
 
 
 def test_a_repeated_task_is_harmless(tmp_path):
