@@ -158,6 +158,25 @@ def test_recovering_into_files(spark, tmp_path):
     assert sorted(n for n in os.listdir(out) if not n.startswith(".")) == ["cam-0-0.h264", f"cam-1-{second}.es", "candidates", "manifest.json"]
 
 
+def test_a_long_recording_is_one_file(spark, tmp_path):
+    some = [record(1, bytes([97 + i % 26]) * (19 + i * 7 % 23)) for i in range(8000)]
+    data = b"".join(some) + b"\0" * 64
+    (tmp_path / "space").write_bytes(data + b"\0" * (-len(data) % 64))
+    of = rebuild.Fragments(([str(tmp_path / "space")],), 64)
+    layout = carry.Layout(b"RX", LAYOUT.types, most=5000, room=8)
+    out = tmp_path / "out"
+    (row,) = rebuild.recover_files(spark, spark.createDataFrame([(0, 0)], "problem long, start long"), of, layout, frozenset({1}), str(out), "cam").collect()
+    assert of.count() > 4096 and row["records"] == len(some) and (out / row["name"]).read_bytes() == b"".join(r[8:] for r in some)
+
+
+def test_rows_that_touch_are_one():
+    rows = [("a", 0, b"12"), ("a", 2, b"3"), ("a", 4, b"5"), ("b", 5, b"6"), ("b", 6, b""), ("b", 6, b"7")]
+    (frame,) = payloads.batched(iter(rows))
+    assert frame.to_dict("records") == [{"key": "a", "at": 0, "data": b"123"}, {"key": "a", "at": 4, "data": b"5"}, {"key": "b", "at": 5, "data": b"67"}]
+    many = list(payloads.batched((("a", i, b"x") for i in range(1000)), 6500))
+    assert len(many) == 10 and b"".join(d for f in many for d in f["data"]) == b"x" * 1000
+
+
 def test_spaces_are_read_only(tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     with evidence.Space([str(tmp_path / "f")]) as s:

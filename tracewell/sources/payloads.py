@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -41,6 +43,31 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def batched(rows: Iterator[tuple[Any, int, bytes]], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """key, at and data of rows, those that touch as one, in frames of about `most` bytes and not of a row each."""
+    keys: list = []
+    places: list[int] = []
+    parts: list[list[bytes]] = []
+    end, held = -1, 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"key": keys, "at": places, "data": [b"".join(p) for p in parts]})
+
+    for key, at, data in rows:
+        if keys and at == end and key == keys[-1]:
+            parts[-1].append(data)
+        else:
+            keys.append(key)
+            places.append(at)
+            parts.append([data])
+        end, held = at + len(data), held + len(data) + 64
+        if held >= most:
+            yield frame()
+            keys, places, parts, end, held = [], [], [], -1, 0
+    if keys:
+        yield frame()
+
+
 class PayloadWriter(DataSourceArrowWriter):
     def __init__(self, folder: str) -> None:
         self.folder = folder
