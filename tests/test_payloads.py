@@ -177,6 +177,13 @@ def test_rows_that_touch_are_one():
     assert len(many) == 10 and b"".join(d for f in many for d in f["data"]) == b"x" * 1000
 
 
+def test_channels_are_read_in_few_rows(spark, tmp_path):
+    (tmp_path / "space").write_bytes(bytes(range(250)) * 40)
+    plan = spark.range(10_000).selectExpr("'f' as name", "id as at", "id as place", "1L as size")
+    got = demux.pieces(plan, ([str(tmp_path / "space")],)).orderBy("at").collect()
+    assert b"".join(bytes(r["data"]) for r in got) == bytes(range(250)) * 40 and len(got) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_spaces_are_read_only(tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     with evidence.Space([str(tmp_path / "f")]) as s:

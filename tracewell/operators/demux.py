@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import settled
 from ..sources import evidence, sinks
 from ..sources.evidence import Space
-from ..sources.payloads import SCHEMA, PayloadFiles
+from ..sources.payloads import SCHEMA, PayloadFiles, batched
 from . import channels, frames, integrity, ordered
 
 #: Type of frames whose payload is video.
@@ -34,15 +34,15 @@ def plan(found: DataFrame) -> DataFrame:
 
 
 def pieces(planned: DataFrame, space: tuple, per_task: int = 256 << 20) -> DataFrame:
-    """name, at, data of a plan, dealt frame by frame before any byte is read."""
+    """name, at, data of a plan, dealt frame by frame before any byte is read; frames that touch in a file are one row."""
     n, size = planned.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(1, min(n, 2 * planned.sparkSession.sparkContext.defaultParallelism), size // per_task)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with Space(*space) as s:
-            for b in batches:
-                for name, at, place, n in b.itertuples(index=False):
-                    yield pd.DataFrame({"name": [name], "at": [at], "data": [s.read(place, n)]})
+            rows = ((name, at, s.read(place, n)) for b in batches for name, at, place, n in b.itertuples(index=False))
+            for some in batched(rows):
+                yield some.rename(columns={"key": "name"})
 
     # neighbours in a file stay together
     return planned.repartitionByRange(tasks, "name", "at").sortWithinPartitions("name", "at").mapInPandas(run, SCHEMA)
