@@ -83,3 +83,22 @@ def test_clocks_of_all_sizes_agree(spark):
             assert large[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-6)
         assert (large[k]["anchors"], large[k]["status"]) == (r["anchors"], r["status"])
     assert small["a"]["anchors"] == 900 and small["c"]["status"] == "REVIEW" and small["c"]["slope"] == 1.0
+
+
+def test_the_driver_gets_no_table_of_blocks(spark, monkeypatch):
+    """Swaps between blocks are counted by tasks; equal to all pairs."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    n = 3000
+    x, y = made("noise", n)
+    blocks, _ = slopes.blocked(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double"), 100)
+    sent, to_arrow = [], DataFrame.toArrow
+
+    def watched(self):
+        sent.append(self.columns)
+        return to_arrow(self)
+
+    monkeypatch.setattr(DataFrame, "toArrow", watched)
+    ends = [0.5, 1.0001, 2.0]
+    assert slopes.Blocks(blocks, n).below(ends) == [slopes.swaps(y - s * x) for s in ends]
+    assert sent and all("bucket" not in columns for columns in sent)

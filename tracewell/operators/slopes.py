@@ -193,6 +193,16 @@ def _buckets(z: np.ndarray, place: np.ndarray, bound: np.ndarray, at: np.ndarray
     return low
 
 
+def _crossed(key: tuple, table: pa.Table) -> pa.Table:
+    """t, and the pairs of different rows of a table of numbers (row, column, n) of which the earlier is in a later column."""
+    row, column = (np.unique(table.column(c).to_numpy(), return_inverse=True)[1] for c in ("row", "column"))
+    counts = np.zeros((int(row.max()) + 1, int(column.max()) + 1), np.int64)
+    counts[row, column] = table.column("n").to_numpy()
+    earlier = np.cumsum(counts, 0) - counts
+    later = np.cumsum(earlier[:, ::-1], 1)[:, ::-1] - earlier
+    return pa.table({"t": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int((counts * later).sum())], pa.int64())})
+
+
 class Blocks:
     """The steps of `median_slope` over blocks of one clock's points."""
 
@@ -248,18 +258,23 @@ class Blocks:
 
         dealt = parts.select("t", "bucket", "block", "z").repartition("t", "bucket").sortWithinPartitions("t", "bucket", "block")
         inside = dict(dealt.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n")).collect())
-        table = parts.select("t", "bucket", "block", "n", "inner").toArrow()  # at most BLOCKS * BLOCKS numbers an end
-        t, bucket, block, n, inner = (table.column(c).to_numpy() for c in ("t", "bucket", "block", "n", "inner"))
-        out = []
-        for k in range(len(ends)):
-            mine = t == k
-            counts = np.zeros((int(block[mine].max()) + 1, int(bucket[mine].max()) + 1), np.int64)
-            counts[block[mine], bucket[mine]] = n[mine]
-            # of earlier blocks, those in later buckets
-            earlier = np.cumsum(counts, 0) - counts
-            later = np.cumsum(earlier[:, ::-1], 1)[:, ::-1] - earlier
-            out.append(int((counts * later).sum()) + int(inner[mine].sum()) + inside.get(k, 0))
-        return out
+        inner = dict(parts.groupBy("t").agg(F.sum("inner")).collect())
+        across = self._across(parts.select("t", "block", "bucket", "n"))
+        return [inside.get(k, 0) + inner.get(k, 0) + across.get(k, 0) for k in range(len(ends))]
+
+    def _across(self, table: DataFrame) -> dict[int, int]:
+        """By t, the pairs of points of different blocks of which the earlier is in a later bucket. table: t, block, bucket, n.
+
+        Blocks and buckets are cut into groups of some that lie together. Pairs within a group of blocks are counted in a task a group, those of
+        different groups of blocks within a group of buckets likewise; for all others, the sums of groups do.
+        """
+        some = max(1, math.isqrt(self.many))
+        table = table.withColumns({"blocks": F.floor(F.col("block") / some), "buckets": F.floor(F.col("bucket") / some)})
+        coarse = settled(table.groupBy("t", "blocks", "bucket", "buckets").agg(F.sum("n").alias("n")), "coarse")
+        count = lambda df, by, row, column: df.select("t", F.col(by).alias("by"), F.col(row).alias("row"), F.col(column).alias("column"), "n").groupBy("t", "by").applyInArrow(_crossed, "t long, n long")
+        whole = coarse.groupBy("t", "blocks", "buckets").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0).cast("bigint"))
+        counted = count(table, "blocks", "block", "bucket").unionByName(count(coarse, "buckets", "blocks", "bucket")).unionByName(count(whole, "all", "blocks", "buckets"))
+        return dict(counted.groupBy("t").agg(F.sum("n")).collect())
 
     def sample(self, lo: float, hi: float, share: float, turn: int) -> np.ndarray:
         """Slopes between some points and a share of all points."""
