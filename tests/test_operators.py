@@ -492,6 +492,24 @@ def test_rebuilding_against_all_paths(spark, tmp_path):
             assert rebuild.follow(s, of, layout, 0, 1)[0][1:] == (1, 0, 0.0, paths.OPEN)
 
 
+def test_ciphers_hold_a_batch_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tracewell.operators import integrity
+
+    data, stream = pa.array([b"ab" * 5000, None] * 1000, pa.binary()), pa.array([b"  " * 6000] * 2000, pa.binary())
+    tracemalloc.start()
+    got = integrity._xor(data.slice(2), stream.slice(2))
+    blocks = integrity._counters(pa.array([b"\xff" * 16, None] * 1000, pa.binary()), pa.array([2, 0] * 1000), pa.array([600, 5] * 1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].as_py() == b"AB" * 5000 and got.null_count == 999 and len(got) == 1998
+    assert blocks[2].as_py() == b"".join(i.to_bytes(16, "big") for i in range(1, 601)) and blocks.null_count == 1000
+    assert peak < 1.3 * (10_000_000 + 9_600_000)
+
+
 def test_a_long_recording_is_followed_to_its_end(tmp_path):
     layout = carry.Layout(b"RX", {1: (8, 4, "<I")}, most=5000, room=8)
     size, n = 64, 4400

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,24 +89,38 @@ def decrypt_cbc(data: Column, key: Column, iv: Column, padded: bool = True) -> C
     return F.aes_decrypt(F.concat(iv, data), key, F.lit("CBC"), F.lit("PKCS"))
 
 
-def _counters(counter: pd.Series, first: pd.Series, n: pd.Series) -> pd.Series:
-    """The n counters from `first` after a counter of 16 bytes on, modulo 2**128: what overflows the lower half is carried."""
-
-    def one(c: bytes, add: int, k: int) -> bytes | None:
-        if c is None or pd.isna(k):
-            return None
-        high, low = divmod((int.from_bytes(bytes(c), "big") + int(add)) % (1 << 128), 1 << 64)
-        lows = np.uint64(low) + np.arange(int(k), dtype=np.uint64)
-        return np.column_stack([np.uint64(high) + (lows < np.uint64(low)), lows]).astype(">u8").tobytes()
-
-    return pd.Series([one(*x) for x in zip(counter, first, n, strict=True)], dtype=object)
+def _binaries(sizes: np.ndarray, data: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Values of these sizes that lie end to end in data, which isn't copied."""
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [pa.array(valid).buffers()[1], pa.py_buffer(ends), pa.py_buffer(data)]) if ends[-1] > 2**31 - 1 else pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [pa.array(valid).buffers()[1], pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _xor(data: pd.Series, stream: pd.Series) -> pd.Series:
-    def one(a: bytes, b: bytes) -> bytes | None:
-        return None if a is None or b is None else (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)[: len(a)]).tobytes()
-
-    return pd.Series([one(*x) for x in zip(data, stream, strict=True)], dtype=object)
+def _counters(counter: pa.Array, first: pa.Array, n: pa.Array) -> pa.Array:
+    """The n counters from `first` after a counter of 16 bytes on, modulo 2**128: what overflows the lower half is carried."""
+    valid = np.array([c.is_valid and k.is_valid for c, k in zip(counter, n, strict=True)], bool)
+    many = np.where(valid, n.fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    out = np.empty((int(many.sum()), 2), ">u8")
+    at = 0
+    for c, add, k in zip(counter, first.to_pylist(), many.tolist(), strict=True):
+        if k:
+            high, low = divmod((int.from_bytes(c.as_py(), "big") + add) % (1 << 128), 1 << 64)
+            lows = np.uint64(low) + np.arange(k, dtype=np.uint64)
+            out[at : at + k, 0], out[at : at + k, 1] = np.uint64(high) + (lows < np.uint64(low)), lows
+            at += k
+    return _binaries(16 * many, out.view(np.uint8).reshape(-1), valid)
+
+
+def _xor(data: pa.Array, stream: pa.Array) -> pa.Array:
+    """data by as much of its key stream; the bytes of a batch are never Python's objects."""
+    valid = np.array([a.is_valid and b.is_valid for a, b in zip(data, stream, strict=True)], bool)
+    raw = [np.frombuffer(c.as_buffer(), np.uint8) if v else np.zeros(0, np.uint8) for c, v in zip(data, valid, strict=True)]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    out, at = np.empty(int(sizes.sum()), np.uint8), 0
+    for a, b in zip(raw, stream, strict=True):
+        if len(a):
+            np.bitwise_xor(a, np.frombuffer(b.as_buffer(), np.uint8)[: len(a)], out=out[at : at + len(a)])
+            at += len(a)
+    return _binaries(sizes, out, valid)
 
 
 def ctr(data: Column, key: Column, counter: Column, first_block: Column | None = None) -> Column:
@@ -114,8 +129,8 @@ def ctr(data: Column, key: Column, counter: Column, first_block: Column | None =
     first_block: how many blocks come before data, so that chunks of a large value go by themselves.
     """
     first = F.lit(0).cast("bigint") if first_block is None else first_block.cast("bigint")
-    blocks = F.pandas_udf(_counters, "binary")(counter, first, F.ceil(F.octet_length(data) / 16).cast("bigint"))
-    return F.pandas_udf(_xor, "binary")(data, F.aes_encrypt(blocks, key, F.lit("ECB"), F.lit("PKCS")))
+    blocks = F.arrow_udf(_counters, "binary")(counter, first, F.ceil(F.octet_length(data) / 16).cast("bigint"))
+    return F.arrow_udf(_xor, "binary")(data, F.aes_encrypt(blocks, key, F.lit("ECB"), F.lit("PKCS")))
 
 
 def ctr_blocks(rows: DataFrame, key: Column) -> DataFrame:
