@@ -72,3 +72,19 @@ def test_chunks_in_any_order_and_a_restart(spark, tmp_path):
     more(rows[len(rows) // 2 :])
     got = [(r["source"], r["id"], r["offset"]) for r in spark.read.schema(reassembly.FOUND).parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted((k, i, o) for k, v in data.items() for i, p in known for o in range(200) if v.startswith(p, o))
+
+
+def test_chunks_that_follow_are_searched_at_once():
+    signatures = reassembly.as_signatures([("ab", b"ab")])
+    matcher, asked = reassembly.Matcher([b"ab"]), []
+
+    class Counted:
+        def find(self, data):
+            asked.append(data)
+            return matcher.find(data)
+
+    r = reassembly.Reassembly(signatures, matcher=Counted())
+    for i in reversed(range(50)):
+        r.add(3 * i, b"aba"[i % 2 :] + b"b" * (i % 2))
+    data = b"".join(b"aba"[i % 2 :] + b"b" * (i % 2) for i in range(50))
+    assert [p for _, p, _ in r.go_on()] == [i for i in range(len(data)) if data[i : i + 2] == b"ab"] and asked == [data]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,9 +24,9 @@ STATE = "at long, tail binary, bases array<long>, waiting array<binary>"
 class Reassembly:
     """The whole bytes of a source so far, and the chunks that wait."""
 
-    def __init__(self, signatures: list[Signature], at: int = 0, tail: bytes = b"", waiting: dict[int, bytes] | None = None) -> None:
+    def __init__(self, signatures: list[Signature], at: int = 0, tail: bytes = b"", waiting: dict[int, bytes] | None = None, matcher: Matcher | None = None) -> None:
         self.signatures, self.at, self.tail, self.waiting = signatures, at, tail, waiting or {}
-        self.matcher = Matcher([s.pattern for s in signatures])
+        self.matcher = matcher or Matcher([s.pattern for s in signatures])
         self.keep = max(len(s.pattern) for s in signatures) - 1
 
     def add(self, base: int, data: bytes) -> None:
@@ -37,14 +38,24 @@ class Reassembly:
 
     def go_on(self) -> Iterator[tuple[str | None, int, int]]:
         """Hits in what follows the whole bytes, as far as it is there."""
-        while (data := self.waiting.pop(self.at, None)) is not None:
-            both = self.tail + data
-            for i, places in self.matcher.find(both):
-                # a hit within the old bytes was found before
-                for p in places[places + len(self.signatures[i].pattern) > len(self.tail)].tolist():
-                    yield self.signatures[i].id, self.at - len(self.tail) + p, len(self.signatures[i].pattern)
-            self.at += len(data)
-            self.tail = both[max(0, len(both) - self.keep) :] if self.keep else b""
+        for i, places in self._found():
+            n = len(self.signatures[i].pattern)
+            for p in places.tolist():
+                yield self.signatures[i].id, p, n
+
+    def _found(self) -> list[tuple[int, np.ndarray]]:
+        """By signature, where its hits are; chunks that follow each other are searched as one."""
+        parts, end = [self.tail], self.at
+        while (data := self.waiting.pop(end, None)) is not None:
+            parts.append(data)
+            end += len(data)
+        if end == self.at:
+            return []
+        both, old = b"".join(parts), len(self.tail)
+        # a hit within the old bytes was found before
+        out = [(i, self.at - old + places[places + len(self.signatures[i].pattern) > old]) for i, places in self.matcher.find(both)]
+        self.at, self.tail = end, both[max(0, len(both) - self.keep) :] if self.keep else b""
+        return out
 
     def over(self) -> Iterator[tuple[str | None, int, int]]:
         """The hole before the first chunk that waits, and what follows it."""
@@ -62,23 +73,31 @@ def hits(chunks: DataFrame, signatures: Iterable[Signature | tuple[str, bytes]],
     A query with such timeouts always has another batch to run, so it has no end by trigger(availableNow=True); without patience it has.
     """
     known = as_signatures(signatures)
+    matchers: list[Matcher] = []  # a task's, made once
+
+    def frame(source: str, found: list[tuple[str | None, int, int]]) -> pd.DataFrame:
+        ids, offsets, lengths = zip(*found, strict=True)
+        return pd.DataFrame({"source": [source] * len(found), "id": ids, "offset": offsets, "length": lengths})
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not matchers:
+            matchers.append(Matcher([s.pattern for s in known]))
         if state.exists:
             at, tail, bases, waiting = state.get
-            r = Reassembly(known, int(at), bytes(tail), {int(b): bytes(d) for b, d in zip(bases, waiting, strict=True)})
+            r = Reassembly(known, int(at), bytes(tail), {int(b): bytes(d) for b, d in zip(bases, waiting, strict=True)}, matchers[0])
         else:
-            r = Reassembly(known)
+            r = Reassembly(known, matcher=matchers[0])
         if state.hasTimedOut:
             found = list(r.over())
         else:
             for part in parts:
-                for base, data in part[["base", "data"]].itertuples(index=False):
-                    r.add(int(base), bytes(data))
+                for base, data in zip(part["base"].tolist(), part["data"].tolist(), strict=True):
+                    r.add(base, bytes(data))
             found = list(r.go_on())
         state.update((r.at, r.tail, list(r.waiting), list(r.waiting.values())))
         if r.waiting and patience is not None:
             state.setTimeoutDuration(max(1, int(1000 * patience)))
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=["source", "id", "offset", "length"])
+        if found:
+            yield frame(key[0], found)
 
     return chunks.groupBy("source").applyInPandasWithState(run, FOUND, STATE, "append", GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout)
