@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import choices
+from tracewell.operators import choices, groups, paths
 
 
 def by_force(options):
@@ -108,3 +108,64 @@ def test_components_by_force(spark):
     got = choices.components(spark.createDataFrame(rows, "problem long, start long, fragment long"))
     assert {(r["problem"], r["start"]): r["label"] for r in got.collect()} == label
     assert got.where(F.col("problem") == 9).agg(F.max("label")).first()[0] == 0
+
+
+def test_lone_starts_by_force(spark):
+    """Starts that share nothing: best paths and the problem's margin, with ties, equal paths and single options."""
+    rng = random.Random(11)
+    problems = {}
+    for k in range(60):
+        some = {s: [([s, *sorted(rng.sample(range(100 * s, 100 * s + 5), rng.randrange(3)))], rng.randrange(2), rng.randrange(2), rng.randrange(4) / 4) for _ in range(rng.randrange(1, 5))] for s in range(1, rng.randrange(2, 5))}
+        problems[k] = some | ({s: [([s, 7, s * 1000 + i], 0, 0, float(i)) for i in range(2)] for s in (50, 51, 52)} if k % 4 == 0 else {})
+    got = {}
+    for r in choices.select_disjoint(frame(spark, {k: o for k, o in problems.items() if 50 not in o})).collect():
+        got.setdefault(r["problem"], []).append(r)
+    for k, options in problems.items():
+        if 50 in options:
+            continue
+        want, rows = by_force(options), sorted(got[k], key=lambda r: r["start"])
+        assert [(r["start"], r["fragments"]) for r in rows] == [(s, p) for s, p, *_ in want[0][1]]
+        assert tuple(sum(r[c] for r in rows) for c in ("unresolved", "ambiguous", "cost")) == want[0][0][1:]
+        margin = max(0.0, want[1][0][-1] - want[0][0][-1]) if len(want) > 1 and want[1][0][0] == want[0][0][0] else None
+        assert {(r["margin"], r["cut"], r["fault"]) for r in rows} == {(margin, False, None)}
+    mixed = choices.select_disjoint(frame(spark, {k: o for k, o in problems.items() if 50 in o})).collect()
+    assert {(r["start"], r["fault"]) for r in mixed if r["start"] >= 50} == {(s, choices.CLASH) for s in (50, 51, 52)}
+    assert all(r["fragments"] and r["fault"] is None for r in mixed if r["start"] < 50)
+
+
+def test_small_problems_dont_cost_a_group_each(spark):
+    """Thousands of small problems are dealt to all tasks, many to a batch, and only starts that compete are searched."""
+    rows = [(k, s, [s, *(10 * s + i for i in range(3)), 1000 + i][: 5 if k % 500 == 0 else 4], float(i)) for k in range(2000) for s in (1, 2) for i in range(2)]
+    found = spark.createDataFrame(rows, "problem long, start long, fragments array<long>, cost double")
+    chosen = choices.select_disjoint(found)
+    assert "FlatMapGroups" not in chosen._jdf.queryExecution().toString()
+    got = chosen.collect()
+    assert len(got) == 4000 and all(r["fault"] is None for r in got)
+    edges = spark.createDataFrame([(k, 1, 2, 1.0) for k in range(500)], "problem long, src long, dst long, score double")
+    nodes = spark.createDataFrame([(k, n, n, n == 1) for k in range(500) for n in (1, 2)], "problem long, node long, index int, is_start boolean")
+    starts = nodes.where("is_start").select("problem", F.col("node").alias("start"))
+    for df, path in ((paths.hypotheses(starts, edges), "fragments"), (paths.local_chains(starts, edges), "fragments"), (paths.solve_flows(nodes, edges, 20.0), "nodes")):
+        by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min(path).alias("p"), F.max(path).alias("q")).collect()
+        assert sum(r["n"] for r in by_task) == 500 and all(r["p"] == r["q"] == [1, 2] for r in by_task)
+        assert len(by_task) > 8 and max(r["n"] for r in by_task) < 100
+
+
+def test_groups_over_batches(spark):
+    """Groups are whole wherever batches end; a null is a key of its own; lists and nulls come as they are."""
+    rows = [(k if k < 6 else None, "ab"[j % 2], [j] * (j % 4) if j % 5 else None, j / 2) for k in range(7) for j in range(17)]
+    df = spark.createDataFrame(rows, "k int, s string, l array<long>, x double")
+    want = {}
+    for k, s, l, x in rows:
+        want.setdefault((k, s), []).append((l, x))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        run = lambda key, some: [(*key, len(some), [i for l, _ in some for i in l or ()], None if key[0] is None else max(x for _, x in some))]
+        got = groups.in_groups(df, 2, run, "k int, s string, n long, l array<long>, x double").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == len(want)
+    for r in got:
+        some = want[r["k"], r["s"]]
+        assert r["n"] == len(some) and sorted(r["l"]) == sorted(i for l, _ in some for i in l or ())
+        assert r["x"] == (None if r["k"] is None else max(x for _, x in some))
