@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 from tracewell.operators import scan
 from tracewell.streaming import carry, reassembly, windows
@@ -88,3 +89,66 @@ def test_chunks_that_follow_are_searched_at_once():
         r.add(3 * i, b"aba"[i % 2 :] + b"b" * (i % 2))
     data = b"".join(b"aba"[i % 2 :] + b"b" * (i % 2) for i in range(50))
     assert [p for _, p, _ in r.go_on()] == [i for i in range(len(data)) if data[i : i + 2] == b"ab"] and asked == [data]
+
+
+def test_sources_of_a_bucket_by_force():
+    """Many sources in one bucket, chunks in any order, some twice, some lost, with patience: what each source gives by itself."""
+    rng = random.Random(5)
+    signatures = scan.as_signatures([("one", b"abab"), ("two", b"x"), ("three", b"aabxa")])
+    matcher = reassembly.Matcher([s.pattern for s in signatures])
+    for patience in (None, 2.0):
+        for _ in range(40):
+            names = [*"pqrstuv", None]
+            data = {k: bytes(rng.choice(b"abx") for _ in range(rng.randrange(1, 80))) for k in names}
+            sent = [(k, i, v[i : i + 7]) for k, v in data.items() for i in range(0, len(v), 7) if rng.random() < 0.9]
+            sent += rng.sample(sent, 5)
+            rng.shuffle(sent)
+            alone, until, state, want, got = {}, {}, None, [], []
+            for turn in range(12):
+                some, now = sent[8 * turn : 8 * turn + 8], 1000 * turn + 1
+                b = reassembly.Bucket(signatures, matcher, state)  # as from a checkpoint
+                for chunk in some:
+                    b.add(*chunk)
+                for frame in b.go_on([k for k, _, _ in some], now, patience):
+                    got += [(k, i, o, n) for k, i, n, offsets in frame.itertuples(index=False) for o in offsets]
+                state = b.state()
+                for k in {k for k, _, _ in some} | {k for k, u in until.items() if u <= now}:
+                    r = alone.setdefault(k, reassembly.Reassembly(signatures, matcher=matcher))
+                    mine = [c for c in some if c[0] == k]
+                    for _, base, part in mine:
+                        r.add(base, part)
+                    want += [(k, *f) for f in (r.go_on() if mine else r.over())]
+                    until.pop(k, None)
+                    if r.waiting and patience is not None:
+                        until[k] = now + 2000
+                assert b.until == until
+            assert sorted(map(str, got)) == sorted(map(str, want)) and got
+
+
+def test_many_sources_are_few_rows_of_state(spark, tmp_path, monkeypatch):
+    """Short sources share calls and rows of the state."""
+    monkeypatch.setattr(reassembly, "BUCKETS", 4, raising=False)
+    data = {f"s{k}": b"abxab"[k % 5 :] + b"ab" * (k % 3) for k in range(300)}
+    rows = [(k, i, bytearray(v[i : i + 2])) for k, v in data.items() for i in range(0, len(v), 2)]
+    random.Random(2).shuffle(rows)
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, "source string, base long, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, base long, data binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = reassembly.hits(stream, [("ab", b"ab"), ("x", b"x")]).writeStream.format("memory").queryName("few").outputMode("append").start()
+    q.processAllAvailable()
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    want = sorted((k, i, o, len(p)) for k, v in data.items() for i, p in (("ab", b"ab"), ("x", b"x")) for o in range(len(v)) if v.startswith(p, o))
+    assert sorted(tuple(r) for r in spark.table("few").collect()) == want and held <= 4
+
+
+def test_a_hole_after_patience(spark, tmp_path):
+    rows = [("p", 0, bytearray(b"ab")), ("p", 4, bytearray(b"ab")), ("p", 9, bytearray(b"ab")), ("q", 0, bytearray(b"xab"))]
+    spark.createDataFrame(rows, "source string, base long, data binary").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, base long, data binary").parquet(str(tmp_path / "in"))
+    q = reassembly.hits(stream, [("ab", b"ab")], patience=0.5).writeStream.format("memory").queryName("holes").outputMode("append").start()
+    end = time.time() + 120
+    while time.time() < end and spark.table("holes").count() < 6:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(map(tuple, spark.table("holes").collect()), key=str) == sorted([("p", "ab", 0, 2), ("p", None, 2, 2), ("p", "ab", 4, 2), ("p", None, 6, 3), ("p", "ab", 9, 2), ("q", "ab", 1, 2)], key=str)

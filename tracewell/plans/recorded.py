@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -233,6 +235,21 @@ def _settled(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, as it may be larger than the executors' heap."""
+    rocks = "spark.sql.streaming.stateStore.rocksdb."
+    on_disk = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", rocks + "boundedMemoryUsage": "true", rocks + "changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in on_disk}
+    try:
+        for k, v in on_disk.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
@@ -254,7 +271,8 @@ def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark, 'chunks')}/chunks"
     chunks.select("source", F.col("base").cast("bigint").alias("base"), F.expr("substring(b, base + 1, 499)").alias("data")).repartition(4, F.xxhash64("source", "base")).write.parquet(path)
     arriving = spark.readStream.schema("source string, base long, data binary").option("maxFilesPerTrigger", 1).parquet(path)
-    found = _settled(reassembly.hits(arriving, [("tion", b"tion"), ("ing ", b"ing "), ("e", b"e")]), "append", spark)
+    with _state_on_disk(spark):  # up to most of the bytes wait
+        found = _settled(reassembly.hits(arriving, [("tion", b"tion"), ("ing ", b"ing "), ("e", b"e")]), "append", spark)
     return found.groupBy("source", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
